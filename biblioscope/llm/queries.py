@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, licenses, near_dedup, packing, pii, token_counts, toxicity, webp
+from . import decontaminate, langid, licenses, near_dedup, packing, pii, suffix_dedup, token_counts, toxicity, webp
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.query,
     "op2_language_id": langid.query,
     "op3_decontamination": decontaminate.query,
     "op4_webp_media": webp.query,
