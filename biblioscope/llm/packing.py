@@ -150,8 +150,8 @@ def best_fit_decreasing(counts: dict[int, int], size: int) -> list[tuple[int, in
 
     Rows (length, first, n, sequence, offset): the pieces numbered first .. first + n - 1 of that length go, one
     each, to sequences sequence .. sequence + n - 1, at that offset. Pieces of one length that meet equally tight
-    bins are placed together, which gives the bins that placing them one by one gives; so the work and the rows
-    follow the number of lengths, not of documents.
+    bins are placed together, a bin being filled before the next, which gives the bins that placing them one by one
+    gives; so the work and the rows follow the number of lengths, not of documents.
     """
     tree, groups, made = CapacityTree(size), {}, 0  # groups: remaining capacity -> ranges (first bin, n)
     out: list[tuple[int, int, int, int, int]] = []
@@ -164,36 +164,36 @@ def best_fit_decreasing(counts: dict[int, int], size: int) -> list[tuple[int, in
             own.append((first, n))
         tree.add(capacity, n)
 
+    def fill(length: int, nth: int, left: int, first: int, n: int | None, room: int) -> tuple[int, int]:
+        """Puts up to `left` pieces into n like bins (None: new ones), each filled before the next; returns pieces and bins used."""
+        each = room // length
+        full = left // each if n is None else min(n, left // each)
+        for k in range(each if full else 0):
+            out.append((length, nth + k * full, full, first, size - room + k * length))
+        if full:
+            push(room - each * length, first, full)
+        rest = left - each * full if n is None or full < n else 0
+        for k in range(rest):
+            out.append((length, nth + each * full + k, 1, first + full, size - room + k * length))
+        if rest:
+            push(room - rest * length, first + full, 1)
+        return each * full + rest, full + bool(rest)
+
     for length in sorted(counts, reverse=True):
         left, nth = counts[length], 0
         while left:
             room = tree.tightest(length)
-            if room is None:  # each new bin takes as many of this length as it holds before the next is opened
-                each = size // length
-                full, rest = divmod(left, each)
-                if full:
-                    for k in range(each):
-                        out.append((length, nth, full, made, k * length))
-                        nth += full
-                    push(size - each * length, made, full)
-                    made += full
-                if rest:
-                    for k in range(rest):
-                        out.append((length, nth, 1, made, k * length))
-                        nth += 1
-                    push(size - rest * length, made, 1)
-                    made += 1
-                left = 0
+            if room is None:
+                placed, used = fill(length, nth, left, made, None, size)
+                made += used
             else:
                 first, n = groups[room].pop()
-                take = min(n, left)
-                if take < n:
-                    groups[room].append((first + take, n - take))
-                tree.add(room, -take)
-                out.append((length, nth, take, first, size - room))
-                push(room - length, first, take)
-                nth += take
-                left -= take
+                placed, used = fill(length, nth, left, first, n, room)
+                if used < n:
+                    groups[room].append((first + used, n - used))
+                tree.add(room, -used)
+            nth += placed
+            left -= placed
     return out
 
 
