@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -39,7 +38,7 @@ TEMPLATES = (
 )
 #: So many of a template's words, the rarest in the corpus, are looked up.
 ANCHORS = 4
-#: Words by which a key phrase may be off the place that the votes give.
+#: Words by which a word or key phrase may be off the place that the votes give.
 SLACK = 3
 #: Least share of a template's weight that must stand at its place.
 LEAST = 0.5
@@ -132,25 +131,33 @@ def _places(ids: np.ndarray, first: np.ndarray, phrase: list[int]) -> np.ndarray
 
 def match(index: Index, ids: np.ndarray) -> tuple[set[str], float, list[tuple[str, int, float]]]:
     """Labels, best score and (label, start word, score) of the templates in one document's word ids."""
-    votes: dict[tuple[int, int], set[int]] = {}
+    votes: dict[int, dict[int, set[int]]] = {}  # template -> offset -> anchors
     for p in np.flatnonzero(ids >= 0).tolist():
         for t, q in index.anchors.get(int(ids[p]), ()):
-            votes.setdefault((t, p - q), set()).add(int(ids[p]))
+            votes.setdefault(t, {}).setdefault(p - q, set()).add(int(ids[p]))
     labels: set[str] = set()
     best, spans = 0.0, []
-    for (t, at), seen in votes.items():
+
+    def near(place: int, words_: list[int]) -> bool:
+        return any(0 <= place + d and ids[place + d : place + d + len(words_)].tolist() == words_ for d in range(-SLACK, SLACK + 1))
+
+    for t, offsets in votes.items():
         label, own, phrases = index.templates[t]
-        if len(seen) < min(2, len(set(own))):
-            continue
-        if not all(any(0 <= at + q + d and ids[at + q + d : at + q + d + len(key)].tolist() == key for d in range(-SLACK, SLACK + 1)) for q, key in phrases):
-            continue
         weights = index.weight[own]
-        here = sum(float(w) for q, (w, x) in enumerate(zip(weights, own, strict=True)) if 0 <= at + q < len(ids) and ids[at + q] == x)
-        share = here / float(weights.sum())
-        if share >= LEAST:
-            labels.add(label)
-            spans.append((label, at, share))
-            best = max(best, share)
+        group: list[int] = []
+        for at in [*sorted(offsets), None]:
+            if at is not None and (not group or at - group[-1] <= SLACK):  # words put in or left out move the rest
+                group.append(at)
+                continue
+            seen = set().union(*(offsets[x] for x in group))
+            place = max(group, key=lambda x: (len(offsets[x]), -x))
+            if len(seen) >= min(2, len(set(own))) and all(near(place + q, key) for q, key in phrases):
+                share = sum(float(w) for q, (w, x) in enumerate(zip(weights, own, strict=True)) if near(place + q, [x])) / float(weights.sum())
+                if share >= LEAST:
+                    labels.add(label)
+                    spans.append((label, max(0, place), share))
+                    best = max(best, share)
+            group = [] if at is None else [at]
     return labels, min(1.0, best), spans
 
 
@@ -199,11 +206,6 @@ def scan(docs: DataFrame, index: Index | None = None, id_col: str = "doc_id", te
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_scan(index), SCHEMA)
 
 
-def rarity(df: int, n: int) -> float:
-    """A word's weight."""
-    return max(0.01, math.log((n + 1) / (df + 0.5)))
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: all documents."""
     small_batches(spark)
