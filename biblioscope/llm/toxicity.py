@@ -45,12 +45,14 @@ def _words(text: str | None) -> set[str]:
 
 def fit(texts: list[str | None], toxic: list[int]) -> Model:
     """Each distinct word of a row is an example with the row's label, so a word that toxic rows alone have gets high
-    odds and words of all rows get the share of toxic rows. Every fourth row is held back to calibrate the rows' scores."""
+    odds and words of all rows get the share of toxic rows. Every fourth row of each label is held back to calibrate the rows' scores."""
     counts: dict[str, list[int]] = {}
     held = []
-    for i, (text, y) in enumerate(zip(texts, toxic, strict=True)):
+    nth: Counter = Counter()
+    for text, y in zip(texts, toxic, strict=True):
         words = _words(text)
-        if i % 4 == 3:
+        nth[y] += 1
+        if nth[y] % 4 == 0:
             held.append((words, y))
             continue
         for w in {w.strip(EDGES) for w in words}:
@@ -80,19 +82,19 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
 _memo: dict[int, WordLogits] = {}
 
 
-def _score(model: Model):
-    key = hash(model.table.tobytes())
+def _score(fitted: Model, place: int):
+    key = hash(fitted.table.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _memo:
             _memo.clear()
-            _memo[key] = WordLogits(model.table, SIZES)
+            _memo[key] = WordLogits(fitted.table, SIZES)
         for batch in batches:
             scores = []
-            for text in batch.column(1).to_pylist():
-                x = _features(_memo[key], _words(text)) - model.mean
-                scores.append(float(1 / (1 + np.exp(-np.clip(x @ model.weights[:-1] + model.weights[-1], -30, 30)))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["row_key", "score"])
+            for text in batch.column(place).to_pylist():
+                x = _features(_memo[key], _words(text)) - fitted.mean
+                scores.append(float(1 / (1 + np.exp(-np.clip(x @ fitted.weights[:-1] + fitted.weights[-1], -30, 30)))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
 
     return run
 
@@ -116,23 +118,27 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_label: int) -> list[
     return out
 
 
-def score(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_ROWS_PER_LABEL) -> DataFrame:
-    """docs with a column score (0 to 1), by whole texts; no other column is an input of it.
+def model(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_ROWS_PER_LABEL) -> Model:
+    """Fitted on labelled rows whose crc32(doc_id as text) mod 3 is not 1; without both labels all scores are low and equal."""
+    sample = training_sample(docs, labels, per_label)
+    return fit([t for t, _ in sample], [y for _, y in sample])
 
-    Learns from rows of labels whose crc32(doc_id as text) mod 3 is not 1. Null and empty texts get the score of a text
-    without words. Without usable labels of both kinds all scores are low and equal. Every row of docs is kept with all its columns;
-    a column named score is replaced."""
-    model = fit(*map(list, zip(*sample, strict=True))) if (sample := training_sample(docs, labels, per_label)) else fit([], [])
+
+def apply(docs: DataFrame, fitted: Model) -> DataFrame:
+    """docs with all its columns and score (0 to 1), by whole texts; no other column is an input of it.
+
+    Null and empty texts get the score of a text without words. Repeated rows and ids each get their score; an empty
+    table gives none; a column named score is replaced."""
     names = [c for c in docs.columns if c != "score"]
-    packed = docs.select(F.struct(*names).alias("row_key"), F.col("text"))
-    kind = packed.schema["row_key"].dataType.simpleString()
-    scored = packed.mapInArrow(_score(model), f"row_key {kind}, score double")
-    return scored.select("row_key.*", "score")
+    place = names.index("text")
+    kept = docs.select(*names)
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+    return kept.mapInArrow(_score(fitted, place), f"{kind}, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: all documents."""
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    scored = score(docs, table(spark, sf_dir, "labels"))
+    scored = apply(docs, model(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (id_crc("doc_id") % 3 == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
