@@ -7,13 +7,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORDISH, chunks, lower_ascii, mix, prefix_hash, small_batches, span_hash, table, utf8, words
+from .common import WORDISH, chunks, mix, prefix_hash, small_batches, span_hash, table, utf8, words
 
 #: Words of a seed, and distinct rare seeds of an item that a passage needs to be aligned with it.
 SEED, SEEDS = 3, 2
+#: Times the median document frequency of an item's seeds, beyond which a seed is too common to count.
+COMMON = 8
 #: Smith-Waterman scores by words.
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of the best possible score (all words of the item in order) from which a passage counts as a copy.
@@ -35,23 +38,23 @@ class Items:
     rare: np.ndarray  # of each posting
 
     def rarest(self, df: np.ndarray) -> None:
-        """Marks, for each item, the rarer half of its distinct seeds by document frequency in the whole corpus, and
-        all that are as rare as the last of them; so an item whose every seed is frequent (a passage copied very often)
-        keeps its share, and ties drop nothing."""
+        """Marks the seeds that aren't common phrases: document frequency in the whole corpus up to COMMON times the
+        lower median of the item's seeds that occur. So an item whose every seed is frequent (a passage copied very
+        often) keeps them, and so do edited copies of it, which keep some of its seeds and not others."""
         self.rare = np.zeros(len(self.seed), bool)
         for i in range(len(self.ids)):
             own = np.flatnonzero(self.item == i)
-            if len(own):
-                found = np.unique(self.seed[own])
-                counts = df[found]
-                self.rare[own] = df[self.seed[own]] <= np.sort(counts)[(len(counts) - 1) // 2]
+            counts = np.sort(df[np.unique(self.seed[own])])
+            counts = counts[counts > 0]
+            if len(counts):
+                self.rare[own] = df[self.seed[own]] <= COMMON * counts[(len(counts) - 1) // 2]
 
 
 def _hashed(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For each stretch of documents i..j its word hashes and where each document's begin."""
-    data, at = utf8(column)
+    data, at = utf8(pc.utf8_lower(column))
     for i, j in chunks(at):
-        own, offsets = lower_ascii(data[at[i] : at[j]]), at[i : j + 1] - at[i]
+        own, offsets = data[at[i] : at[j]], at[i : j + 1] - at[i]
         start, end, first = words(own, offsets, WORDISH)
         yield i, j, span_hash(prefix_hash(own), start, end), first
 
