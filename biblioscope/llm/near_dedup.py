@@ -23,6 +23,8 @@ MARGIN = 4.0
 GROUP_ROWS = 500
 #: Up to so many candidate rows (40 bytes each) are broadcast to pick their texts; beyond that the texts are shuffled.
 BROADCAST_ROWS = 500_000
+#: Documents of a block; a task compares two blocks.
+BLOCK = 512
 
 _rng = np.random.default_rng(20_24)
 _MULTIPLY = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -135,6 +137,87 @@ def _verify(k: int, percent: int):
     return run
 
 
+def with_texts(docs: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """rows (stored) with the texts of the ids in key; few rows are broadcast, so that texts stay where they are read."""
+    picked = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    return docs.select(F.col("doc_id").alias(key), "text").join(picked, key)
+
+
+def _across(k: int, percent: int):
+    """Streams groups (a pair of blocks) sorted by group: links between documents of different components that their full
+    sets give, as a spanning forest of the components in the group. Exact counts come from postings of the second block."""
+
+    def links(rows: list[tuple], same: bool) -> Iterator[tuple[int, int]]:
+        one = rows if same else [r for r in rows if r[2] == 0]
+        two = rows if same else [r for r in rows if r[2] == 1]
+        if not one or not two or len({r[1] for r in rows}) < 2:
+            return
+        shingles = np.concatenate([r[3] for r in two])
+        owner = np.repeat(np.arange(len(two)), [len(r[3]) for r in two])
+        order = np.argsort(shingles, kind="stable")
+        shingles, owner = shingles[order], owner[order]
+        sizes = np.array([len(r[3]) for r in two])
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while parent.get(c, c) != c:
+                c = parent[c]
+            return c
+
+        for doc, component, _, own in one:
+            lo, hi = np.searchsorted(shingles, own), np.searchsorted(shingles, own, side="right")
+            n = hi - lo
+            hits = owner[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            both = np.bincount(hits, minlength=len(two))
+            for j in np.flatnonzero(100 * both >= percent * (len(own) + sizes - both)).tolist():
+                x, y = root(component), root(two[j][1])
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    yield min(doc, two[j][0]), max(doc, two[j][0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        found: list[tuple[int, int]] = []
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("super", "one", "two")), strict=True))
+            ids, components_, sides = (batch.column(c).to_pylist() for c in ("id", "c", "side"))
+            data, at = utf8(batch.column(batch.schema.get_field_index("text")))
+            row = 0
+            for i, j in chunks(at):
+                for s in shingle_sets(data[at[i] : at[j]], at[i : j + 1] - at[i], k):
+                    if group != keys[row]:
+                        if group is not None:
+                            found += links(held, group[1] == group[2])
+                        group, held = keys[row], []
+                    held.append((ids[row], components_[row], sides[row], s))
+                    row += 1
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+            found = []
+        if group is not None:
+            found += links(held, group[1] == group[2])
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+
+    return run
+
+
+def across_components(docs: DataFrame, open_bands: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between components that share a band, for rows (key, id, c) of such bands.
+
+    Documents joined by open bands make a family; a family is cut into blocks of BLOCK documents or so by hash, and every
+    two of its blocks meet in a task, where full sets are compared. So nothing is left out, no task grows with a family,
+    and only links that join components leave the task."""
+    first = open_bands.groupBy("key").agg(F.min("id").alias("a"))
+    family = components(open_bands.join(first, "key").select("a", F.col("id").alias("b")).distinct())
+    own = open_bands.select("id", "c").distinct().join(family.select(F.col("node").alias("id"), F.col("component").alias("super")), "id")
+    own = stored(own, "families")
+    blocks = own.groupBy("super").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = stored(own.join(blocks, "super").select("super", "id", "c", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")), "blocks")
+    texts = with_texts(docs, rows, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = texts.select("super", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "c", "text")
+    dealt = dealt.repartition("super", "one", "two").sortWithinPartitions("super", "one", "two")
+    return stored(dealt.mapInArrow(_across(k, percent), "a bigint, b bigint"), "links")
+
+
 def confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b), a < b, that the likelihood lets pass and whose full sets reach the threshold."""
     one = classes.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("reg_a"))
@@ -145,9 +228,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, per
     groups = screened.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("salts"))
     members = screened.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("is_member"), F.col("b").alias("member"))
     leaders = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("is_member"), F.col("a").alias("member"))
-    rows = stored(members.unionByName(leaders), "groups")
-    picked = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-    texts = docs.select(F.col("doc_id").alias("member"), "text").join(picked, "member").select("a", "salt", "is_member", "member", "text")
+    texts = with_texts(docs, stored(members.unionByName(leaders), "groups"), "member").select("a", "salt", "is_member", "member", "text")
     dealt = texts.repartition("a", "salt").sortWithinPartitions("a", "salt", "is_member")
     return stored(dealt.mapInArrow(_verify(k, percent), "a bigint, b bigint"), "links")
 
@@ -166,11 +247,9 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.select("u", "v").union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        large = stored(large, "stars")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
-        now = stored(small, "stars")
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        now = stored(small.filter("u != v").distinct(), "stars")
     nodes = now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
     return stored(nodes.union(now.select("v", "v").distinct()).groupBy("node").agg(F.min("component").alias("component")), "components") if before else spark.createDataFrame([], "node bigint, component bigint")
 
@@ -181,7 +260,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     Documents with percent * union <= 100 * intersection of their k-word shingle sets are linked; component_id is the
     smallest doc_id reachable, kept where that is the document's own. Equal sets are one class, which collapses copies
     before any join. Pairs come from bands: first each band's members with its smallest member; then, where a band
-    still holds several components, the pairs across them that were not yet tried. Empty and null texts, and rows with a null id,
+    still holds several components, its members in blocks (see across_components). Empty and null texts, and rows with a null id,
     are linked with nothing (a null id has a null component and is kept). Rows that share an id count as one document.
     An empty table gives no rows; other columns are ignored; texts are whole."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
@@ -192,19 +271,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     bands = classes.select(F.col("rep").alias("id"), F.explode(keys).alias("key"))
     leaders = bands.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("last"), F.count(F.lit(1)).alias("many")).filter("a != last")
     shared = stored(bands.join(leaders.select("key", "a", "many"), "key"), "bands")
-    stars = shared.filter("id != a").select("a", F.col("id").alias("b")).distinct()
     texts = rows.filter("doc_id is not null")
-    links = confirmed(texts, stars, classes, k, percent)
-    found = components(links)
-    # bands of three and more that still hold several components
-    named = shared.filter("many > 2").join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    links = confirmed(texts, shared.filter("id != a").select("a", F.col("id").alias("b")).distinct(), classes, k, percent)
+    label = components(links).withColumnRenamed("node", "id")
+    # bands of three and more members that still hold several components
+    named = stored(shared.filter("many > 2").join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), "named")
     mixed = named.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least != most").select("key")
-    open_bands = stored(named.join(mixed, "key", "left_semi"), "open-bands")
-    across = open_bands.alias("x").join(open_bands.alias("y"), F.expr("x.key = y.key and x.id < y.id and x.c != y.c")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    untried = across.distinct().join(stars, ["a", "b"], "left_anti")
-    more = confirmed(texts, untried, classes, k, percent)
-    label = components(links.union(more))
-    own = classes.select("digest", "rep").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    more = across_components(texts, stored(named.join(mixed, "key"), "open-bands"), k, percent)
+    label = components(links.union(more)).withColumnRenamed("node", "id")
+    own = classes.select("digest", "rep").join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = sketches.select("doc_id", "n_shingles", "digest").join(own, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
