@@ -18,7 +18,7 @@ def grams(words: list[str], sizes: tuple[int, ...], buckets: int) -> tuple[np.nd
     encoded = [f"<{w.lower().strip(EDGES)}>".encode("utf-8", "replace") for w in words]
     lengths = np.array([len(e) for e in encoded], np.int64)
     data = np.frombuffer(b"".join(encoded), np.uint8).astype(np.uint64) + np.uint64(1)
-    owner = np.repeat(np.arange(len(words)), lengths)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
     inside = np.concatenate([[0], np.cumsum(lengths)])[owner + 1] - np.arange(len(data)) if len(data) else np.zeros(0, np.int64)
     ids, whose = [], []
     for n in sizes:
@@ -26,11 +26,11 @@ def grams(words: list[str], sizes: tuple[int, ...], buckets: int) -> tuple[np.nd
         h = np.full(len(start), n, np.uint64)
         for j in range(n):
             h = h * np.uint64(0x100000001B3) + data[start + j]
-        ids.append(mix(h) % np.uint64(buckets))
+        ids.append((mix(h) % np.uint64(buckets)).astype(np.int32))
         whose.append(owner[start])
-    ids.append(np.zeros(len(words), np.uint64))  # a bias of each word, so that none is empty
-    whose.append(np.arange(len(words)))
-    ids_all, whose_all = np.concatenate(ids).astype(np.int64), np.concatenate(whose)
+    ids.append(np.zeros(len(words), np.int32))  # a bias of each word, so that none is empty
+    whose.append(np.arange(len(words), dtype=np.int32))
+    ids_all, whose_all = np.concatenate(ids), np.concatenate(whose)
     order = np.argsort(whose_all, kind="stable")
     return ids_all[order], np.searchsorted(whose_all[order], np.arange(len(words) + 1))
 
@@ -43,6 +43,7 @@ def train(ids: np.ndarray, starts: np.ndarray, targets: np.ndarray, buckets: int
     rng = np.random.default_rng(seed)
     classes = targets.shape[1]
     used, ids = np.unique(ids, return_inverse=True)
+    ids = ids.astype(np.int32)
     embed = (rng.standard_normal((len(used), dim)) * 0.1).astype(np.float32)
     out = (rng.standard_normal((dim, classes)) * 0.1).astype(np.float32)
     g_embed, g_out = np.full(len(used), 1e-3, np.float32), np.full((dim, classes), 1e-3, np.float32)

@@ -17,8 +17,12 @@ from .subwords import EDGES, WordLogits, grams, train
 SIZES = (2, 3, 4, 5)
 BUCKETS = 1 << 17
 #: The model is fitted on at most so many labelled rows of each label, those with the smallest id hashes.
-TRAIN_ROWS_PER_LABEL = 2500
+TRAIN_ROWS_PER_LABEL = 1500
 THRESHOLD = 0.7
+#: Rows of the sample's mix that each word is taken to have been seen in besides its own.
+SMOOTHING = 1.0
+#: Passes over the words at least, batches in all at least, and the step size.
+EPOCHS, STEPS, RATE = 15, 3000, 0.5
 TOP = 3
 
 
@@ -43,8 +47,8 @@ def _words(text: str | None) -> set[str]:
     return set((text or "").lower().split())
 
 
-def fit(texts: list[str | None], toxic: list[int]) -> Model:
-    """Each distinct word of a row is an example with the row's label, so a word that toxic rows alone have gets high
+def fit(texts: list[str | None], toxic: list[int], prior: float | None = None) -> Model:
+    """prior is the share of toxic rows in the table that the sample is from (None: as in the sample). Each distinct word of a row is an example with the row's label, so a word that toxic rows alone have gets high
     odds and words of all rows get the share of toxic rows. Every fourth row of each label is held back to calibrate the rows' scores."""
     counts: dict[str, list[int]] = {}
     held = []
@@ -58,24 +62,26 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
         for w in {w.strip(EDGES) for w in words}:
             counts.setdefault(w, [0, 0])[int(y)] += 1
     empty = Model(np.zeros((BUCKETS, 2), np.float32), np.zeros(TOP + 1), np.array([0.0] * (TOP + 1) + [-2.0]))
-    if not counts or len({y for _, y in held}) < 2:
-        return empty
     vocabulary = list(counts)
+    if not vocabulary or len({y for _, y in held}) < 2:
+        return empty
     ids, starts = grams(vocabulary, SIZES, BUCKETS)
-    targets = np.sqrt(np.array([counts[w] for w in vocabulary], np.float32).sum(1, keepdims=True))
-    shares = np.array([counts[w] for w in vocabulary], np.float32)
-    shares = (shares + [[0.9, 0.1]]) / (shares.sum(1, keepdims=True) + 1)
-    weights = train(ids, starts, (shares * targets).astype(np.float32), BUCKETS, dim=16, epochs=12, batch=512, rate=0.3)
+    seen = np.array([counts[w] for w in vocabulary], np.float32)
+    base = np.bincount(np.array(toxic), minlength=2)[None, :] / len(toxic)
+    shares = (seen + SMOOTHING * base) / (seen.sum(1, keepdims=True) + SMOOTHING)  # a word seen once says little
+    weights = train(ids, starts, (shares * seen.sum(1, keepdims=True)).astype(np.float32), BUCKETS, dim=16, epochs=max(EPOCHS, STEPS * 512 // len(vocabulary)), batch=512, rate=RATE)
     memo = WordLogits(weights, SIZES)
     x = np.stack([_features(memo, w) for w, _ in held])
     y = np.array([y for _, y in held], float)
     mean = x.mean(0)
+    own = y.mean()
+    weight = np.where(y == 1, (prior if prior else own) / own, (1 - (prior if prior else own)) / (1 - own))  # as in the whole table
     design = np.column_stack([x - mean, np.ones(len(x))])
     w = np.zeros(design.shape[1])
     for _ in range(50):  # ridge logistic regression by Newton steps
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        hessian = design.T @ (design * (p * (1 - p))[:, None]) + 0.5 * np.eye(len(w))
-        w -= np.linalg.solve(hessian, design.T @ (p - y) + 0.5 * w)
+        hessian = design.T @ (design * (weight * p * (1 - p))[:, None]) + 0.5 * np.eye(len(w))
+        w -= np.linalg.solve(hessian, design.T @ (weight * (p - y)) + 0.5 * w)
     return Model(weights, mean, w)
 
 
@@ -99,8 +105,9 @@ def _score(fitted: Model, place: int):
     return run
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, per_label: int) -> list[tuple[str | None, int]]:
-    """At most per_label rows of each label, by the smallest id hashes; only their texts come to the driver."""
+def training_sample(docs: DataFrame, labels: DataFrame, per_label: int) -> tuple[list[tuple[str | None, int]], float | None]:
+    """At most per_label rows of each label, by the smallest id hashes, and the share of toxic ones in all; only the
+    sample's texts come to the driver."""
     usable = labels.filter((id_crc("doc_id") % 3 != 1) & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic").distinct()
     counts = {r[0]: r[1] for r in usable.groupBy("toxic").count().collect()}
     order = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40))
@@ -115,13 +122,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_label: int) -> list[
         if taken[y] < per_label:
             taken[y] += 1
             out.append((text, y))
-    return out
+    return out, counts.get(1, 0) / max(1, sum(counts.values())) or None
 
 
 def model(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_ROWS_PER_LABEL) -> Model:
     """Fitted on labelled rows whose crc32(doc_id as text) mod 3 is not 1; without both labels all scores are low and equal."""
-    sample = training_sample(docs, labels, per_label)
-    return fit([t for t, _ in sample], [y for _, y in sample])
+    sample, prior = training_sample(docs, labels, per_label)
+    return fit([t for t, _ in sample], [y for _, y in sample], prior)
 
 
 def apply(docs: DataFrame, fitted: Model) -> DataFrame:
