@@ -104,8 +104,8 @@ def brute_repeats(rows, size):
     return out
 
 
-@pytest.mark.parametrize("batch", [suffix_dedup.BATCH, 200])
-def test_suffix_family_finds_all_repeats(batch, monkeypatch):
+@pytest.mark.parametrize(("batch", "hot"), [(suffix_dedup.BATCH, 0), (200, 0), (500, 1), (500, 2)])
+def test_suffix_family_finds_all_repeats(batch, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BATCH", batch)
     monkeypatch.setattr(suffix_dedup, "STRETCH", 1 << 11)
     rng = np.random.default_rng(batch)
@@ -114,8 +114,11 @@ def test_suffix_family_finds_all_repeats(batch, monkeypatch):
     texts += ["".join(rng.choice(list("abc"), 80)) + base[200:330] + "".join(rng.choice(list("abc"), 80)) for _ in range(12)]
     rows = list(enumerate(texts))
 
-    class Sent:
-        value = np.full(1 << 25, 255, np.uint8)
+    data = "".join(texts).encode()
+    anchors = np.unique(suffix_dedup.gram_hashes(np.frombuffer(data, np.uint8)) >> np.uint64(64 - suffix_dedup.COMPARED))
+
+    class Sent:  # none, all or half of the anchors are hot
+        value = (np.full(1 << 25, 255, np.uint8), anchors[:: hot] if hot else anchors[:0])
 
     batch_ = pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array(texts)], ["doc_id", "text"])
     dealt = list(suffix_dedup._deal(3, Sent)(iter([batch_])))
