@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -99,22 +99,38 @@ def count_word_pieces(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"(?U)\w+|\s|[^\w\s]"))
 
 
-def tokens(text: Column, stop: Iterable[str] = STOPWORDS, compose: bool = True) -> Column:
-    """Lower-case tokens of three characters or more, without stop words and numbers; [] under ten characters."""
-    out = F.regexp_replace(F.lower(nfc(text) if compose else text), rf"[^{TOKEN_LETTERS}\s]", " ")
+def composed(df: DataFrame, column: str) -> DataFrame:
+    """df with the column in NFC; for tokens(), whose list functions can't hold a Python function."""
+    return df.withColumn(column, nfc(F.col(column)))
+
+
+def tokens(text: Column, stop: Iterable[str] = STOPWORDS) -> Column:
+    """Lower-case tokens of three characters or more, without stop words and numbers; [] under ten characters. Text is in NFC."""
+    out = F.regexp_replace(F.lower(text), rf"[^{TOKEN_LETTERS}\s]", " ")
     words = F.filter(F.split(out, r"\s+"), lambda w: (F.length(w) >= 3) & ~w.rlike(r"^[0-9]+$"))
     words = F.filter(words, lambda w: ~w.isin(*stop))
     return F.when(F.length(text) >= 10, words).otherwise(F.array().cast("array<string>"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body names it: list functions evaluate their arguments anew at
+    each mention, but a lambda's variable is bound."""
+    return F.transform(F.array(value), body)[0]
+
+
 def ngrams(words: Column, most: int = 3) -> Column:
-    """All n-grams of 1 to `most` words, in order of n, repeats kept."""
-    out = words
-    for n in range(2, most + 1):
-        last = F.greatest(F.size(words) - (n - 1), F.lit(0))
-        own = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i, n=n: F.array_join(F.slice(words, i, n), " "))
-        out = F.concat(out, F.when(last > 0, own).otherwise(F.array().cast("array<string>")))
-    return out
+    """All n-grams of 1 to `most` words, in order of n, repeats kept, by zipping neighbours."""
+
+    def longer(own: Column, words_: Column, n: int) -> Column:
+        tail = F.slice(words_, n, F.greatest(F.size(words_), F.lit(1)))
+        return F.filter(F.zip_with(own, tail, lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.concat_ws(" ", a, b))), lambda g: g.isNotNull())
+
+    def all_of(words_: Column, own: Column, n: int) -> Column:
+        if n > most:
+            return own
+        return let(longer(own, words_, n), lambda grams: F.concat(own, all_of(words_, grams, n + 1)))
+
+    return let(words, lambda w: all_of(w, w, 2))
 
 
 def normalise_term(term: Column) -> Column:
@@ -144,11 +160,20 @@ def rebuild_abstract(index: Column) -> Column:
 
     Negative positions are skipped; a position beyond MOST_POSITION makes the whole text empty; gaps leave empty words;
     of words at one position the last in the map wins."""
-    flat = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    flat = F.filter(flat, lambda x: x["p"] >= 0)
-    last = F.array_max(F.transform(flat, lambda x: x["p"]))
-    at = F.transform(F.sequence(F.lit(0), last), lambda i: F.coalesce(F.try_element_at(F.transform(F.filter(flat, lambda x: x["p"] == i), lambda x: x["w"]), F.lit(-1)), F.lit("")))
-    return F.when(F.size(flat) == 0, F.lit("")).when(last > MOST_POSITION, F.lit("")).otherwise(F.trim(F.array_join(at, " ")))
+    flat = F.flatten(F.transform(F.map_entries(index), lambda e, k: F.transform(e["value"], lambda p: F.struct(p.alias("p"), k.alias("k"), e["key"].alias("w")))))
+    flat = F.array_sort(F.filter(flat, lambda x: x["p"] >= 0))
+
+    def build(entries: Column) -> Column:
+        rest = F.slice(entries, 2, F.greatest(F.size(entries), F.lit(1)))
+        with_next = F.zip_with(entries, rest, lambda x, y: F.struct(x["p"].alias("p"), x["w"].alias("w"), y["p"].alias("q")))
+        return let(F.filter(with_next, lambda x: x["q"].isNull() | (x["q"] != x["p"])), spaced)  # the last of equal positions
+
+    def spaced(words: Column) -> Column:
+        before = F.slice(F.concat(F.slice(words, 1, 1), words), 1, F.greatest(F.size(words), F.lit(1)))
+        gaps = F.zip_with(words, before, lambda x, y: F.concat(F.repeat(F.lit(" "), x["p"] - y["p"]), x["w"]))  # a space for each place
+        return F.when(F.size(words) == 0, F.lit("")).when(F.element_at(words, -1)["p"] > MOST_POSITION, F.lit("")).otherwise(F.trim(F.array_join(gaps, "")))
+
+    return let(flat, build)
 
 
 def rebuild_abstract_compact(index: Column) -> Column:

@@ -154,7 +154,7 @@ def _flagged(spark: SparkSession, d: str) -> DataFrame:
 
 
 _FLAGGED = rf"""{ASCII}, f AS (SELECT id, id % 50 = 0 AS f1, regexp_matches(titulo, '(?i)(?:\bretraction\b|\bretracted\b|\bthe\b|\bidiot\b)') AS f2, id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS f3 FROM ascii),
-g AS (SELECT id, f1 OR f2 OR f3 AS flag_retratado, array_to_string(list_filter([CASE WHEN f1 THEN 'openalex' END, CASE WHEN f2 THEN 'keyword' END, CASE WHEN f3 THEN 'retraction_watch' END], x -> x IS NOT NULL), ';') AS motivo_retracao, f1, f2, f3 FROM f)"""
+g AS (SELECT id, f1 OR f2 OR f3 AS flag_retratado, array_to_string(list_filter([CASE WHEN f1 THEN 'openalex' END, CASE WHEN f2 THEN 'keyword' END, CASE WHEN f3 THEN 'retraction_watch' END], lambda x: x IS NOT NULL), ';') AS motivo_retracao, f1, f2, f3 FROM f)"""
 
 
 @query(f"WITH {_FLAGGED} SELECT id, flag_retratado, motivo_retracao FROM g")
@@ -239,9 +239,11 @@ def inverted_index_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 _TOKENS = rf"""{CORPUS}, tok AS (SELECT id, journal, CASE WHEN length(abstract) >= 10 THEN list_filter(string_split_regex(regexp_replace(lower(abstract), '[^{T.TOKEN_LETTERS}\s]', ' ', 'g'), '\s+'),
-  w -> length(w) >= 3 AND NOT regexp_full_match(w, '[0-9]+') AND w NOT IN ({_STOP})) ELSE [] END AS t FROM corpus),
-grams AS (SELECT id, journal, list_concat(list_concat(t, list_transform(range(1, len(t)), i -> t[i] || ' ' || t[i + 1])), list_transform(range(1, greatest(len(t) - 1, 1)), i -> t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) AS g FROM tok),
-terms AS (SELECT id, journal, term, count(*) AS n, count(*) / CAST(len(any_value(g)) AS DOUBLE) AS tf FROM (SELECT id, journal, g, unnest(g) AS term FROM grams) GROUP BY 1, 2, 3)"""
+  lambda w: length(w) >= 3 AND NOT regexp_full_match(w, '[0-9]+') AND w NOT IN ({_STOP})) ELSE [] END AS t FROM corpus),
+w AS (SELECT id, journal, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM tok),
+three AS (SELECT id, journal, w, lead(w, 1) OVER p AS w2, lead(w, 2) OVER p AS w3 FROM w WINDOW p AS (PARTITION BY id ORDER BY i)),
+grams AS (SELECT id, journal, w AS term FROM three UNION ALL SELECT id, journal, w || ' ' || w2 FROM three WHERE w2 IS NOT NULL UNION ALL SELECT id, journal, w || ' ' || w2 || ' ' || w3 FROM three WHERE w3 IS NOT NULL),
+terms AS (SELECT id, journal, term, count(*) AS n, count(*) / CAST(sum(count(*)) OVER (PARTITION BY id) AS DOUBLE) AS tf FROM grams GROUP BY 1, 2, 3)"""
 
 
 @query(f"""WITH {_TOKENS} SELECT term, count(*) AS df, round(sum(tf), 6) AS freq_global, CAST(sum(n) AS BIGINT) AS n_ocorrencias, round(ln((SELECT count(*) FROM documents) / CAST(count(*) AS DOUBLE)), 6) AS idf,
@@ -284,7 +286,7 @@ _PATTERNS = (*T.INJECTION_MARKS, r"\bis\s+to\b", r"\bof\s+the\b")
 _PATTERN_SQL = "(?i)(?:" + "|".join(_PATTERNS).replace("'", "''") + ")"
 
 
-@query(rf"""SELECT conv_id, turn, array_to_string(list_slice(list_sort(list_distinct(list_transform(regexp_extract_all(role || chr(10) || text, '{_PATTERN_SQL}'), x -> lower(trim(x))))), 1, 5), '; ') AS motivo
+@query(rf"""SELECT conv_id, turn, array_to_string(list_slice(list_sort(list_distinct(list_transform(regexp_extract_all(role || chr(10) || text, '{_PATTERN_SQL}'), lambda x: lower(trim(x))))), 1, 5), '; ') AS motivo
   FROM conversations WHERE regexp_full_match(text, '[\x09\x0A\x0D -~]*')""")
 def injection_flags(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "conversations").filter(F.col("text").rlike(r"\A[\x09\x0A\x0D -~]*\z"))
@@ -355,7 +357,7 @@ def epi_uncertainty(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT doc_id AS id, CASE WHEN quality = 1 AND toxic = 1 THEN 'mixed' WHEN quality = 1 THEN 'positivista' WHEN toxic = 1 THEN 'interpretativa' ELSE 'nenhuma' END AS orientacao_proeminente,
-  CASE WHEN quality + toxic + doc_id % 2 = 0 THEN 'all_zero' ELSE array_to_string(list_filter([CASE WHEN quality = 1 THEN 'EE' END, CASE WHEN toxic = 1 THEN 'IC' END, CASE WHEN doc_id % 2 = 1 THEN 'DN' END], x -> x IS NOT NULL), '+') END AS configuracao,
+  CASE WHEN quality + toxic + doc_id % 2 = 0 THEN 'all_zero' ELSE array_to_string(list_filter([CASE WHEN quality = 1 THEN 'EE' END, CASE WHEN toxic = 1 THEN 'IC' END, CASE WHEN doc_id % 2 = 1 THEN 'DN' END], lambda x: x IS NOT NULL), '+') END AS configuracao,
   CAST(quality + toxic + doc_id % 2 = 0 AS INTEGER) AS inconclusiva FROM labels""")
 def derive_orientation(spark: SparkSession, d: str) -> DataFrame:
     return _flags(spark, d).select("id", "orientacao_proeminente", "configuracao", "inconclusiva")
@@ -366,7 +368,7 @@ def _flags(spark: SparkSession, d: str) -> DataFrame:
     return S.derive(own)
 
 
-@query("""WITH c AS (SELECT CASE WHEN quality + toxic + doc_id % 2 = 0 THEN 'all_zero' ELSE array_to_string(list_filter([CASE WHEN quality = 1 THEN 'EE' END, CASE WHEN toxic = 1 THEN 'IC' END, CASE WHEN doc_id % 2 = 1 THEN 'DN' END], x -> x IS NOT NULL), '+') END AS configuracao FROM labels)
+@query("""WITH c AS (SELECT CASE WHEN quality + toxic + doc_id % 2 = 0 THEN 'all_zero' ELSE array_to_string(list_filter([CASE WHEN quality = 1 THEN 'EE' END, CASE WHEN toxic = 1 THEN 'IC' END, CASE WHEN doc_id % 2 = 1 THEN 'DN' END], lambda x: x IS NOT NULL), '+') END AS configuracao FROM labels)
   SELECT configuracao, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM c), 4) AS pct FROM c GROUP BY 1""")
 def flag_patterns(spark: SparkSession, d: str) -> DataFrame:
     return annotations.patterns(_flags(spark, d))
@@ -376,7 +378,7 @@ def flag_patterns(spark: SparkSession, d: str) -> DataFrame:
   y AS (SELECT *, CASE WHEN n0 = 'none' THEN '' ELSE n0 END AS n FROM x)
   SELECT id, array_to_string(list_filter([CASE WHEN c NOT IN (1, 2, 3) THEN 'confidence range' END, CASE WHEN c <= 1 AND n = '' THEN 'low confidence without notes' END,
     CASE WHEN c <= 1 AND n <> '' AND NOT regexp_matches(upper(n), 'EE|IC|DN') THEN 'low confidence without a named mark' END, CASE WHEN dn = 1 AND NOT regexp_matches(n, 'dn:(ambos|modo|norm)') THEN 'doctrine without a tag' END,
-    CASE WHEN q = 0 AND t = 0 AND dn = 0 AND c > 1 THEN 'all zero with confidence' END], v -> v IS NOT NULL), '|') AS violations FROM y""")
+    CASE WHEN q = 0 AND t = 0 AND dn = 0 AND c > 1 THEN 'all zero with confidence' END], lambda v: v IS NOT NULL), '|') AS violations FROM y""")
 def row_violations(spark: SparkSession, d: str) -> DataFrame:
     note = F.element_at(F.array(*map(F.lit, ("", "EE dn:modo", "none", "unsure"))), (F.col("doc_id") % 4 + 1).cast("int"))
     found = S.violations(F.col("quality").cast("string"), F.col("toxic").cast("string"), (F.col("doc_id") % 2).cast("string"), (F.col("doc_id") % 5).cast("string"), note)
@@ -693,7 +695,7 @@ def _topics(spark: SparkSession, d: str) -> DataFrame:
 _CODES = "['si', 'ps', 'sts', 'law', 'pa', 'bcs']"
 _NORM = lambda c: rf"trim(regexp_replace(regexp_replace(trim(lower({c})), '[^a-zñáàâãäéèêëíîïóôõöúûüç_/ -]', '', 'g'), '\s+', ' ', 'g'))"
 _VALID = f"""{CORPUS}, lw AS (SELECT id % 6 AS k, unnest(string_split(titulo, ' ')) AS w FROM corpus), lx AS (SELECT k, list(DISTINCT {_NORM("w")}) AS l FROM lw WHERE {_NORM("w")} <> '' GROUP BY 1),
-tt AS (SELECT item_id, list_distinct(list_filter(list_transform(list_slice(string_split(text, ' '), 1, 30), w -> {_NORM("w")}), w -> w <> '')) AS t FROM benchmark),
+tt AS (SELECT item_id, list_distinct(list_filter(list_transform(list_slice(string_split(text, ' '), 1, 30), lambda w: {_NORM("w")}), lambda w: w <> '')) AS t FROM benchmark),
 j AS (SELECT item_id, k, CAST(len(list_intersect(t, l)) AS DOUBLE) / len(list_distinct(list_concat(t, l))) AS j FROM tt, lx),
 b AS (SELECT item_id, max(j) AS m FROM j GROUP BY 1), v AS (SELECT b.item_id, m, (SELECT min(k) FROM j WHERE j.item_id = b.item_id AND j = m) AS k FROM b)"""
 

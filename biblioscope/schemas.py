@@ -6,19 +6,28 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 AUTHORSHIPS = "array<struct<author: struct<id: string, display_name: string>, author_position: string, is_corresponding: boolean, institutions: array<struct<id: string, country_code: string>>, countries: array<string>>>"
-CORPUS_RAW = StructType.fromDDL(
+_KINDS = {"string": StringType(), "int": IntegerType(), "double": DoubleType(), "boolean": BooleanType()}
+
+
+def flat(columns: str) -> StructType:
+    """A schema of plain columns, "name type, ..."; no session is needed."""
+    return StructType([StructField(name, _KINDS[kind]) for name, kind in (c.split() for c in columns.split(","))])
+
+
+CORPUS_RAW = flat(
     "id string, doi string, titulo string, abstract_raw string, abstract string, ano int, data_publicacao string, periodico_nome string, periodico_source_id string, "
     "periodico_issn_l string, idioma string, citacoes int, tipo_obra string, is_retracted boolean, autores string, referencias string, concepts string, data_coleta string"
 )
-ANNOTATION_EXPORT = StructType.fromDDL(
-    "id bigint, data struct<id: string>, annotations array<struct<completed_by: struct<email: string>, result: array<struct<from_name: string, value: struct<choices: array<string>, text: array<string>>>>>>"
-)
-RATINGS = StructType.fromDDL("item string, rater string, category string")
-EDGES = StructType.fromDDL("a string, b string, weight double")
-LEXICON = StructType.fromDDL("cluster string, lemma string")
+_VALUE = StructType([StructField("choices", ArrayType(StringType())), StructField("text", ArrayType(StringType()))])
+_RESULT = StructType([StructField("from_name", StringType()), StructField("value", _VALUE)])
+_ANNOTATION = StructType([StructField("completed_by", flat("email string")), StructField("result", ArrayType(_RESULT))])
+ANNOTATION_EXPORT = StructType([StructField("id", LongType()), StructField("data", flat("id string")), StructField("annotations", ArrayType(_ANNOTATION))])
+RATINGS = flat("item string, rater string, category string")
+EDGES = flat("a string, b string, weight double")
+LEXICON = flat("cluster string, lemma string")
 
 
 def mismatches(df: DataFrame, schema: StructType) -> list[str]:
