@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -71,6 +72,28 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
+_remembered: dict = {}
+
+
+def remembered(key, make):
+    """What a worker keeps from task to task (a tokenizer, a memo): one thing at a time, so memos of different operators
+    don't add up in a worker that is used again."""
+    if key not in _remembered:
+        _remembered.clear()
+        release()
+        _remembered[key] = make()
+    return _remembered[key]
+
+
+def release() -> None:
+    """Gives free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer."""
     x = x ^ (x >> np.uint64(30))

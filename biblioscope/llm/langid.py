@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_crc, small_batches, table
+from .common import id_crc, remembered, small_batches, table
 from .subwords import WordLogits, grams, train
 
 SIZES = (1, 2, 3, 4)
@@ -92,17 +92,11 @@ def _logits(memo: WordLogits, words: list[str]) -> np.ndarray:
     return memo.sums[rows].sum(0, dtype=np.float64) / memo.counts[rows].sum(dtype=np.float64)
 
 
-_memo: dict[int, WordLogits] = {}
-
-
 def _predict(model: Model):
     key = hash(model.table.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _memo:
-            _memo.clear()
-            _memo[key] = WordLogits(model.table, SIZES)
-        memo = _memo[key]
+        memo = remembered(("languages", key), lambda: WordLogits(model.table, SIZES))
         for batch in batches:
             texts = batch.column(2).to_pylist()
             langs, scores, rejected = [], [], []

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, chunks, lower_ascii, mix, prefix_hash, small_batches, span_hash, stored, table, utf8, words
+from .common import NOT_SPACE, chunks, lower_ascii, mix, prefix_hash, release, small_batches, span_hash, stored, table, utf8, words
 
 #: Sketch parameters: registers, their base and rate, and rows of a band. 32 bands of 4 registers miss a pair of
 #: similarity 0.8 with probability (1 - 0.8^4)^32, less than 1e-7.
@@ -91,6 +91,7 @@ def _sketches(k: int):
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     registers.append(sketch(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(registers, pa.binary())], ["doc_id", "n_shingles", "digest", "registers"])
+        release()
 
     return run
 

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, utf8
+from .common import remembered, small_batches, table, utf8
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", "email", "ip", "card", "phone", "secret", "ssn")
@@ -320,15 +320,10 @@ def _candidates(column: pa.Array) -> tuple[list[int], list[str]]:
 
 
 SCHEMA = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"
-_taggers: dict[int, Tagger] = {}
 
 
 def _tagger(field: Field) -> Tagger:
-    key = hash(field.weights.tobytes())
-    if key not in _taggers:
-        _taggers.clear()
-        _taggers[key] = Tagger(field)
-    return _taggers[key]
+    return remembered(("tagger", hash(field.weights.tobytes())), lambda: Tagger(field))
 
 
 def _scan(field: Field):

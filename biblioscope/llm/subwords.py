@@ -78,7 +78,7 @@ def train(ids: np.ndarray, starts: np.ndarray, targets: np.ndarray, buckets: int
 class WordLogits(dict):
     """word -> row; sums[row] is the sum of its subwords' logit shares, sizes[row] their number. Bounded memory."""
 
-    def __init__(self, table: np.ndarray, sizes: tuple[int, ...], most: int = 400_000) -> None:
+    def __init__(self, table: np.ndarray, sizes: tuple[int, ...], most: int = 250_000) -> None:
         self.table, self.orders, self.most = table, sizes, most
         self.reset()
 

@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, small_batches, table
+from .common import remembered, shared_path, small_batches, table
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 #: Entries of a worker's memo of word counts; when full it is emptied, so it bounds memory and changes no result.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 300_000
 _UNITS = re.compile(" +[^ ]*|[^ ]+")
 
 
@@ -54,13 +54,8 @@ class PieceCounter(dict):
         return sum(map(self.__getitem__, parts))
 
 
-_counters: dict[str, PieceCounter] = {}
-
-
 def counter(model_path: str) -> PieceCounter:
-    if model_path not in _counters:
-        _counters[model_path] = PieceCounter(model_path)
-    return _counters[model_path]
+    return remembered(("pieces", model_path), lambda: PieceCounter(model_path))
 
 
 def _encode(model_path: str):

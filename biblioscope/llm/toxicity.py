@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_crc, small_batches, table
+from .common import id_crc, remembered, small_batches, table
 from .subwords import EDGES, WordLogits, grams, train
 
 SIZES = (2, 3, 4, 5)
@@ -85,20 +85,15 @@ def fit(texts: list[str | None], toxic: list[int], prior: float | None = None) -
     return Model(weights, mean, w)
 
 
-_memo: dict[int, WordLogits] = {}
-
-
 def _score(fitted: Model, place: int):
     key = hash(fitted.table.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _memo:
-            _memo.clear()
-            _memo[key] = WordLogits(fitted.table, SIZES)
+        memo = remembered(("toxicity", key), lambda: WordLogits(fitted.table, SIZES))
         for batch in batches:
             scores = []
             for text in batch.column(place).to_pylist():
-                x = _features(_memo[key], _words(text)) - fitted.mean
+                x = _features(memo, _words(text)) - fitted.mean
                 scores.append(float(1 / (1 + np.exp(-np.clip(x @ fitted.weights[:-1] + fitted.weights[-1], -30, 30)))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
 
