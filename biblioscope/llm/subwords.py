@@ -35,6 +35,16 @@ def grams(words: list[str], sizes: tuple[int, ...], buckets: int) -> tuple[np.nd
     return ids_all[order], np.searchsorted(whose_all[order], np.arange(len(words) + 1))
 
 
+def grams_in_parts(words: list[str], sizes: tuple[int, ...], buckets: int, part: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """grams() of many words, part by part, which bounds the memory besides the result."""
+    ids, counts = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for k in range(0, len(words), part):
+        own, starts = grams(words[k : k + part], sizes, buckets)
+        ids.append(own)
+        counts.append(np.diff(starts))
+    return np.concatenate(ids), np.cumsum(np.concatenate(counts))
+
+
 def train(ids: np.ndarray, starts: np.ndarray, targets: np.ndarray, buckets: int, dim: int = 16, epochs: int = 8, batch: int = 256, rate: float = 0.5, decay: float = 1e-6, seed: int = 7) -> np.ndarray:
     """Bag-of-subwords embeddings and a softmax layer, trained jointly by SGD with per-row step sizes (Adagrad).
 
@@ -42,8 +52,10 @@ def train(ids: np.ndarray, starts: np.ndarray, targets: np.ndarray, buckets: int
     row's weight). Returns what scoring needs: for each bucket its share of the logits, embeddings times weights."""
     rng = np.random.default_rng(seed)
     classes = targets.shape[1]
-    used, ids = np.unique(ids, return_inverse=True)
-    ids = ids.astype(np.int32)
+    used = np.flatnonzero(np.bincount(ids, minlength=buckets))
+    place = np.zeros(buckets, np.int32)
+    place[used] = np.arange(len(used))
+    ids = place[ids]
     embed = (rng.standard_normal((len(used), dim)) * 0.1).astype(np.float32)
     out = (rng.standard_normal((dim, classes)) * 0.1).astype(np.float32)
     g_embed, g_out = np.full(len(used), 1e-3, np.float32), np.full((dim, classes), 1e-3, np.float32)

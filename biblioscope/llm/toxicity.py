@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_crc, remembered, small_batches, table
-from .subwords import EDGES, WordLogits, grams, train
+from .subwords import EDGES, WordLogits, grams_in_parts, train
 
 SIZES = (2, 3, 4, 5)
 BUCKETS = 1 << 17
@@ -65,7 +65,7 @@ def fit(texts: list[str | None], toxic: list[int], prior: float | None = None) -
     vocabulary = list(counts)
     if not vocabulary or len({y for _, y in held}) < 2:
         return empty
-    ids, starts = grams(vocabulary, SIZES, BUCKETS)
+    ids, starts = grams_in_parts(vocabulary, SIZES, BUCKETS)
     seen = np.array([counts[w] for w in vocabulary], np.float32)
     base = np.bincount(np.array(toxic), minlength=2)[None, :] / len(toxic)
     shares = (seen + SMOOTHING * base) / (seen.sum(1, keepdims=True) + SMOOTHING)  # a word seen once says little
