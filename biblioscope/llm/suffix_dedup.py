@@ -4,12 +4,14 @@ A window is a string of `size` bytes. Its anchor is the least k-gram in it by ha
 windows have equal anchors at equal places, and all that can match meets in one partition. Windows next to each other with the
 same anchor travel together as a segment. In a partition, segments that are equal as a whole are resolved first; what is
 left of anchors that several different segments have goes, batch by batch, through a family of sorted suffix arrays:
-a batch is sorted, merge-scanned against every level for equal windows, and levels of equal size merge.
+a batch is sorted, merge-scanned against every level for equal windows, and levels of equal size merge. Anchors that very many segments have (a passage that a third of all documents share) are
+hot: their windows travel one by one, by their own hash, each distinct one once for a stretch, so no task gets a hot group.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, small_batches, table, utf8
+from .common import mix, prefix_hash, release, small_batches, span_hash, table, utf8
 
 SIZE = 100
 GRAM = 32
@@ -31,6 +33,8 @@ _LOW = np.uint64(STRETCH * 2 - 1)
 COMPARED, SLOTS = 40, 28
 #: Anchors that a task of the first pass holds before it sends them.
 HELD = 1 << 22
+#: An anchor is hot with so many occurrences, and at least 1 / HOT_SHARE of its part's; so a part has HOT_SHARE of them at most.
+HOT, HOT_SHARE = 2_000, 64
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -112,14 +116,15 @@ def _edges(parts: int) -> np.ndarray:
 
 
 def _anchors(parts: int):
-    """First pass: each anchor's hash, once for a task, twice if the task has it more than once."""
+    """First pass: each anchor's hash, once for a task, with its count there."""
 
     def send(held: list[np.ndarray]) -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate(held), return_counts=True)
-        values = np.repeat(values, np.minimum(counts, 2))
         cuts = np.searchsorted(values, _edges(parts))
         found = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
-        return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([_planes(values[cuts[p] : cuts[p + 1]]) for p in found], pa.binary())], ["part", "blob"])
+        pack = zstandard.ZstdCompressor(level=1).compress
+        blobs = [pickle.dumps((_planes(values[cuts[p] : cuts[p + 1]]), pack(counts[cuts[p] : cuts[p + 1]].astype("<u4").tobytes()))) for p in found]
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -133,43 +138,81 @@ def _anchors(parts: int):
                     held = []
         if held:
             yield send(held)
+        release()
 
     return run
 
 
 def _repeated(parts: int):
-    """The partition's stretch of the bitmap: slots of anchors that occur more than once."""
+    """The partition's stretch of the bitmap: slots of anchors that occur more than once; and its hot anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held = None, []
+        part, held, many = None, [], []
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                held.append(_from_planes(blob))
+                values, counts = pickle.loads(blob)
+                held.append(_from_planes(values))
+                many.append(np.frombuffer(unpack(counts), "<u4"))
         if part is None:
             return
-        values = np.sort(np.concatenate(held))
-        slots = np.unique(values[1:][values[1:] == values[:-1]] >> np.uint64(COMPARED - SLOTS)).astype(np.int64)
+        values, where = np.unique(np.concatenate(held), return_inverse=True)
+        counts = np.bincount(where, np.concatenate(many)).astype(np.int64)
+        slots = np.unique(values[counts > 1] >> np.uint64(COMPARED - SLOTS)).astype(np.int64)
         lo, hi = (int(x) >> (COMPARED - SLOTS + 3) for x in _edges(parts)[part : part + 2])
         bits = np.zeros((hi - lo + 1) * 8, np.uint8)
         bits[slots - 8 * lo] = 1
-        yield pa.RecordBatch.from_arrays([pa.array([lo], pa.int64()), pa.array([zstandard.ZstdCompressor(level=1).compress(np.packbits(bits, bitorder="little").tobytes())], pa.binary())], ["first", "bits"])
+        hot = values[counts >= max(HOT, counts.sum() // HOT_SHARE)].astype("<u8").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([lo], pa.int64()), pa.array([zstandard.ZstdCompressor(level=1).compress(np.packbits(bits, bitorder="little").tobytes())], pa.binary()), pa.array([hot], pa.binary())], ["first", "bits", "hot"])
 
     return run
 
 
-def repeated_anchors(rows: DataFrame, parts: int) -> np.ndarray:
-    """The bitmap of the whole table's repeated anchors: 2^SLOTS bits (32 MB) come to the driver whatever the table's size."""
+def repeated_anchors(rows: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bitmap of the whole table's repeated anchors (2^SLOTS bits, 32 MB, whatever the table's size) and the sorted hot ones
+    (HOT_SHARE for each part at most)."""
     dealt = rows.select("text").mapInArrow(_anchors(parts), PARTS).repartitionById(parts, F.col("part"))
-    out = np.zeros((1 << (SLOTS - 3)) + 1, np.uint8)
-    for r in dealt.mapInArrow(_repeated(parts), "first bigint, bits binary").collect():
+    out, hot = np.zeros((1 << (SLOTS - 3)) + 1, np.uint8), [np.zeros(0, np.uint64)]
+    for r in dealt.mapInArrow(_repeated(parts), "first bigint, bits binary, hot binary").collect():
         own = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r.bits)), np.uint8)
         out[r.first : r.first + len(own)] |= own[: len(out) - r.first]
-    return out
+        hot.append(np.frombuffer(bytes(r.hot), "<u8"))
+    return out, np.sort(np.concatenate(hot))
+
+
+def _one_by_one(doc: np.ndarray, start: np.ndarray, many: np.ndarray, first: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Segments as single windows whose anchor is their own hash, each distinct one once, by its earliest owner; the others
+    are known to be late and become records without bytes (lead -1): document, first window, windows."""
+    step = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    doc, start, first = np.repeat(doc, many), np.repeat(start, many) + step, np.repeat(first, many) + step
+    h = span_hash(prefix_hash(data), first, first + SIZE)
+    order = np.lexsort((start, doc, h))
+    doc, start, first, h = doc[order], start[order], first[order], h[order]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = h[1:] != h[:-1]
+    group = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+    table_ = np.lib.stride_tricks.sliding_window_view(data, SIZE)
+    fresh |= (table_[first] != table_[first[group]]).any(1)  # equal hashes of unequal windows
+    late = ~fresh & ((doc != doc[group]) | (start != start[group]))
+    d, p = doc[late], start[late]
+    order = np.lexsort((p, d))
+    d, p = d[order], p[order]
+    cut = np.flatnonzero((np.diff(d) != 0) | (np.diff(p) != 1)) + 1
+    lo, hi = np.concatenate([[0], cut])[: len(d)].astype(np.int64), np.concatenate([cut, [len(d)]])[: len(d)].astype(np.int64)
+    n = int(fresh.sum())
+    return (
+        np.concatenate([doc[fresh], d[lo]]),
+        np.concatenate([start[fresh], p[lo]]),
+        np.concatenate([np.ones(n, np.int64), hi - lo]),
+        np.concatenate([h[fresh], mix(d[lo].astype(np.uint64))]),
+        np.concatenate([np.zeros(n, np.int64), np.full(len(lo), -1)]),
+        np.concatenate([first[fresh], np.zeros(len(lo), np.int64)]),
+    )
 
 
 def _pack(doc: np.ndarray, start: np.ndarray, many: np.ndarray, anchor: np.ndarray, lead: np.ndarray, data: np.ndarray, first: np.ndarray) -> bytes:
     """Segments of one part: five columns and their bytes, compressed."""
-    size = many + SIZE - 1
+    size = np.where(lead < 0, 0, many + SIZE - 1)
     begin = np.cumsum(size) - size
     where = np.repeat(first - begin, size) + np.arange(int(size.sum()))
     raw = b"".join([np.int64(len(doc)).tobytes(), doc.astype("<i8").tobytes(), start.astype("<i8").tobytes(), many.astype("<i4").tobytes(), anchor.astype("<u8").tobytes(), lead.astype("<i4").tobytes(), data[where].tobytes()])
@@ -185,10 +228,11 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     return (*out, np.frombuffer(raw, np.uint8, offset=at))
 
 
-def _deal(parts: int, repeated):
+def _deal(parts: int, sent):
     """Second pass: the segments of repeated anchors, by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repeated, hot = sent.value
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             data, at = utf8(batch.column(1))
@@ -197,11 +241,19 @@ def _deal(parts: int, repeated):
                 offsets = np.clip(at[i : j + 1] - lo, 0, hi - lo)
                 doc, first, many, anchor, lead = segments(own, offsets)
                 slot = anchor >> np.uint64(64 - SLOTS)
-                some = np.flatnonzero(repeated.value[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+                some = np.flatnonzero(repeated[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
                 if not len(some):
                     continue
                 doc, first, many, anchor, lead = (x[some] for x in (doc, first, many, anchor, lead))
                 start = first - (at[i + doc] - lo)
+                doc = ids[i + doc]
+                if len(hot):
+                    key = anchor >> np.uint64(64 - COMPARED)
+                    is_hot = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+                    if is_hot.any():
+                        single = _one_by_one(doc[is_hot], start[is_hot], many[is_hot], first[is_hot], own)
+                        rest = (doc, start, many, anchor, lead, first)
+                        doc, start, many, anchor, lead, first = (np.concatenate([x[~is_hot], y]) for x, y in zip(rest, single, strict=True))
                 part = (anchor >> np.uint64(33)) % np.uint64(parts)
                 order = np.argsort(part, kind="stable")
                 edges = np.searchsorted(part[order], np.arange(parts + 1))
@@ -210,7 +262,7 @@ def _deal(parts: int, repeated):
                     rows = order[edges[p] : edges[p + 1]]
                     if len(rows):
                         found.append(p)
-                        blobs.append(_pack(ids[i + doc[rows]], start[rows], many[rows], anchor[rows], lead[rows], own, first[rows]))
+                        blobs.append(_pack(doc[rows], start[rows], many[rows], anchor[rows], lead[rows], own, first[rows]))
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
     return run
@@ -271,16 +323,19 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     doc, start, many, anchor, lead = (np.concatenate([b[k] for b in blobs]) for k in range(5))
     data = np.concatenate([b[5] for b in blobs])
     del blobs
-    size = many.astype(np.int64) + SIZE - 1
+    known = lead < 0
+    size = np.where(known, 0, many.astype(np.int64) + SIZE - 1)
     begin = np.cumsum(size) - size
+    anchor = np.where(known, np.arange(len(anchor)).astype(np.uint64), anchor)  # they meet nothing
     order = np.lexsort((start, doc, anchor))
+    order = order[~known[order]]
     fresh = np.ones(len(order), bool)
     fresh[1:] = anchor[order][1:] != anchor[order][:-1]
     edges = np.append(np.flatnonzero(fresh), len(order))
     contested = np.flatnonzero(np.diff(edges) > 1)
-    docs_out: list[int] = []
-    first_out: list[int] = []
-    last_out: list[int] = []
+    docs_out: list[int] = doc[known].tolist()
+    first_out: list[int] = start[known].tolist()
+    last_out: list[int] = (start[known] + many[known] + SIZE - 1).tolist()
     family = IndexFamily()
     held: list[int] = []
     held_windows = 0
@@ -334,6 +389,7 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = IndexFamily()  # no window has two anchors: a group that has ended needs no more comparing
     flush()
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.array(a, np.int64), *b])) for a, b in ((docs_out, out_docs), (first_out, out_first), (last_out, out_last))], ["doc_id", "first", "last"])
+    release()
 
 
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
@@ -372,8 +428,8 @@ def repeats(docs: DataFrame, parts: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    repeated = spark.sparkContext.broadcast(repeated_anchors(rows, parts))
-    dealt = rows.mapInArrow(_deal(parts, repeated), PARTS).repartitionById(parts, F.col("part"))
+    sent = spark.sparkContext.broadcast(repeated_anchors(rows, parts))
+    dealt = rows.mapInArrow(_deal(parts, sent), PARTS).repartitionById(parts, F.col("part"))
     return dealt.mapInArrow(_resolve, SPANS)
 
 
