@@ -205,12 +205,17 @@ def prompt_version(prompt: Column) -> Column:
     return F.substring(F.sha2(prompt.cast("binary"), 256), 1, 12)
 
 
+def json_object(text: Column) -> Column:
+    """A text that is one JSON object, as a variant; else null. (The parser alone would take a text's first value.)"""
+    return F.when(F.startswith(text, F.lit("{")) & F.endswith(text, F.lit("}")), F.try_parse_json(text))
+
+
 def parse_reply(text: Column, numbers: Iterable[str], strings: Iterable[str] = ()) -> Column:
     """Fields of a model's reply: its JSON, else its first {...} without inner braces, else field by field.
 
     A struct of the fields and `fallback`, true where the reply as a whole was no JSON object."""
-    whole = F.try_parse_json(strip(text))
-    block = F.try_parse_json(F.nullif(F.regexp_extract(text, r"(?s)\{[^{}]+\}", 0), F.lit("")))
+    whole = json_object(strip(text))
+    block = json_object(F.regexp_extract(text, r"(?s)\{[^{}]+\}", 0))
     value = F.coalesce(whole, block)
     fields = []
     for name, kind, pattern in [*((n, "double", r"([0-9.]+)") for n in numbers), *((n, "string", r'"(\w+)"') for n in strings)]:
@@ -221,5 +226,5 @@ def parse_reply(text: Column, numbers: Iterable[str], strings: Iterable[str] = (
 
 def parse_fenced_reply(text: Column, numbers: Iterable[str]) -> Column:
     """As parse_reply, from the first { to the last }, code fences or not."""
-    value = F.try_parse_json(F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit("")))
+    value = json_object(F.regexp_extract(text, r"(?s)\{.*\}", 0))
     return F.struct(*(F.try_variant_get(value, f"$.{n}", "double").alias(n) for n in numbers), value.isNull().alias("fallback"))

@@ -35,11 +35,11 @@ def coefficients(ratings: DataFrame, item: str = "item", category: str = "catego
     chance = shares.crossJoin(F.broadcast(total)).agg(  # one row beside a row for each category
         F.sum((F.col("share") / F.col("items")) * (F.col("share") / F.col("items"))).alias("pe_kappa"),
         F.sum((F.col("share") / F.col("items")) * (1 - F.col("share") / F.col("items"))).alias("spread"),
-        F.sum((F.col("votes") / F.col("paired") / F.col("mean_n")) * (F.col("votes") / F.col("paired") / F.col("mean_n"))).alias("pe_alpha"),
+        F.sum(F.try_divide(F.col("votes"), F.col("paired") * F.col("mean_n")) * F.try_divide(F.col("votes"), F.col("paired") * F.col("mean_n"))).alias("pe_alpha"),
         F.count(F.lit(1)).alias("categories"),
     )
     one = total.crossJoin(chance)  # one row each
-    small = 1 / (F.col("paired") * F.col("mean_n"))
+    small = F.try_divide(F.lit(1.0), F.col("paired") * F.col("mean_n"))
     pa_alpha = (1 - small) * F.col("pa_raw") / F.col("mean_n") + small
     pe_gwet = F.when(F.col("categories") > 1, F.col("spread") / (F.col("categories") - 1)).otherwise(F.lit(0.0))
     corrected = lambda pa, pe: F.when(pe < 1, (pa - pe) / F.when(pe < 1, 1 - pe))
@@ -48,7 +48,7 @@ def coefficients(ratings: DataFrame, item: str = "item", category: str = "catego
     # per-item contributions give the sampling variance
     per = of_item.filter(shared).crossJoin(F.broadcast(out.select("pa", "alpha", "kappa", F.col("pe_kappa").alias("pk"), F.col("pe_alpha").alias("pl"), F.col("paired").alias("m"))))
     a = F.col("agree") / (F.col("n") * (F.col("n") - 1))
-    error = per.agg(F.sqrt(F.var_samp(a / (1 - F.col("pl"))) / F.max("m")).alias("alpha_se"), F.sqrt(F.var_samp(a / (1 - F.col("pk"))) / F.max("m")).alias("kappa_se"))
+    error = per.agg(F.sqrt(F.try_divide(F.var_samp(F.try_divide(a, 1 - F.col("pl"))), F.max("m"))).alias("alpha_se"), F.sqrt(F.try_divide(F.var_samp(F.try_divide(a, 1 - F.col("pk"))), F.max("m"))).alias("kappa_se"))
     out = out.crossJoin(error)
     for c in ("alpha", "kappa"):
         se = F.col(f"{c}_se")

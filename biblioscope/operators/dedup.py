@@ -49,6 +49,6 @@ def dedup_report(df: DataFrame, pairs: DataFrame, groups: DataFrame, threshold:
     pairs = stored(pairs, "pairs")
     total = df.agg(F.count(F.lit(1)).alias("n_total"))
     sample = pairs.orderBy(F.desc("similarity"), "a", "b").limit(20).agg(F.collect_list(F.struct("a", "b", F.round("similarity", 4).alias("similarity"))).alias("sample"))
-    counts = groups.agg(F.count_distinct("component").alias("n_groups"), F.count_if("id != representative").alias("n_marked"))
+    counts = groups.agg(F.count_distinct("component").alias("n_groups"), F.count_if(F.col("id") != F.col("representative")).alias("n_marked"))
     one = pairs.agg(F.count(F.lit(1)).alias("n_pairs"))
     return total.crossJoin(one).crossJoin(counts).crossJoin(sample).withColumn("threshold", F.lit(threshold))  # one row each

@@ -113,7 +113,8 @@ def assortativity(edges: DataFrame) -> DataFrame:
     """One row: correlation of the degrees at both ends; null if all are equal."""
     d = degrees(edges).select("node", F.col("degree").cast("double").alias("degree"))
     ends = both_ways(edges).join(d.toDF("u", "du"), "u").join(d.toDF("v", "dv"), "v")
-    return ends.agg(F.round(F.nanvl(F.corr("du", "dv"), F.lit(None).cast("double")), 4).alias("assortativity"))
+    own = ends.agg(F.covar_pop("du", "dv").alias("c"), (F.stddev_pop("du") * F.stddev_pop("dv")).alias("s"))
+    return own.select(F.round(F.try_divide("c", F.when(F.col("s") > 0, F.col("s"))), 4).alias("assortativity"))
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -132,9 +133,11 @@ def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-8, m
     arcs = stored(ways.join(out, "u").select("u", "v", (F.col("w") / F.col("total")).alias("share")), "arcs")
     n = out.count()
     ranks = stored(out.select(F.col("u").alias("node"), F.lit(1.0 / max(1, n)).alias("r")), "ranks")
-    for _ in range(most):
-        got = arcs.join(ranks.withColumnRenamed("node", "u"), "u").groupBy(F.col("v").alias("node")).agg(F.sum(F.col("r") * F.col("share")).alias("in"))
-        new = ranks.withColumnRenamed("r", "old").join(got, "node", "left").select("node", "old", (F.lit((1 - damping) / max(1, n)) + damping * F.coalesce("in", F.lit(0.0))).alias("r"))
+    for _ in range(0, most, 5):
+        for _ in range(5):  # so many steps in one job
+            got = arcs.join(ranks.withColumnRenamed("node", "u"), "u").groupBy(F.col("v").alias("node")).agg(F.sum(F.col("r") * F.col("share")).alias("in"))
+            new = ranks.select("node", F.col("r").alias("old")).join(got, "node", "left").select("node", "old", (F.lit((1 - damping) / max(1, n)) + damping * F.coalesce("in", F.lit(0.0))).alias("r"))
+            ranks = new.select("node", "r")
         new = stored(new, "ranks")
         moved = new.agg(F.sum(F.abs(F.col("r") - F.col("old")))).first()[0] or 0.0
         ranks = new.select("node", "r")

@@ -718,7 +718,10 @@ def export_join(spark: SparkSession, d: str) -> DataFrame:
     return export.classified(predictions, corpus(spark, d).select("id", F.col("journal").alias("periodico_nome"), "ano"))
 
 
-@query()
+_ROWS = ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" for v in row) + ")" for row in export.dictionary_rows())
+
+
+@query(f"SELECT * FROM (VALUES {_ROWS}) AS t(coluna, tipo, valores, descricao)")
 def data_dictionary(spark: SparkSession, d: str) -> DataFrame:
     return export.dictionary(spark)
 
@@ -757,11 +760,6 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return own.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(own).isDirectory()
 
 
-@query("SELECT user_id, event_type, count(*) AS n, round(avg(value), 4) AS mean_value FROM events GROUP BY 1, 2")
-def event_counts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean_value"))
-
-
 @query(f"""WITH {CORPUS}, w AS (SELECT id, unnest(string_split(titulo, ' ')) AS w, generate_subscripts(string_split(titulo, ' '), 1) AS i FROM corpus), p AS (SELECT id, w || ' ' || lead(w) OVER (PARTITION BY id ORDER BY i) AS pair FROM w) SELECT id, pair FROM p WHERE pair IS NOT NULL""")
 def adjacent_words(spark: SparkSession, d: str) -> DataFrame:
     words = corpus(spark, d).select("id", F.posexplode(F.split("titulo", " ")).alias("i", "w"))

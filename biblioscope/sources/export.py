@@ -27,14 +27,18 @@ def classified(predictions: DataFrame, metadata: DataFrame, key: str = "id", col
     return own.orderBy(key).select(*(c for c in columns if c in own.columns))
 
 
-def dictionary(spark: SparkSession) -> DataFrame:
-    """Rows (coluna, tipo, valores, descricao) for the export's columns."""
+def dictionary_rows() -> list[tuple[str, str, str, str]]:
     rows = [("id", "string", "", "identifier of the work"), ("doi", "string", "", "DOI, if it has one"), ("periodico_nome", "string", "", "journal"), ("ano", "int", "2000-2024", "year of publication")]
     rows += [("cluster_primario_pred", "string", "|".join(CLUSTERS), "most probable cluster"), ("cluster_certeza", "double", "0-1", "its probability"), ("cluster_secundario_pred", "string", "|".join(CLUSTERS), "runner-up, if it is close")]
     rows += [(f"cluster_{c}_prob", "double", "0-1", f"probability of cluster {c}") for c in CLUSTERS]
     rows += [(f"{f}_pred", "int", "0|1", f"flag {f}") for f in FLAGS] + [(f"{f}_prob", "double", "0-1", f"probability of {f}") for f in FLAGS]
     rows += [("orientacao_proeminente", "string", "positivista|interpretativa|mixed|nenhuma", "derived from the first axis"), ("inconclusiva", "int", "0|1", "1 if all flags are 0"), ("epi_certeza", "double", "0-1", "mean distance of the flags' probabilities from 0.5")]
-    return spark.createDataFrame(rows, "coluna string, tipo string, valores string, descricao string")
+    return rows
+
+
+def dictionary(spark: SparkSession) -> DataFrame:
+    """Rows (coluna, tipo, valores, descricao) for the export's columns."""
+    return spark.createDataFrame(dictionary_rows(), "coluna string, tipo string, valores string, descricao string")
 
 
 def bundle(path: str | Path, files: Mapping[str, tuple[str, str]], tables: Mapping[str, tuple[DataFrame, str]] | None = None, tag: str = "") -> list[dict]:
