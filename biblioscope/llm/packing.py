@@ -15,18 +15,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path, small_batches, stored, table
+from .common import remembered, small_batches, stored, table
 
 MODEL = "word_bpe_49k.json"
 SEQUENCE = 2048
 #: Entries of a worker's memo of pre-tokens, beside those of one batch; when full it is emptied.
-MEMO_RUNS = 600_000
+MEMO_RUNS = 500_000
 #: White space, and characters of one code point in NFC that are lower-cased one by one.
 _PLAIN = re.compile(r"[ \n\t!-~¡-įı-ɏ]+")
 _SPACE = re.compile("[ \n\t\r]+")
 _OF = {kind: "".join(re.escape(chr(i)) for i in range(33, 0x250) if unicodedata.category(chr(i))[0] == kind) for kind in "LN"}
-#: How the tokenizer's file says that words are cut into pre-tokens, for the characters of _PLAIN.
-_RUNS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_OF['L']}]+|[{_OF['N']}]|[^\s{_OF['L']}{_OF['N']}]+")
+#: How the tokenizer's file says that words are cut into pre-tokens, for the characters of _PLAIN; letters come first
+#: here, which changes nothing, as no other alternative begins with one.
+_RUNS = re.compile(rf"[{_OF['L']}]+|[{_OF['N']}]|'(?:s|t|re|ve|m|ll|d)|[^\s{_OF['L']}{_OF['N']}]+")
 
 
 class RunEncoder(dict):
@@ -70,7 +71,7 @@ class RunEncoder(dict):
 
     def ids(self, texts: list[str]) -> list[bytes]:
         plain = {i: _RUNS.findall(text.lower()) for i, text in enumerate(texts) if _PLAIN.fullmatch(text) and "<|" not in text}
-        self.learn(list({run for own in plain.values() for run in own if run not in self}))
+        self.learn(list(set().union(*plain.values()).difference(self)))
         return [b"".join(map(self.__getitem__, plain[i])) if i in plain else self.mixed(text) for i, text in enumerate(texts)]
 
     def mixed(self, text: str) -> bytes:
@@ -83,13 +84,8 @@ class RunEncoder(dict):
         return b"".join(out)
 
 
-_encoders: dict[str, RunEncoder] = {}
-
-
 def encoder(path: str) -> RunEncoder:
-    if path not in _encoders:
-        _encoders[path] = RunEncoder(path)
-    return _encoders[path]
+    return remembered(("runs", path), lambda: RunEncoder(path))
 
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint"
