@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds join training passages to test items, Smith-Waterman scores the alignments."""
+"""Benchmark decontamination: n-gram seeds near one diagonal join training passages to test items, Smith-Waterman scores the alignments."""
 
 from __future__ import annotations
 
@@ -13,10 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import WORDISH, chunks, mix, prefix_hash, small_batches, span_hash, table, utf8, words
 
-#: Words of a seed, and distinct rare seeds of an item that a passage needs to be aligned with it.
+#: Words of a seed, and distinct seeds of an item that a passage needs to be aligned with it.
 SEED, SEEDS = 3, 2
-#: Times the median document frequency of an item's seeds, beyond which a seed is too common to count.
-COMMON = 8
 #: Smith-Waterman scores by words.
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of the best possible score (all words of the item in order) from which a passage counts as a copy.
@@ -35,19 +33,6 @@ class Items:
     seed: np.ndarray  # postings, sorted by seed
     item: np.ndarray
     place: np.ndarray
-    rare: np.ndarray  # of each posting
-
-    def rarest(self, df: np.ndarray) -> None:
-        """Marks the seeds that aren't common phrases: document frequency in the whole corpus up to COMMON times the
-        lower median of the item's seeds that occur. So an item whose every seed is frequent (a passage copied very
-        often) keeps them, and so do edited copies of it, which keep some of its seeds and not others."""
-        self.rare = np.zeros(len(self.seed), bool)
-        for i in range(len(self.ids)):
-            own = np.flatnonzero(self.item == i)
-            counts = np.sort(df[np.unique(self.seed[own])])
-            counts = counts[counts > 0]
-            if len(counts):
-                self.rare[own] = df[self.seed[own]] <= COMMON * counts[(len(counts) - 1) // 2]
 
 
 def _hashed(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -93,7 +78,7 @@ def item_blocks(rows: list[tuple[int, str | None]], most: int = BLOCK_WORDS) ->
         item = np.repeat(np.arange(len(ids)), [len(s) for s in all_seeds])
         place = np.concatenate([np.arange(len(s)) for s in all_seeds])
         order = np.argsort(number, kind="stable")
-        yield Items(ids, found, seeds, number[order], item[order], place[order], np.ones(len(order), bool))
+        yield Items(ids, found, seeds, number[order], item[order], place[order])
 
 
 class Lookup:
@@ -112,18 +97,11 @@ class Lookup:
         return at[same], number[same]
 
 
-def _frequencies(items: Items):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, df = Lookup(items.seeds), np.zeros(len(items.seeds), np.int64)
-        for batch in batches:
-            for _, _, hashes, first in _hashed(batch.column(0)):
-                at, number = lookup.find(*_seeds(hashes, first))
-                doc = np.searchsorted(first, at, side="right")
-                df += np.bincount(np.unique(doc * len(df) + number) % len(df), minlength=len(df))
-        some = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], ["seed", "n"])
-
-    return run
+def most(item: tuple[np.ndarray, np.ndarray], passage: np.ndarray) -> int:
+    """The best score that an alignment can have: every word of the item (distinct words, counts) that the passage has, at most as often."""
+    words_, counts = item
+    at = np.minimum(np.searchsorted(words_, passage), len(words_) - 1)
+    return MATCH * int(np.minimum(np.bincount(at[words_[at] == passage], minlength=len(words_)), counts).sum())
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -161,6 +139,7 @@ def matches(items: Items, lookup: Lookup, column: pa.Array, threshold: float, me
     """For each text its matches (item id, score, first word, last word + 1, seeds), the best passage for each item."""
     out: list[list[Match]] = [[] for _ in range(len(column))]
     starts = np.searchsorted(items.seed, np.arange(len(items.seeds) + 1))
+    bags = [np.unique(w, return_counts=True) for w in items.words]
     for i, _, hashes, first in _hashed(column):
         at, number = lookup.find(*_seeds(hashes, first))
         if not len(at):
@@ -169,8 +148,6 @@ def matches(items: Items, lookup: Lookup, column: pa.Array, threshold: float, me
         many = starts[number + 1] - starts[number]
         rows = np.repeat(starts[number], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         where = np.repeat(at, many)
-        keep = items.rare[rows]
-        rows, where = rows[keep], where[keep]
         doc = np.searchsorted(first, where, side="right") - 1
         item = items.item[rows]
         shift = where - items.place[rows]
@@ -194,7 +171,7 @@ def matches(items: Items, lookup: Lookup, column: pa.Array, threshold: float, me
             if key not in memo:
                 if len(memo) > 20_000:
                     memo.clear()
-                memo[key] = align(items.words[t], passage)
+                memo[key] = align(items.words[t], passage) if most(bags[t], passage) >= threshold * MATCH * int(size[t]) else (0, 0, 0)
             score, s, e = memo[key]
             share = score / (MATCH * int(size[t]))
             if share >= threshold and (share, distinct) > best.get((d, t), (0, 0.0, 0, 0, 0))[1::3]:
@@ -225,8 +202,7 @@ def _annotate(items: Items, place: int, threshold: float, before: bool):
 def annotate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS, text_col: str = "text") -> DataFrame:
     """docs with all its columns and `matches`, the test items (item_id, text) of which the text has a copy.
 
-    Seeds are three-word n-grams; their document frequencies come from all of docs. A passage with two distinct rare
-    seeds of an item is aligned with it word by word; score is the share of the item's best possible score. Items come
+    Seeds are three-word n-grams, of any frequency. A passage with two distinct seeds of an item near one diagonal is aligned with it word by word; score is the share of the item's best possible score. Items come
     to the driver in blocks of bounded size, each block one pass over docs. Null and empty texts and items, and items of fewer than
     three words, match nothing; repeated rows each get their matches; an empty benchmark gives empty lists. A column
     named matches is replaced. Texts are searched whole."""
@@ -236,11 +212,6 @@ def annotate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD
     out, before = docs, False
     items_found = benchmark.select(F.col("item_id").cast("bigint"), F.col("text")).distinct()
     for block in item_blocks([tuple(r) for r in items_found.toLocalIterator()], block_words):
-        counts = docs.select(F.col(text_col).alias("text")).mapInArrow(_frequencies(block), "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n")).collect()
-        df = np.zeros(len(block.seeds), np.int64)
-        for r in counts:
-            df[r.seed] = r.n
-        block.rarest(df)
         out = out.mapInArrow(_annotate(block, place, threshold, before), f"{kind}, matches {KIND}")
         before = True
     return out if before else docs.withColumn("matches", F.array().cast(KIND))

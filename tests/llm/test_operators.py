@@ -185,6 +185,17 @@ def test_decontamination(spark, docs, empty, rows):
     assert decontaminate.annotate(docs, bench.limit(0)).filter(F.size("matches") > 0).count() == 0
 
 
+def test_decontamination_of_many_edited_copies(spark):
+    item = sentence(np.random.default_rng(78), 15)
+    edited = item.split()
+    for i in (2, 7, 12):
+        edited[i] = "changed"
+    rows = [(i, "a " + " ".join(edited), "en", "s", 1) for i in range(1, 41)] + [(0, "b " + item, "en", "s", 1)]
+    bench = spark.createDataFrame([(5, item)], "item_id bigint, text string")
+    out = decontaminate.annotate(spark.createDataFrame(rows, SCHEMA), bench).collect()
+    assert {r.doc_id: [(m.item_id, round(m.score, 6)) for m in r.matches] for r in out} == {0: [(5, 1.0)]} | {i: [(5, 0.7)] for i in range(1, 41)}
+
+
 def plain_components(rows, k):
     sets = {}
     for doc, text, *_ in rows:
