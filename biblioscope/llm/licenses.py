@@ -1,4 +1,4 @@
-"""Licence scans by a positional index of rare licence words: postings vote for where a template stands, key phrases decide."""
+"""Licence scans by a positional index of licence words: key phrases open places, IDF-weighted postings pick where a template stands."""
 
 from __future__ import annotations
 
@@ -36,8 +36,6 @@ TEMPLATES = (
     ("cc0", "dedicated to the public domain under cc0 1 0 universal", ("cc0",)),
     ("copyright", "copyright c the authors all rights reserved", ("copyright", "all rights reserved")),
 )
-#: So many of a template's words, the rarest in the corpus, are looked up.
-ANCHORS = 4
 #: Words by which a word or key phrase may be off the place that the votes give.
 SLACK = 3
 #: Least share of a template's weight that must stand at its place.
@@ -54,16 +52,10 @@ class Index:
     templates: list[tuple[str, list[int], list[tuple[int, list[int]]]]]  # label, word ids, key phrases as (position, ids)
     base: list[tuple[list[int], str]]
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    anchors: dict[int, list[tuple[int, int]]] = field(default_factory=dict)  # word id -> (template, position)
 
     def weigh(self, df: np.ndarray, n: int) -> None:
-        """Inverse document frequencies from the whole corpus pick each template's anchors."""
+        """Inverse document frequencies from the whole corpus."""
         self.weight = np.log((n + 1) / (df + 0.5)).clip(0.01)
-        self.anchors = {}
-        for t, (_, own, _) in enumerate(self.templates):
-            for w in sorted(set(own), key=lambda w: (-self.weight[w], w))[:ANCHORS]:
-                for q in (q for q, x in enumerate(own) if x == w):
-                    self.anchors.setdefault(w, []).append((t, q))
 
 
 def _hash_words(found: list[str]) -> np.ndarray:
@@ -130,34 +122,40 @@ def _places(ids: np.ndarray, first: np.ndarray, phrase: list[int]) -> np.ndarray
 
 
 def match(index: Index, ids: np.ndarray) -> tuple[set[str], float, list[tuple[str, int, float]]]:
-    """Labels, best score and (label, start word, score) of the templates in one document's word ids."""
-    votes: dict[int, dict[int, set[int]]] = {}  # template -> offset -> anchors
-    for p in np.flatnonzero(ids >= 0).tolist():
-        for t, q in index.anchors.get(int(ids[p]), ()):
-            votes.setdefault(t, {}).setdefault(p - q, set()).add(int(ids[p]))
+    """Labels, best score and (label, start word, score) of the templates in one document's word ids.
+
+    A template's first key phrase is mandatory, so each place of it is tried, whatever words other documents have; of the
+    starts up to SLACK words around, the one at which the document's licence words weigh most by IDF is the template's."""
+    present = set(ids.tolist())
+    ends = np.array([0, len(ids)])
     labels: set[str] = set()
     best, spans = 0.0, []
-
-    def near(place: int, words_: list[int]) -> bool:
-        return any(0 <= place + d and ids[place + d : place + d + len(words_)].tolist() == words_ for d in range(-SLACK, SLACK + 1))
-
-    for t, offsets in votes.items():
-        label, own, phrases = index.templates[t]
-        weights = index.weight[own]
-        group: list[int] = []
-        for at in [*sorted(offsets), None]:
-            if at is not None and (not group or at - group[-1] <= SLACK):  # words put in or left out move the rest
-                group.append(at)
-                continue
-            seen = set().union(*(offsets[x] for x in group))
-            place = max(group, key=lambda x: (len(offsets[x]), -x))
-            if len(seen) >= min(2, len(set(own))) and all(near(place + q, key) for q, key in phrases):
-                share = sum(float(w) for q, (w, x) in enumerate(zip(weights, own, strict=True)) if near(place + q, [x])) / float(weights.sum())
-                if share >= LEAST:
-                    labels.add(label)
-                    spans.append((label, max(0, place), share))
-                    best = max(best, share)
-            group = [] if at is None else [at]
+    for label, own, phrases in index.templates:
+        if not all(present.issuperset(key) for _, key in phrases):
+            continue
+        weights, size = index.weight[own], len(own)
+        q0, key0 = phrases[0]
+        wide = np.concatenate([np.full(2 * SLACK + size, -1), ids, np.full(2 * SLACK + size, -1)])
+        group: tuple[float, int, float] | None = None  # votes, -start, share
+        last = None
+        for base in [*(_places(ids, ends, key0) - q0).tolist(), None]:
+            if group is not None and (base is None or base - last > SLACK):  # key words that repeat nearby are one place
+                labels.add(label)
+                spans.append((label, max(0, -group[1]), group[2]))
+                best, group = max(best, group[2]), None
+            if base is None:
+                break
+            last = base
+            # row d, column q: whether the template's word q stands at base + d - 2 * SLACK + q
+            same = np.stack([wide[base + size + d : base + 2 * size + d] == own for d in range(4 * SLACK + 1)])
+            for e in range(SLACK, 3 * SLACK + 1):
+                near = same[e - SLACK : e + SLACK + 1]
+                if not all(near[:, q : q + len(key)].all(1).any() for q, key in phrases):
+                    continue
+                there = near.any(0)
+                share = float(weights[there].sum()) / float(weights.sum())
+                if share >= LEAST and len({own[q] for q in np.flatnonzero(there).tolist()}) >= min(2, len(set(own))):
+                    group = max(group or (-1.0, 0, 0.0), (round(float(weights[same[e]].sum()), 9), -(base + e - 2 * SLACK), share))
     return labels, min(1.0, best), spans
 
 
@@ -165,18 +163,18 @@ SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_
 
 
 def _scan(index: Index):
+    keys = [list(key) for key in sorted({tuple(phrases[0][1]) for _, _, phrases in index.templates})]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             names = batch.column(0).to_pylist()
-            anchor = np.zeros(len(index.vocabulary) + 1, bool)
-            anchor[list(index.anchors)] = True
             for i, j, ids, first in _word_ids(index, batch.column(1)):
                 base: dict[int, list[tuple[int, str]]] = {}
                 for phrase, label in index.base:
                     for p in _places(ids, first, phrase).tolist():
                         base.setdefault(int(np.searchsorted(first, p, side="right")) - 1, []).append((p, label))
-                hit = np.flatnonzero(anchor[ids])
+                hit = np.concatenate([_places(ids, first, key) for key in keys])
                 some = set((np.searchsorted(first, hit, side="right") - 1).tolist())
                 for k in range(j - i):
                     lo, hi = int(first[k]), int(first[k + 1])

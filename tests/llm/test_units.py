@@ -252,3 +252,18 @@ def test_toxicity_learns_words_and_misspellings():
 
 def test_digest_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_license_label_needs_no_word_that_other_files_lack():
+    index = licenses.build_index()
+    notice = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software."
+    texts = ["some words before. " + notice] * 10 + ["the name of a place and of a day"] * 990
+    rows = [(ids[first[i] : first[i + 1]]) for _, _, ids, first in licenses._word_ids(index, pa.array(texts)) for i in range(len(first) - 1)]
+    df = np.zeros(len(index.vocabulary))
+    for own in rows:
+        df[np.unique(own[own >= 0])] += 1
+    index.weigh(df, len(rows))
+    assert [index.weight[index.vocabulary.index(w)] for w in ("associated", "documentation", "files")] == [index.weight.max()] * 3  # df 0
+    labels, score, spans = licenses.match(index, rows[0])
+    assert labels == {"mit"} and 0.5 < score < 1 and spans[0][:2] == ("mit", 3)
+    assert licenses.match(index, rows[-1])[0] == set()
