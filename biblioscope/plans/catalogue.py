@@ -147,8 +147,8 @@ def doi_dedup(spark: SparkSession, d: str) -> DataFrame:
     return clean.keep_most_cited(corpus(spark, d).select("id", doi.alias("doi"), "citacoes"))
 
 
-def _flagged(spark: SparkSession, d: str) -> DataFrame:
-    own = ascii_titles(spark, d).select("id", "titulo", F.concat(F.lit("D"), F.col("id").cast("string")).alias("doi"), F.when(F.col("id") % 50 == 0, True).when(F.col("id") % 50 == 1, F.lit(None)).otherwise(False).alias("is_retracted"))
+def _flagged(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    own = (corpus if whole else ascii_titles)(spark, d).select("id", "titulo", F.concat(F.lit("D"), F.col("id").cast("string")).alias("doi"), F.when(F.col("id") % 50 == 0, True).when(F.col("id") % 50 == 1, F.lit(None)).otherwise(False).alias("is_retracted"))
     notices = table(spark, d, "labels").filter("toxic = 1").select(F.concat(F.lit(" d"), F.col("doc_id").cast("string"), F.lit(" ")).alias("doi"))
     return clean.flag_retractions(own, notices, (*T.RETRACTION_MARKS[:2], r"\bthe\b", r"\bidiot\b"))
 
@@ -168,6 +168,19 @@ def retraction_report(spark: SparkSession, d: str) -> DataFrame:
     return clean.retraction_report(_flagged(spark, d))
 
 
+# The queries named ..._whole run over whole tables, of which SQL's byte-wise functions agree on a part only; tests hold them against brute force.
+
+
+@query()
+def retraction_flags_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _flagged(spark, d, True).select("id", "flag_retratado", "motivo_retracao")
+
+
+@query()
+def retraction_report_whole(spark: SparkSession, d: str) -> DataFrame:
+    return clean.retraction_report(_flagged(spark, d, True))
+
+
 @query("SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def pending_antijoin(spark: SparkSession, d: str) -> DataFrame:
     return clean.pending(corpus(spark, d), table(spark, d, "labels").select(F.col("doc_id").alias("id"))).select("id")
@@ -215,6 +228,11 @@ def title_normalise(spark: SparkSession, d: str) -> DataFrame:
     return ascii_titles(spark, d).select("id", T.normalise_title(F.col("titulo")).alias("titulo_norm"))
 
 
+@query()
+def title_normalise_whole(spark: SparkSession, d: str) -> DataFrame:
+    return corpus(spark, d).select("id", T.normalise_title(F.col("titulo")).alias("titulo_norm"))
+
+
 _MORE = " <b>x</b> [1, 2] (Smith) (TAM) (Smith & Jones, 2020) [3-5]"
 _AUTHOR = T.AUTHOR_CITATION.replace("'", "''")
 
@@ -224,7 +242,16 @@ _AUTHOR = T.AUTHOR_CITATION.replace("'", "''")
   e AS (SELECT id, len(regexp_extract_all(t0, '{T.NUMERIC_CITATION}')) + len(regexp_extract_all(t, '{_AUTHOR}')) AS n, trim(regexp_replace(regexp_replace(t, '{_AUTHOR}', ' ', 'g'), '\s{{2,}}', ' ', 'g')) AS t FROM c)
   SELECT id, CAST(n AS INTEGER) AS n_citacoes, t AS limpo, CAST(len(regexp_extract_all(t, '[A-Za-z0-9_]+')) AS INTEGER) AS n_palavras FROM e""")
 def text_clean(spark: SparkSession, d: str) -> DataFrame:
-    own = ascii_titles(spark, d).select("id", F.concat("titulo", F.lit(_MORE)).alias("t"))
+    return _cleaned(ascii_titles(spark, d))
+
+
+@query()
+def text_clean_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _cleaned(corpus(spark, d))
+
+
+def _cleaned(works: DataFrame) -> DataFrame:
+    own = works.select("id", F.concat("titulo", F.lit(_MORE)).alias("t"))
     limpo = T.clean_text(F.col("t"))
     return own.select("id", T.citations(F.col("t")).alias("n_citacoes"), limpo.alias("limpo"), T.count_words(limpo).alias("n_palavras"))
 
@@ -290,6 +317,15 @@ _PATTERN_SQL = "(?i)(?:" + "|".join(_PATTERNS).replace("'", "''") + ")"
   FROM conversations WHERE regexp_full_match(text, '[\x09\x0A\x0D -~]*')""")
 def injection_flags(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "conversations").filter(F.col("text").rlike(r"\A[\x09\x0A\x0D -~]*\z"))
+    return _injections(own)
+
+
+@query()
+def injection_flags_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _injections(table(spark, d, "conversations"))
+
+
+def _injections(own: DataFrame) -> DataFrame:
     return own.select("conv_id", "turn", T.injection_reason(F.col("role"), F.col("text"), _PATTERNS).alias("motivo"))
 
 
@@ -652,8 +688,8 @@ def network_report(spark: SparkSession, d: str) -> DataFrame:
 # fuzzy duplicates
 
 
-def _titles(spark: SparkSession, d: str) -> DataFrame:
-    return ascii_titles(spark, d).withColumn("titulo_norm", T.normalise_title(F.col("titulo")))
+def _titles(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return (corpus if whole else ascii_titles)(spark, d).withColumn("titulo_norm", T.normalise_title(F.col("titulo")))
 
 
 _TITLES = rf"{ASCII}, n AS (SELECT id, ano, citacoes, trim(regexp_replace(regexp_replace(lower(titulo), '[^a-z0-9_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM ascii), y AS (SELECT DISTINCT ano AS k FROM n WHERE t <> ''), \
@@ -665,6 +701,23 @@ def fuzzy_pairs(spark: SparkSession, d: str) -> DataFrame:
     return dedup.fuzzy_pairs(_titles(spark, d)).withColumn("similarity", F.round("similarity", 6))
 
 
+@query()
+def fuzzy_pairs_whole(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.fuzzy_pairs(_titles(spark, d, True)).withColumn("similarity", F.round("similarity", 6))
+
+
+@query()
+def dedup_groups_whole(spark: SparkSession, d: str) -> DataFrame:
+    own = _titles(spark, d, True)
+    return dedup.duplicate_groups(own, dedup.fuzzy_pairs(own))
+
+
+@query()
+def dedup_marks_whole(spark: SparkSession, d: str) -> DataFrame:
+    own = _titles(spark, d, True)
+    return dedup.mark_duplicates(own, dedup.duplicate_groups(own, dedup.fuzzy_pairs(own))).select("id", "dedup_grupo", "dedup_motivo")
+
+
 @query(f"""WITH RECURSIVE {_TITLES}, w AS (SELECT a AS u, b AS v FROM p UNION SELECT b, a FROM p), r AS (SELECT u AS id, u AS reach FROM w UNION SELECT r.id, w.v FROM r JOIN w ON r.reach = w.u), c AS (SELECT id, min(reach) AS component FROM r GROUP BY 1),
   k AS (SELECT c.id, component, first_value(c.id) OVER (PARTITION BY component ORDER BY citacoes DESC NULLS LAST, ano, c.id) AS representative FROM c JOIN n ON n.id = c.id) SELECT id, component, representative FROM k""")
 def dedup_groups(spark: SparkSession, d: str) -> DataFrame:
