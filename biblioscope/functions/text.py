@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType
 
 #: Stop words, Portuguese then English.
 STOPWORDS = tuple(
@@ -155,6 +155,21 @@ def coverage(terms: Column, lexicon: Column) -> Column:
     return F.when(n > 0, F.size(F.array_intersect(terms, lexicon)) / n).otherwise(F.lit(0.0))
 
 
+@F.pandas_udf(MapType(StringType(), ArrayType(IntegerType())))
+def inverted_index(text: pd.Series) -> pd.Series:
+    """Word -> positions of a text cut at spaces. In Python: list functions would look for each word in the whole text."""
+
+    def build(own: str | None) -> dict[str, list[int]] | None:
+        if own is None:
+            return None
+        out: dict[str, list[int]] = {}
+        for i, w in enumerate(own.split(" ")):
+            out.setdefault(w, []).append(i)
+        return out
+
+    return text.map(build)
+
+
 def rebuild_abstract(index: Column) -> Column:
     """A text from its inverted index word -> positions.
 

@@ -264,6 +264,12 @@ def inverted_index_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return own.select("id", T.rebuild_abstract(F.col("index")).alias("rebuilt"))
 
 
+@query()
+def inverted_index_roundtrip_whole(spark: SparkSession, d: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 256)  # a batch's words are Python objects
+    return corpus(spark, d).select("id", T.inverted_index(F.col("abstract")).alias("index")).select("id", T.rebuild_abstract(F.col("index")).alias("rebuilt"))
+
+
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 _TOKENS = rf"""{CORPUS}, tok AS (SELECT id, journal, CASE WHEN length(abstract) >= 10 THEN list_filter(string_split_regex(regexp_replace(lower(abstract), '[^{T.TOKEN_LETTERS}\s]', ' ', 'g'), '\s+'),
   lambda w: length(w) >= 3 AND NOT regexp_full_match(w, '[0-9]+') AND w NOT IN ({_STOP})) ELSE [] END AS t FROM corpus),

@@ -116,3 +116,10 @@ def test_injections(spark, sf):
     want = {(c, t): "; ".join(sorted({m.group().strip().lower() for m in pattern.finditer(role + "\n" + text)})[:5]) for c, t, role, text in TURNS}
     assert {(r.conv_id, r.turn): r.motivo for r in found(spark, sf, "injection_flags_whole")} == want
     assert want[1, 0] and want[3, 0] and not want[2, 0]
+
+
+def test_inverted_index(spark, sf, tmp_path):
+    assert {r.id: r.rebuilt for r in found(spark, sf, "inverted_index_roundtrip_whole")} == {i: t.strip(" ") for i, t in TEXTS.items()}
+    texts = {1: "a  b a\nc", 2: " ".join(["é", "w"] * 5000), 3: "w " * 10_000 + "x", 4: "w " * 10_001 + "x", 5: None}
+    spark.createDataFrame([(i, t, "pt", "s", 0) for i, t in texts.items()], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.id: r.rebuilt for r in found(spark, tmp_path, "inverted_index_roundtrip_whole")} == texts | {4: ""}  # 10,001 is beyond the last position
