@@ -611,7 +611,8 @@ def adjusted_rand(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT count(*) AS n_rows, '' AS missing, '' AS all_null, false AS is_empty, false AS is_inflated, count(*) FILTER (abs(CAST((doc_id * 37) % 101 AS DOUBLE) / 101 + CAST((doc_id * 53) % 97 AS DOUBLE) / 97 - 1) > 0.5) AS n_bad_sums FROM labels")
 def probability_validator(spark: SparkSession, d: str) -> DataFrame:
-    return schemas.output_report(_predicted(spark, d), ["doc_id", "p"], n_input=10, probabilities=["p", "q"], tolerance=0.5).drop("largest_deviation").withColumn("is_inflated", F.col("is_inflated") & F.lit(False))
+    n = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left_semi").count()
+    return schemas.output_report(_predicted(spark, d), ["doc_id", "p"], n_input=n, probabilities=["p", "q"], tolerance=0.5).drop("largest_deviation")
 
 
 # graph

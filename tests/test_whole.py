@@ -123,3 +123,11 @@ def test_inverted_index(spark, sf, tmp_path):
     texts = {1: "a  b a\nc", 2: " ".join(["é", "w"] * 5000), 3: "w " * 10_000 + "x", 4: "w " * 10_001 + "x", 5: None}
     spark.createDataFrame([(i, t, "pt", "s", 0) for i, t in texts.items()], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.id: r.rebuilt for r in found(spark, tmp_path, "inverted_index_roundtrip_whole")} == texts | {4: ""}  # 10,001 is beyond the last position
+
+
+def test_inflated_output_is_reported(spark, tmp_path):
+    write = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    write([(i, "x") for i in range(4)], "doc_id bigint, text string", "documents")
+    write([(i % 4, 1, 0) for i in range(9)], "doc_id bigint, quality int, toxic int", "labels")
+    (r,) = found(spark, tmp_path, "probability_validator")
+    assert r.n_rows == 9 and r.is_inflated
