@@ -296,6 +296,18 @@ def term_cluster_freq(spark: SparkSession, d: str) -> DataFrame:
     return terms.by_cluster(own.join(often, "term", "left_semi"), c.select("id", F.col("journal").alias("cluster")))
 
 
+def _often(own: DataFrame) -> DataFrame:
+    """Terms in as many documents as the reference asks for."""
+    return own.groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter("n >= 5").select("term")
+
+
+@query()
+def term_cluster_freq_whole(spark: SparkSession, d: str) -> DataFrame:
+    c = corpus(spark, d)
+    own = stored(terms.document_terms(c, "abstract"), "terms")
+    return terms.by_cluster(own.join(_often(own), "term", "left_semi"), c.select("id", F.col("journal").alias("cluster")))
+
+
 @query(f"""WITH {_TOKENS}, v AS (SELECT term, count(*) AS df FROM terms GROUP BY term HAVING count(*) >= 60), u AS (SELECT id, t.term, df FROM terms t JOIN v USING (term)),
   p AS (SELECT x.term AS a, y.term AS b, count(*) AS n, any_value(x.df) AS da, any_value(y.df) AS db FROM u x JOIN u y ON x.id = y.id AND x.term < y.term GROUP BY 1, 2 HAVING count(*) >= 5),
   q AS (SELECT *, log2(n * CAST((SELECT count(*) FROM documents) AS DOUBLE) / (da * db)) AS pmi, -log2(greatest(n / CAST((SELECT count(*) FROM documents) AS DOUBLE), 1e-12)) AS h FROM p)
@@ -307,6 +319,13 @@ def term_pmi(spark: SparkSession, d: str) -> DataFrame:
     return terms.cooccurrence(own, often, c.count()).select("a", "b", F.round("weight", 5).alias("weight"), F.round("pmi", 5).alias("pmi"), "n_co_artigos")
 
 
+@query()
+def term_pmi_whole(spark: SparkSession, d: str) -> DataFrame:
+    c = corpus(spark, d)
+    own = stored(terms.document_terms(c, "abstract"), "terms")
+    return terms.cooccurrence(own, _often(own), c.count()).select("a", "b", F.round("weight", 5).alias("weight"), F.round("pmi", 5).alias("pmi"), "n_co_artigos")
+
+
 @query(f"""WITH {_TOKENS}, g AS (SELECT term, count(*) FILTER (journal = 'src0') AS n_one, count(*) FILTER (journal = 'src1') AS n_other FROM terms GROUP BY 1)
   SELECT term, n_one, n_other, round((n_one + 1) / CAST((SELECT count(*) FROM corpus WHERE journal = 'src0') + 1 AS DOUBLE) / ((n_other + 1) / CAST((SELECT count(*) FROM corpus WHERE journal = 'src1') + 1 AS DOUBLE)), 6) AS ratio FROM g WHERE n_one + n_other > 3""")
 def lexical_enrichment(spark: SparkSession, d: str) -> DataFrame:
@@ -802,7 +821,7 @@ def kmeans_ari(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def classifier_cv(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select(F.col("doc_id").alias("id"), F.col("quality").cast("string").alias("y"), F.col("text").alias("texto"))
-    return evaluation.single_label(models.cross_validate(models.tfidf(own, size=500), "y", "tfidf", folds=3), "truth", "guess")
+    return evaluation.single_label(models.cross_validate(models.tfidf(own), "y", "tfidf"), "truth", "guess")
 
 
 @query("SELECT doc_id AS id, length(text) AS score, 'v1' AS prompt_version FROM documents")

@@ -1,5 +1,8 @@
 """The queries over whole tables against brute force, on small tables with texts of all kinds."""
 
+import collections
+import inspect
+import math
 import re
 import unicodedata
 
@@ -7,6 +10,7 @@ import pytest
 
 import __spark_entry__ as entry
 from biblioscope.functions import text as T
+from biblioscope.operators import models
 
 TEXTS = {
     1: "Avaliação da Política\nmore text here",
@@ -131,3 +135,32 @@ def test_inflated_output_is_reported(spark, tmp_path):
     write([(i % 4, 1, 0) for i in range(9)], "doc_id bigint, quality int, toxic int", "labels")
     (r,) = found(spark, tmp_path, "probability_validator")
     assert r.n_rows == 9 and r.is_inflated
+
+
+def test_terms_of_five_documents(spark, tmp_path):
+    texts = ["alfa bravo charlie"] * 5 + ["delta echo foxtrot"] * 4 + ["alfa golf hotel"] * 6 + ["nothing else here"] * 25
+    spark.createDataFrame([(i, t, "pt", f"src{i % 2}", 9) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    grams = []
+    for t in texts:
+        w = [x for x in t.split() if x not in T.STOPWORDS]
+        grams.append({" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)})
+    df = collections.Counter(g for own in grams for g in own)
+    valid = {g for g, n in df.items() if n >= 5}
+    by = {g: ";".join(f"src{k}:{n}" for k in (0, 1) if (n := sum(g in own for own in grams[k::2]))) for g in valid}
+    assert {r.term: r.freq_por_cluster for r in found(spark, tmp_path, "term_cluster_freq_whole")} == by
+    both = collections.Counter((a, b) for own in grams for a in own & valid for b in own & valid if a < b)
+    pmi = {k: math.log2(n * len(texts) / (df[k[0]] * df[k[1]])) for k, n in both.items() if n >= 5}
+    want = {k: x for k, x in pmi.items() if x >= 0.5}
+    assert ("alfa", "bravo") in want and ("golf", "hotel") in want and "delta" not in valid
+    out = {(r.a, r.b): r for r in found(spark, tmp_path, "term_pmi_whole")}
+    assert {k: r.n_co_artigos for k, r in out.items()} == {k: both[k] for k in want}
+    assert {k: r.pmi for k, r in out.items()} == pytest.approx(want, abs=1e-4)
+
+
+def test_classifier_uses_the_reference_parameters(spark, sf, monkeypatch):
+    seen = []
+    keep = lambda name, f: monkeypatch.setattr(models, name, lambda *a, **b: seen.append(inspect.signature(f).bind(*a, **b)) or seen[-1].apply_defaults() or f(*a, **b))
+    keep("tfidf", models.tfidf)
+    keep("cross_validate", lambda df, label, features, folds=5: df.selectExpr("1 as truth", "1 as guess"))
+    entry.queries()["classifier_cv"](spark, sf)
+    assert [x.arguments.get("size", x.arguments.get("folds")) for x in seen] == [2000, 5]
