@@ -12,12 +12,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_crc, remembered, small_batches, table
-from .subwords import WordLogits, grams, train
+from .subwords import WordLogits, bags, train
 
 SIZES = (1, 2, 3, 4)
 BUCKETS = 1 << 16
 #: The model is fitted on at most so many texts of each language, those with the smallest id hashes.
 TRAIN_ROWS_PER_LANGUAGE = 300
+#: Batches of SGD at least, however few the rows.
+STEPS = 300
+#: Few held-back texts say little about their least score; beyond this no prediction is rejected.
+HIGHEST_FLOOR = 0.95
 UNKNOWN = "und"
 
 
@@ -29,20 +33,6 @@ class Model:
     floor: float  # below this calibrated score a prediction is marked as rejected
 
 
-def _bag(words: list[str]) -> tuple[list[str], np.ndarray]:
-    found = Counter(words)
-    return list(found), np.array(list(found.values()))
-
-
-def _example_ids(examples: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-    ids, starts = [], [0]
-    for words in examples:
-        own, _ = grams(words, SIZES, BUCKETS)
-        ids.append(own)
-        starts.append(starts[-1] + len(own))
-    return np.concatenate(ids), np.array(starts)
-
-
 def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model:
     """Trains on 60-word and shorter stretches of all parts of the texts; every fifth text is held back to fit the temperature and the rejection floor."""
     rng = np.random.default_rng(seed)
@@ -64,20 +54,19 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model:
             rows.append((words[at : at + n], y))
     if not rows:
         return Model(languages, np.zeros((BUCKETS, max(1, len(languages))), np.float32), 1.0, 0.0)
-    ids, starts = _example_ids([w for w, _ in rows])
     targets = np.zeros((len(rows), len(languages)), np.float32)
     targets[np.arange(len(rows)), [y for _, y in rows]] = 1
     # every language weighs the same
     targets *= (len(rows) / len(languages) / np.maximum(1, targets.sum(0)))[None, :]
-    weights = train(ids, starts, targets, BUCKETS, dim=16, epochs=4, rate=0.3)
+    weights = train(bags([w for w, _ in rows], SIZES, BUCKETS), targets, BUCKETS, steps=STEPS)
     model = Model(languages, weights, 1.0, 0.0)
     if held:
         memo = WordLogits(weights, SIZES)
         logits = np.stack([_logits(memo, w) for w, _ in held])
         y = np.array([y for _, y in held])
-        fits = {t: float(-np.log(np.maximum(_softmax(logits / t)[np.arange(len(y)), y], 1e-9)).mean()) for t in np.geomspace(0.05, 20, 60)}
+        fits = {t: float(-np.log(np.maximum(_softmax(logits / t)[np.arange(len(y)), y], 1e-9)).mean()) for t in np.geomspace(0.5, 20, 60)}
         model.temperature = min(fits, key=fits.get)
-        model.floor = float(np.quantile(_softmax(logits / model.temperature).max(1), 0.01))
+        model.floor = min(HIGHEST_FLOOR, float(np.quantile(_softmax(logits / model.temperature).max(1), 0.01)))
     return model
 
 
@@ -89,7 +78,7 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
 def _logits(memo: WordLogits, words: list[str]) -> np.ndarray:
     memo.learn(set(words))
     rows = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
-    return memo.sums[rows].sum(0, dtype=np.float64) / memo.counts[rows].sum(dtype=np.float64)
+    return memo.logits[rows].mean(0, dtype=np.float64)
 
 
 def _predict(model: Model):
@@ -143,7 +132,7 @@ def identify(docs: DataFrame, train_rows: DataFrame, per_language: int = TRAIN_R
 
     train_rows has (doc_id, text, lang), lang not null. A null text, or one without any letter, gets `und`, score 0
     and rejected. Whole texts are scored. rejected marks calibrated scores below what 99 % of held-back training texts
-    reach. Without training rows all is `und`. Repeated rows and ids give a row each; an empty table gives none."""
+    reach (0.95 at most). Without training rows all is `und`. Repeated rows and ids give a row each; an empty table gives none."""
     sample = training_sample(train_rows, "lang", per_language)
     model = fit([t for t, _ in sample], [x for _, x in sample])
     return docs.select("doc_id", "held_out", "text").mapInArrow(_predict(model), "doc_id bigint, held_out boolean, lang_pred string, score double, rejected boolean")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import string
+from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -45,50 +47,96 @@ def grams_in_parts(words: list[str], sizes: tuple[int, ...], buckets: int, part:
     return np.concatenate(ids), np.cumsum(np.concatenate(counts))
 
 
-def train(ids: np.ndarray, starts: np.ndarray, targets: np.ndarray, buckets: int, dim: int = 16, epochs: int = 8, batch: int = 256, rate: float = 0.5, decay: float = 1e-6, seed: int = 7) -> np.ndarray:
-    """Bag-of-subwords embeddings and a softmax layer, trained jointly by SGD with per-row step sizes (Adagrad).
+@dataclass
+class Bags:
+    """Rows as bags of words, words as bags of hashed n-grams: both as flat ids with where each row or word begins."""
 
-    Row i is the mean embedding of ids[starts[i]:starts[i + 1]]; targets are class weights by row (their sum is the
-    row's weight). Returns what scoring needs: for each bucket its share of the logits, embeddings times weights."""
+    grams: np.ndarray
+    word_starts: np.ndarray
+    words: np.ndarray
+    counts: np.ndarray
+    row_starts: np.ndarray
+
+
+def bags(rows: list[list[str]], sizes: tuple[int, ...], buckets: int) -> Bags:
+    """A row without words has one word, the empty one."""
+    number: dict[str, int] = {}
+    ids, counts, starts = [], [], [0]
+    for words in rows:
+        found = Counter(words or [""])
+        ids += [number.setdefault(w, len(number)) for w in found]
+        counts += found.values()
+        starts.append(len(ids))
+    own, word_starts = grams_in_parts(list(number), sizes, buckets)
+    return Bags(own, word_starts, np.array(ids, np.int64), np.array(counts, np.float32), np.array(starts))
+
+
+def _flat(starts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all members of the rows, and how many each has."""
+    n = starts[rows + 1] - starts[rows]
+    return np.repeat(starts[rows] - (np.cumsum(n) - n), n) + np.arange(int(n.sum())), n
+
+
+def _summed(where: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([np.bincount(where, values[:, k], n) for k in range(values.shape[1])], 1).astype(np.float32)
+
+
+def train(bag: Bags, targets: np.ndarray, buckets: int, dim: int = 8, steps: int = 500, epochs: int = 4, batch: int = 256, rate: float = 0.3, scale: float = 1.0, decay: float = 1e-6, seed: int = 7) -> np.ndarray:
+    """Averaged subword embeddings and a softmax layer, trained jointly by SGD with per-row step sizes (Adagrad).
+
+    A word is the mean of its n-grams' embeddings, a row the mean of its words; targets are class weights by row (their
+    sum is the row's weight). At least `steps` batches and `epochs` passes are made, so small tables are learned too.
+    Returns a row of logits for each bucket (embedding times weights, plus the bias), such that the mean over a word's
+    n-grams, and then over a row's words, is the row's logits."""
     rng = np.random.default_rng(seed)
-    classes = targets.shape[1]
-    used = np.flatnonzero(np.bincount(ids, minlength=buckets))
+    classes, rows_all = targets.shape[1], len(targets)
+    used = np.flatnonzero(np.bincount(bag.grams, minlength=buckets))
     place = np.zeros(buckets, np.int32)
     place[used] = np.arange(len(used))
-    ids = place[ids]
+    ids = place[bag.grams]
     embed = (rng.standard_normal((len(used), dim)) * 0.1).astype(np.float32)
-    out = (rng.standard_normal((dim, classes)) * 0.1).astype(np.float32)
-    g_embed, g_out = np.full(len(used), 1e-3, np.float32), np.full((dim, classes), 1e-3, np.float32)
+    out, bias = (rng.standard_normal((dim, classes)) * 0.1).astype(np.float32), np.zeros(classes, np.float32)
+    g_embed, g_out, g_bias = np.full(len(used), 1e-6, np.float32), np.full((dim, classes), 1e-3, np.float32), np.full(classes, 1e-3, np.float32)
     weight = targets.sum(1, keepdims=True)
-    for _ in range(epochs):
-        order = rng.permutation(len(targets))
-        for at in range(0, len(order), batch):
+    done = epoch = 0
+    while epoch < epochs or done < steps:
+        order = rng.permutation(rows_all)
+        epoch += 1
+        for at in range(0, rows_all, batch):
             rows = order[at : at + batch]
-            n = starts[rows + 1] - starts[rows]
-            flat = ids[np.repeat(starts[rows] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-            begin = np.concatenate([[0], np.cumsum(n)[:-1]])
-            mean = np.add.reduceat(embed[flat], begin, axis=0) / n[:, None]
-            logits = mean @ out
+            done += 1
+            flat, n = _flat(bag.row_starts, rows)
+            words, own = np.unique(bag.words[flat], return_inverse=True)
+            row = np.repeat(np.arange(len(rows)), n)
+            share = bag.counts[flat]
+            share = share / np.bincount(row, share, len(rows))[row].astype(np.float32)
+            members, many = _flat(bag.word_starts, words)
+            local, where = np.unique(ids[members], return_inverse=True)
+            begin = np.cumsum(many) - many
+            word_vectors = np.add.reduceat(embed[local][where], begin, axis=0) / many[:, None].astype(np.float32)
+            mean = scale * np.add.reduceat(word_vectors[own] * share[:, None], np.cumsum(n) - n, axis=0)
+            logits = mean @ out + bias
             logits -= logits.max(1, keepdims=True)
             p = np.exp(logits)
             p /= p.sum(1, keepdims=True)
             error = ((weight[rows] * p - targets[rows]) / len(rows)).astype(np.float32)
-            d_mean = (error @ out.T) / n[:, None].astype(np.float32)
+            d_rows = scale * (error @ out.T)
             d_out = mean.T @ error + decay * out
-            local, where = np.unique(flat, return_inverse=True)
-            d = np.repeat(d_mean, n, axis=0)
-            d_embed = np.stack([np.bincount(where, d[:, k], len(local)) for k in range(dim)], 1).astype(np.float32) + decay * embed[local]
+            d_words = _summed(own, d_rows[row] * share[:, None], len(words)) / many[:, None].astype(np.float32)
+            d_embed = _summed(where, np.repeat(d_words, many, axis=0), len(local)) + decay * embed[local]
             g_embed[local] += (d_embed**2).mean(1)
             embed[local] -= rate * d_embed / np.sqrt(g_embed[local])[:, None]
             g_out += d_out**2
             out -= rate * 0.2 * d_out / np.sqrt(g_out)
-    table = np.zeros((buckets, classes), np.float32)
-    table[used] = embed @ out
+            g_bias += error.sum(0) ** 2
+            bias -= rate * 0.2 * error.sum(0) / np.sqrt(g_bias)
+    table = np.tile(bias, (buckets, 1))
+    table[used] += scale * (embed @ out)
     return table
 
 
 class WordLogits(dict):
-    """word -> row; sums[row] is the sum of its subwords' logit shares, sizes[row] their number. Bounded memory."""
+    """word -> row; logits[row] is the mean of its subwords' logits. Bounded memory."""
 
     def __init__(self, table: np.ndarray, sizes: tuple[int, ...], most: int = 250_000) -> None:
         self.table, self.orders, self.most = table, sizes, most
@@ -96,8 +144,7 @@ class WordLogits(dict):
 
     def reset(self) -> None:
         self.clear()
-        self.sums = np.zeros((1024, self.table.shape[1]), np.float32)
-        self.counts = np.zeros(1024, np.float32)
+        self.logits = np.zeros((1024, self.table.shape[1]), np.float32)
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self]
@@ -108,9 +155,7 @@ class WordLogits(dict):
             own = new[k : k + 20_000]
             ids, starts = grams(own, self.orders, len(self.table))
             at = len(self)
-            while at + len(own) > len(self.sums):
-                self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-                self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
-            self.sums[at : at + len(own)] = np.add.reduceat(self.table[ids], starts[:-1], axis=0)
-            self.counts[at : at + len(own)] = np.diff(starts)
+            while at + len(own) > len(self.logits):
+                self.logits = np.concatenate([self.logits, np.zeros_like(self.logits)])
+            self.logits[at : at + len(own)] = np.add.reduceat(self.table[ids], starts[:-1], axis=0) / np.diff(starts)[:, None]
             self.update(zip(own, range(at, at + len(own)), strict=True))

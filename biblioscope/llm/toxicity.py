@@ -1,4 +1,7 @@
-"""Toxicity: bags of subword embeddings averaged into a linear softmax, trained jointly, so misspellings share n-grams."""
+"""Toxicity: words as averaged bags of subword embeddings under a linear softmax, trained jointly, so misspellings share n-grams.
+
+A document's score is calibrated from its words' odds: its three largest and the number above even. One average over the
+document's whole bag was tried first and dilutes a few toxic words beyond use; the README has the figures of both."""
 
 from __future__ import annotations
 
@@ -12,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_crc, remembered, small_batches, table
-from .subwords import EDGES, WordLogits, grams_in_parts, train
+from .subwords import EDGES, WordLogits, bags, train
 
 SIZES = (2, 3, 4, 5)
 BUCKETS = 1 << 17
@@ -37,7 +40,7 @@ def _features(memo: WordLogits, words: set[str]) -> np.ndarray:
     """The document's largest word log-odds, and the share of words above even odds; a word is its subwords' average."""
     memo.learn(words)
     rows = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
-    odds = memo.sums[rows] / memo.counts[rows][:, None]
+    odds = memo.logits[rows]
     odds = np.clip(odds[:, 1] - odds[:, 0], -20, 20)
     top = np.sort(np.partition(odds, -TOP)[-TOP:] if len(odds) > TOP else np.concatenate([odds, np.full(TOP - len(odds), -8.0)]))[::-1]
     return np.concatenate([top, [np.log1p((odds > 0).sum())]])
@@ -65,11 +68,10 @@ def fit(texts: list[str | None], toxic: list[int], prior: float | None = None) -
     vocabulary = list(counts)
     if not vocabulary or len({y for _, y in held}) < 2:
         return empty
-    ids, starts = grams_in_parts(vocabulary, SIZES, BUCKETS)
     seen = np.array([counts[w] for w in vocabulary], np.float32)
     base = np.bincount(np.array(toxic), minlength=2)[None, :] / len(toxic)
     shares = (seen + SMOOTHING * base) / (seen.sum(1, keepdims=True) + SMOOTHING)  # a word seen once says little
-    weights = train(ids, starts, (shares * seen.sum(1, keepdims=True)).astype(np.float32), BUCKETS, dim=16, epochs=max(EPOCHS, STEPS * 512 // len(vocabulary)), batch=512, rate=RATE)
+    weights = train(bags([[w] for w in vocabulary], SIZES, BUCKETS), (shares * seen.sum(1, keepdims=True)).astype(np.float32), BUCKETS, steps=STEPS, epochs=EPOCHS, batch=512, rate=RATE)
     memo = WordLogits(weights, SIZES)
     x = np.stack([_features(memo, w) for w, _ in held])
     y = np.array([y for _, y in held], float)
@@ -109,8 +111,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_label: int) -> tuple
     bound = F.lit(0)
     for y, n in counts.items():
         bound = F.when(F.col("toxic") == y, F.lit(int((1 << 40) * min(1.0, 1.2 * per_label / n + 20 / n)))).otherwise(bound)
-    chosen = usable.withColumn("_order", order).filter(F.col("_order") <= bound).orderBy("_order").limit(4 * per_label + 200)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text", "_order").limit(8 * per_label + 400).collect()
+    chosen = usable.withColumn("_order", order).filter(F.col("_order") <= bound).orderBy("_order", "doc_id", "toxic").limit(4 * per_label + 200)
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text", "_order").orderBy("_order", "toxic", F.xxhash64("text")).limit(8 * per_label + 400).collect()
     taken: Counter = Counter()
     out = []
     for y, text, _ in sorted(texts, key=lambda r: (r[2], r[0], r[1] or "")):
