@@ -8,15 +8,20 @@ from collections.abc import Iterator
 
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remembered, shared_path, small_batches, table
+from .common import remembered, shared_path, small_batches, stored, table
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 #: Entries of a worker's memo of word counts; when full it is emptied, so it bounds memory and changes no result.
 MEMO_WORDS = 300_000
+#: Up to so many missing digests (48 bytes each) are broadcast to pick their texts; beyond that the texts are shuffled.
+BROADCAST_ROWS = 500_000
+#: How the model writes a space; the two are one character to it.
+SPACE_MARK = "\u2581"
 _UNITS = re.compile(" +[^ ]*|[^ ]+")
 
 
@@ -75,32 +80,50 @@ def tokenizer_version(model_path: str) -> str:
 def cached_counts(spark: SparkSession, cache_dir: str, version: str) -> DataFrame | None:
     """The stored counts of this tokenizer version, or None; a repeated digest (two writers) counts once."""
     path = f"{cache_dir}/tokenizer={version}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
+    try:
+        return spark.read.schema("content_digest binary, n_tokens bigint").parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    return spark.read.schema("content_digest binary, n_tokens bigint").parquet(path)
 
 
-def token_counts(docs: DataFrame, model_path: str, cache_dir: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, n_bytes, n_tokens), one for each row of docs.
+def normalised(text_col: str) -> Column:
+    """The content that counts depend on: null as empty, the model's space mark as the space it stands for. Nothing else
+    is folded, since it would change counts."""
+    return F.translate(F.coalesce(F.col(text_col), F.lit("")), SPACE_MARK, " ")
 
-    cache_dir holds (content digest, count) by tokenizer digest. Misses, one text for each digest, are encoded and
-    appended before the join. Null texts count as empty (0 tokens); repeated rows and repeated ids each give their
-    row; an empty table gives none; other columns of docs are ignored. Texts are encoded whole.
+
+def digested(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (doc_id, text, content_digest): the digest of the normalised content."""
+    kept = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return kept.withColumn("content_digest", F.unhex(F.sha2(normalised("text").cast("binary"), 256)))
+
+
+def token_counts(docs: DataFrame, model_path: str, cache_dir: str, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Rows (doc_id, n_bytes, n_tokens), one for each row of docs.
+
+    cache_dir holds (digest of normalised content, count) by tokenizer digest. Digests alone are shuffled to find the
+    misses; one text for each (that of the smallest id) is encoded and its count appended before the join. Null texts
+    count as empty (0 tokens); repeated rows and repeated or null ids each give their row; an empty table gives none;
+    other columns of docs are ignored. Texts are encoded whole.
     """
     spark = docs.sparkSession
     version = tokenizer_version(model_path)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("content_digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
-    misses = keyed.select("content_digest", "text")
+    keyed = digested(docs, id_col, text_col)
+    wanted = keyed.groupBy("content_digest").agg(F.min("doc_id").alias("rep"))
     known = cached_counts(spark, cache_dir, version)
     if known is not None:
-        misses = misses.join(known.select("content_digest"), "content_digest", "left_anti")
-    misses = misses.dropDuplicates(["content_digest"])
+        wanted = wanted.join(known.select("content_digest"), "content_digest", "left_anti")
+    wanted = stored(wanted, "missing-digests").withColumnRenamed("content_digest", "missing")
+    few = wanted.count() <= broadcast_rows
+    same = (F.col("content_digest") == F.col("missing")) & F.col("doc_id").eqNullSafe(F.col("rep"))
+    misses = keyed.join(F.broadcast(wanted) if few else wanted.hint("merge"), same, "left_semi").select("content_digest", "text")
+    if not few:
+        misses = misses.dropDuplicates(["content_digest"])
     misses.mapInArrow(_encode(model_path), "content_digest binary, n_tokens bigint").write.mode("append").parquet(f"{cache_dir}/tokenizer={version}")
-    counts = cached_counts(spark, cache_dir, version)
-    if known is not None:
-        counts = counts.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # rows that share id and content, and other writers, may have stored a digest more than once
+    counts = cached_counts(spark, cache_dir, version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
     return keyed.select("doc_id", "content_digest", F.octet_length("text").cast("bigint").alias("n_bytes")).join(counts, "content_digest").select("doc_id", "n_bytes", "n_tokens")
 
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import re
 import zlib
 
@@ -80,20 +81,39 @@ def test_suffix_dedup(spark, docs, empty, rows):
     assert suffix_dedup.remove_repeats(empty, parts=2).count() == 0
 
 
-def test_token_counts_and_cache(spark, docs, empty, rows):
+def stored_counts(spark, path):
+    return [r for f in __import__("glob").glob(path.removeprefix("file://") + "/*/part-*") for r in spark.read.parquet("file://" + f).collect()]
+
+
+@pytest.mark.parametrize("broadcast_rows", [1000, 0])
+def test_token_counts_and_cache(spark, docs, empty, rows, broadcast_rows):
     path, model = shared_path(spark, "cache"), public_tokenizers.path(token_counts.MODEL)
     counter = token_counts.PieceCounter(model)
+    count = lambda df: collections.Counter(map(tuple, token_counts.token_counts(df, model, path, broadcast_rows=broadcast_rows).collect()))
     want = collections.Counter((r[0], len((r[1] or "").encode()), len(counter.model.encode(r[1] or ""))) for r in rows)
-    assert collections.Counter(map(tuple, token_counts.token_counts(clash(docs), model, path).collect())) == want
-    files = lambda: {f for f in __import__("glob").glob(path.removeprefix("file://") + "/*/part-*") if spark.read.parquet("file://" + f).count()}
-    before = files()
-    assert sum(spark.read.parquet("file://" + f).count() for f in before) == len({r[1] or "" for r in rows})
-    assert collections.Counter(map(tuple, token_counts.token_counts(docs, model, path).collect())) == want
-    assert files() == before  # nothing was missing, so nothing was encoded
-    more = spark.createDataFrame([(1000, "a new text", "en", "s", 1)], SCHEMA).union(docs)
-    assert token_counts.token_counts(more, model, path).count() == len(rows) + 1
-    assert len(files()) == len(before) + 1
-    assert token_counts.token_counts(empty, model, shared_path(spark, "cache")).count() == 0
+    assert count(clash(docs)) == want
+    first = stored_counts(spark, path)
+    assert len({bytes(r.content_digest) for r in first}) == len({(r[1] or "").replace("\u2581", " ") for r in rows})
+    assert count(docs) == want
+    assert sorted(stored_counts(spark, path)) == sorted(first)  # nothing was missing, so nothing was encoded
+    more = spark.createDataFrame([(1000, "a new text", "en", "s", 1), (1001, "a\u2581new text", "en", "s", 1)], SCHEMA)
+    assert {(r[0], r[2]) for r in count(more.union(docs))} >= {(1000, 3), (1001, 3)}
+    assert len(stored_counts(spark, path)) == len(first) + 1  # both spellings of the space are one content
+    assert not count(empty)
+
+
+def test_token_counts_query_uses_the_cache(spark, tmp_path):
+    """The registered query over one table twice: the second time every digest is a hit."""
+    if not os.path.exists("/root/testdata/sf0.001"):
+        pytest.skip("no test data")
+    spark.conf.set("spark.biblioscope.tokenCache", f"file://{tmp_path}/cache")
+    try:
+        once = sorted(token_counts.query(spark, "/root/testdata/sf0.001").collect())
+        held = sorted(stored_counts(spark, f"file://{tmp_path}/cache"))
+        assert sorted(token_counts.query(spark, "/root/testdata/sf0.001").collect()) == once
+        assert sorted(stored_counts(spark, f"file://{tmp_path}/cache")) == held and len(held) < len(once)
+    finally:
+        spark.conf.unset("spark.biblioscope.tokenCache")
 
 
 def test_packing(spark, docs, empty, rows):
