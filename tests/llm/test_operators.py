@@ -193,14 +193,15 @@ def test_decontamination(spark, docs, empty, rows):
         edited[i] = "changed"
     del edited[15]
     bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(8, None), (None, items[0]), (9, "two words"), (1, items[1])], "item_id bigint, text string")
-    more = [(3000, "before. " + items[0].upper() + " after", "en", "s", 1), (3001, " ".join(edited), "en", "s", 1), (3002, sentence(rng, 40), "en", "s", 1), (3003, items[2] + " and " + items[3], "en", "s", 1)]
+    more = [(3000, "before. " + items[0].upper() + " after", "en", "s", 1), (3001, " ".join(edited), "en", "s", 1), (3002, sentence(rng, 40), "en", "s", 1), (3003, items[2] + " and " + items[3] + " and " + items[2], "en", "s", 1), (3004, "Two words!", "en", "s", 1), (3005, "no two words here", "en", "s", 1)]
     both = clash(docs.union(spark.createDataFrame(more, SCHEMA)))
     for words in (decontaminate.BLOCK_WORDS, 40):
         out = decontaminate.annotate(both, bench, block_words=words)
         assert [c for c in out.columns if c != "matches"] == [c for c in both.columns if c != "matches"]
         found = {(r.doc_id, m.item_id) for r in out.collect() for m in r.matches}
-        assert found == {(3000, 0), (3001, 1), (3003, 2), (3003, 3)}
+        assert found == {(3000, 0), (3001, 1), (3003, 2), (3003, 3), (3004, 9)}
     assert out.filter("doc_id = 3000").first().matches[0].score == 1.0
+    assert {m.item_id: m.first_word for m in out.filter("doc_id = 3003").first().matches}[2] == 0  # of two equal passages the first
     assert decontaminate.annotate(empty, bench).count() == 0
     assert decontaminate.annotate(docs, bench.limit(0)).filter(F.size("matches") > 0).count() == 0
 

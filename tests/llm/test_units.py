@@ -219,6 +219,58 @@ def test_alignment(item, passage):
     assert not score or plain_align(item, passage[start:end]) == score
 
 
+def found_in(items, texts):
+    """matches() of the items in the texts, rare words weighed by the texts, by item then text."""
+    (block,) = decontaminate.item_blocks(enumerate(items))
+    hashes = [h for _, _, h, _ in decontaminate._hashed(pa.array(texts))]
+    block.weigh({int(w): int(n) for w, n in zip(*np.unique(np.concatenate(hashes), return_counts=True), strict=True)}, decontaminate.THRESHOLD)
+    lookups = (decontaminate.Lookup(block.long), decontaminate.Lookup(block.rare))
+    return block, [{m[0]: m[1] for m in own} for own in decontaminate.matches(block, lookups, pa.array(texts), decontaminate.THRESHOLD, {})]
+
+
+def plain_shares(item, text):
+    a, b = item.split(), text.split()
+    number = {w: i for i, w in enumerate(sorted({*a, *b}))}
+    return plain_align([number[w] for w in a], [number[w] for w in b]) / (2 * len(a))
+
+
+@given(st.integers(0, 10_000))
+@settings(max_examples=60, deadline=None)
+def test_short_items_are_never_missed(seed):
+    """All items under LONG words against whole texts, by plain alignment; words of few kinds, so that ties are many."""
+    rng = np.random.default_rng(seed)
+    word = lambda: f"w{int(rng.integers(0, 25))}"
+    items = [" ".join(word() for _ in range(rng.integers(1, decontaminate.LONG))) for _ in range(8)]
+    texts = []
+    for item in [*items, *items]:
+        own = [w if rng.random() > 0.25 else word() for w in item.split() if rng.random() > 0.1]
+        texts.append(" ".join([word() for _ in range(rng.integers(0, 15))] + own + [word() for _ in range(rng.integers(0, 15))]) or "x")
+    _, found = found_in(items, [*texts, *items])
+    for text, own in zip([*texts, *items], found, strict=True):
+        for t, item in enumerate(items):
+            n, share = len(item.split()), plain_shares(item, text)
+            if n <= decontaminate.WHOLE:
+                want = item == text
+            else:
+                want = share >= decontaminate.least_share(n, decontaminate.THRESHOLD) - 1e-12
+            assert (t in own) == want, (item, text, share)
+            assert not want or own[t] == pytest.approx(share)
+
+
+@pytest.mark.parametrize("n", [3, 6, 10, 15, 30, 59])
+@pytest.mark.parametrize("rate", [0.0, 0.15, 0.25, 0.33])
+def test_recall_of_edited_items(n, rate):
+    """Of copies whose share reaches the threshold of their length, 0.9 at least are found."""
+    rng = np.random.default_rng(n)
+    word = lambda: f"w{int(rng.zipf(1.3)) % 5000}"
+    items = [" ".join(word() for _ in range(n)) for _ in range(60)]
+    around = lambda: " ".join(word() for _ in range(20))
+    texts = [f"{around()} {' '.join('new' if rng.random() < rate else w for w in item.split())} {around()}" for item in items]
+    _, found = found_in(items, texts)
+    due = [t for t in range(60) if plain_shares(items[t], texts[t]) >= decontaminate.least_share(n, decontaminate.THRESHOLD)]
+    assert not due or np.mean([t in found[t] for t in due]) >= 0.9
+
+
 def test_license_phrases_and_templates():
     index = licenses.build_index()
     index.weigh(np.ones(len(index.vocabulary)), 100)
