@@ -1,4 +1,5 @@
-"""Licence scans by a positional index of licence words: key phrases open places, IDF-weighted postings pick where a template stands."""
+"""Licence scans by a positional index: a file's highest-IDF licence words are looked up, template postings intersect by
+relative position, mandatory key phrases are verified."""
 
 from __future__ import annotations
 
@@ -20,6 +21,11 @@ TEMPLATES = (
     ("mit", "licensed under the mit license", ("mit license",)),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted free of charge",)),
     ("apache-2.0", "licensed under the apache license version 2 0", ("apache license",)),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("this permission notice shall be included",)),
+    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at", ("may not use this file except in compliance",)),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("endorse or promote products derived",)),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ("without any express or implied warranty",)),
+    ("boost", "distributed under the boost software license version 1 0", ("boost software license",)),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
     ("bsd", "released under the bsd 3 clause license", ("bsd", "clause")),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ("gnu general public license",)),
@@ -36,6 +42,8 @@ TEMPLATES = (
     ("cc0", "dedicated to the public domain under cc0 1 0 universal", ("cc0",)),
     ("copyright", "copyright c the authors all rights reserved", ("copyright", "all rights reserved")),
 )
+#: A file's licence words of highest IDF that are looked up, beside the rarest word of each mandatory phrase.
+RAREST = 16
 #: Words by which a word or key phrase may be off the place that the votes give.
 SLACK = 3
 #: Least share of a template's weight that must stand at its place.
@@ -52,10 +60,17 @@ class Index:
     templates: list[tuple[str, list[int], list[tuple[int, list[int]]]]]  # label, word ids, key phrases as (position, ids)
     base: list[tuple[list[int], str]]
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    postings: dict[int, list[tuple[int, int]]] = field(default_factory=dict)  # word id -> (template, position)
+    openers: frozenset[int] = frozenset()  # the rarest word of each template's first phrase
 
     def weigh(self, df: np.ndarray, n: int) -> None:
         """Inverse document frequencies from the whole corpus."""
         self.weight = np.log((n + 1) / (df + 0.5)).clip(0.01)
+        self.openers = frozenset(max(phrases[0][1], key=lambda w: (self.weight[w], w)) for _, _, phrases in self.templates)
+        self.postings = {}
+        for t, (_, own, _) in enumerate(self.templates):
+            for q, w in enumerate(own):
+                self.postings.setdefault(w, []).append((t, q))
 
 
 def _hash_words(found: list[str]) -> np.ndarray:
@@ -121,24 +136,50 @@ def _places(ids: np.ndarray, first: np.ndarray, phrase: list[int]) -> np.ndarray
     return found[found + len(phrase) <= first[np.minimum(doc, len(first) - 1)]]
 
 
+def candidates(index: Index, ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+    """For each template the stretches (first, last) of starts for which the file's looked-up words vote.
+
+    Those are its RAREST licence words of highest IDF and, as a template's phrase is mandatory, the rarest word of each
+    phrase, so whatever words a file has besides, a place with the phrase gets a vote."""
+    at = np.flatnonzero(ids >= 0)
+    found = ids[at]
+    present = np.unique(found)
+    rare = set(present[np.lexsort((present, -index.weight[present]))][:RAREST].tolist()) | index.openers
+    starts: dict[int, list[int]] = {}
+    for p, w in zip(at.tolist(), found.tolist(), strict=True):
+        if w in rare:
+            for t, q in index.postings[w]:
+                starts.setdefault(t, []).append(p - q)
+    out = {}
+    for t, own in starts.items():
+        own.sort()
+        cut = [k for k in range(1, len(own)) if own[k] - own[k - 1] > 2 * SLACK]
+        out[t] = [(own[i], own[j - 1]) for i, j in zip([0, *cut], [*cut, len(own)], strict=True)]
+    return out
+
+
 def match(index: Index, ids: np.ndarray) -> tuple[set[str], float, list[tuple[str, int, float]]]:
     """Labels, best score and (label, start word, score) of the templates in one document's word ids.
 
-    A template's first key phrase is mandatory, so each place of it is tried, whatever words other documents have; of the
+    Stretches of starts come from candidates(). In them each place of the template's first key phrase is verified; of the
     starts up to SLACK words around, the one at which the document's licence words weigh most by IDF is the template's."""
     present = set(ids.tolist())
     ends = np.array([0, len(ids)])
     labels: set[str] = set()
     best, spans = 0.0, []
-    for label, own, phrases in index.templates:
+    for t, stretches in sorted(candidates(index, ids).items()):
+        label, own, phrases = index.templates[t]
         if not all(present.issuperset(key) for _, key in phrases):
             continue
         weights, size = index.weight[own], len(own)
         q0, key0 = phrases[0]
         wide = np.concatenate([np.full(2 * SLACK + size, -1), ids, np.full(2 * SLACK + size, -1)])
+        bases = _places(ids, ends, key0) - q0
+        voted = np.searchsorted([lo for lo, _ in stretches], bases, side="right") - 1
+        bases = [b for b, k in zip(bases.tolist(), voted.tolist(), strict=True) if k >= 0 and b <= stretches[k][1]]
         group: tuple[float, int, float] | None = None  # votes, -start, share
         last = None
-        for base in [*(_places(ids, ends, key0) - q0).tolist(), None]:
+        for base in [*bases, None]:
             if group is not None and (base is None or base - last > SLACK):  # key words that repeat nearby are one place
                 labels.add(label)
                 spans.append((label, max(0, -group[1]), group[2]))
@@ -163,7 +204,8 @@ SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_
 
 
 def _scan(index: Index):
-    keys = [list(key) for key in sorted({tuple(phrases[0][1]) for _, _, phrases in index.templates})]
+    openers = np.zeros(len(index.vocabulary) + 1, bool)  # the last stands for -1
+    openers[list(index.openers)] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,8 +216,7 @@ def _scan(index: Index):
                 for phrase, label in index.base:
                     for p in _places(ids, first, phrase).tolist():
                         base.setdefault(int(np.searchsorted(first, p, side="right")) - 1, []).append((p, label))
-                hit = np.concatenate([_places(ids, first, key) for key in keys])
-                some = set((np.searchsorted(first, hit, side="right") - 1).tolist())
+                some = set((np.searchsorted(first, np.flatnonzero(openers[ids]), side="right") - 1).tolist())
                 for k in range(j - i):
                     lo, hi = int(first[k]), int(first[k + 1])
                     labels, score, spans = match(index, ids[lo:hi]) if k in some else (set(), 0.0, [])

@@ -306,6 +306,40 @@ def test_digest_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
 
 
+BASE_WORDS = ["cc", "by", "general", "public", "license", "all", "rights", "reserved", "x", "mit", "the", "é"]
+
+
+@given(st.lists(st.sampled_from(BASE_WORDS), max_size=40), st.lists(st.sampled_from([" ", "-", ". ", "\n"]), min_size=41, max_size=41))
+@settings(max_examples=200, deadline=None)
+def test_license_base_places(words_, gaps):
+    """Base places against a plain search, and every found template has its phrases near its start."""
+    text = "".join(w.upper() + g if i % 3 else w + g for i, (w, g) in enumerate(zip(words_, gaps, strict=False)))
+    index = licenses.build_index()
+    index.weigh(np.arange(len(index.vocabulary)) % 7, 50)
+    row = next(licenses._scan(index)(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["doc_id", "text"])]))).to_pylist()[0]
+    own = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    places = sorted((i, label) for phrase, label in licenses.BASE for i in range(len(own)) if own[i : i + len(phrase.split())] == phrase.split())
+    assert row["n_words"] == len(own) and row["n_base"] == len(places)
+    assert (row["first_word"], row["last_word"]) == ((places[0][0], places[-1][0]) if places else (None, None))
+    assert row["base_labels"] == ",".join(sorted({label for _, label in places}))
+    assert set(row["base_labels"].split(",")) <= set(row["labels"].split(",")) or not places
+
+
+@pytest.mark.parametrize("t", range(len(licenses.TEMPLATES)))
+@pytest.mark.parametrize("df", ["rare", "everywhere"])
+def test_every_license_template_is_found(t, df):
+    """A whole notice amid other words gets its label, however frequent its words are."""
+    label, text, _ = licenses.TEMPLATES[t]
+    index = licenses.build_index()
+    index.weigh(np.full(len(index.vocabulary), 1.0 if df == "rare" else 1000.0), 1000)
+    number = {w: i for i, w in enumerate(index.vocabulary)}
+    ids = np.array([-1] * 30 + [number[w] for w in text.split()] + [number["of"], number["the"]] * 20)
+    labels, score, spans = licenses.match(index, ids)
+    assert label in labels and score >= 0.99 and (label, 30) in {s[:2] for s in spans}
+    lookups = licenses.candidates(index, ids)
+    assert any(lo <= 30 <= hi for lo, hi in lookups[t])
+
+
 def test_license_label_needs_no_word_that_other_files_lack():
     index = licenses.build_index()
     notice = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software."
