@@ -1,7 +1,8 @@
-"""Lossless WebP media columns: a decoder for whole VP8L streams, and a writer whose plain streams decode by numpy."""
+"""Lossless WebP media columns: a decoder for whole VP8L streams, pixel arrays, and texts as images."""
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 import zlib
@@ -13,27 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_batches, table, utf8
+from .webp_format import ALPHABETS, LENGTH_ORDER, NEAR, SIDE, channels as _channels
+from .webp_writer import encode_samples
 
-#: Fixed values of the format: alphabet sizes, the order of code-length codes, distance map, predictor count.
-ALPHABETS = (256 + 24, 256, 256, 256, 40)
-LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
-SIDE = 16384
 UNIT = 64
 
 
-#: Fixed values of the format: (x, y) of the distance codes 1 to 120, where x counts to the left and y up.
-NEAR = (
-    (0, 1), (1, 0), (1, 1), (-1, 1), (0, 2), (2, 0), (1, 2), (-1, 2), (2, 1), (-2, 1), (2, 2), (-2, 2), (0, 3), (3, 0), (1, 3),
-    (-1, 3), (3, 1), (-3, 1), (2, 3), (-2, 3), (3, 2), (-3, 2), (0, 4), (4, 0), (1, 4), (-1, 4), (4, 1), (-4, 1), (3, 3), (-3, 3),
-    (2, 4), (-2, 4), (4, 2), (-4, 2), (0, 5), (3, 4), (-3, 4), (4, 3), (-4, 3), (5, 0), (1, 5), (-1, 5), (5, 1), (-5, 1), (2, 5),
-    (-2, 5), (5, 2), (-5, 2), (4, 4), (-4, 4), (3, 5), (-3, 5), (5, 3), (-5, 3), (0, 6), (6, 0), (1, 6), (-1, 6), (6, 1), (-6, 1),
-    (2, 6), (-2, 6), (6, 2), (-6, 2), (4, 5), (-4, 5), (5, 4), (-5, 4), (3, 6), (-3, 6), (6, 3), (-6, 3), (0, 7), (7, 0), (1, 7),
-    (-1, 7), (5, 5), (-5, 5), (7, 1), (-7, 1), (4, 6), (-4, 6), (6, 4), (-6, 4), (2, 7), (-2, 7), (7, 2), (-7, 2), (3, 7), (-3, 7),
-    (7, 3), (-7, 3), (5, 6), (-5, 6), (6, 5), (-6, 5), (8, 0), (4, 7), (-4, 7), (7, 4), (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6),
-    (8, 3), (5, 7), (-5, 7), (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
-)
-
-
 class Bits:
     """Least significant bit first, over bytes."""
 
@@ -58,6 +44,15 @@ class Bits:
         return self.at * 8 - self.held
 
 
+@functools.cache
+def _reversed(n: int) -> np.ndarray:
+    """For each number of n bits the number of its bits reversed."""
+    out = np.zeros(1 << n, np.int32)
+    for k in range(n):
+        out |= ((np.arange(1 << n, dtype=np.int32) >> k) & 1) << (n - 1 - k)
+    return out
+
+
 class Code:
     """A canonical prefix code: lengths to a table from peeked bits to (symbol, length)."""
 
@@ -65,17 +60,12 @@ class Code:
         used = [(n, s) for s, n in enumerate(lengths) if n]
         self.lengths = lengths
         self.only = used[0][1] if len(used) == 1 else (0 if not used else None)
-        self.flat: int | None = None
         self.symbols: list[int] = [s for _, s in sorted(used)]
         if self.only is not None:
-            self.flat = 0
-            self.symbols = [self.only]
             return
         if sum(1 << (15 - n) for n, _ in used) != 1 << 15:
             raise ValueError("prefix code isn't complete")
         self.most = max(n for n, _ in used)
-        if min(n for n, _ in used) == self.most:
-            self.flat = self.most
         self._table: list[tuple[int, int]] | None = None
 
     def table(self) -> list[tuple[int, int]]:
@@ -91,6 +81,15 @@ class Code:
                 code += 1
         return self._table
 
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, int]:
+        """Symbol and length by the next bits, and the mask that takes those."""
+        if self.only is not None:
+            return np.array([self.only], np.int32), np.zeros(1, np.int32), 0
+        sizes = np.array([self.lengths[s] for s in self.symbols], np.int32)
+        each = 1 << (self.most - sizes)
+        back = _reversed(self.most)
+        return np.repeat(np.array(self.symbols, np.int32), each)[back], np.repeat(sizes, each)[back], (1 << self.most) - 1
+
     def read(self, bits: Bits) -> int:
         if self.only is not None:
             return self.only
@@ -152,36 +151,99 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         n_groups = int(groups_of.max()) + 1
     groups = [[_read_code(bits, a + ((1 << cache_bits) if not k and cache_bits else 0)) for k, a in enumerate(ALPHABETS)] for _ in range(n_groups)]
     n = width * height
-    if groups_of is None and not cache_bits and all(c.flat is not None for c in groups[0][:4]) and max(groups[0][0].symbols) < 256:
-        return _flat_pixels(bits, groups[0], n)
+    if groups_of is None and not cache_bits and n >= 64 and groups[0][0].only is None:
+        return _parsed_pixels(bits, groups[0], width, n)
     return _pixels(bits, groups, groups_of, prefix_bits, cache_bits, width, n)
 
 
-def _flat_pixels(bits: Bits, group: list[Code], n: int) -> np.ndarray:
-    """Literals alone, each channel's codes of one length: all pixels have as many bits, so numpy reads them."""
-    sizes = [c.flat or 0 for c in group[:4]]
-    each, start = sum(sizes), bits.position()
-    argb = np.zeros(n, np.uint32)
-    raw = np.frombuffer(bits.data, np.uint8, offset=min(start // 8, len(bits.data)))[: (each * n + start % 8 + 7) // 8]
-    if each * n + start % 8 > 8 * len(raw):
-        raise ValueError("pixels are cut short")
-    if each:
-        # a pixel's bits as a 64-bit window, read at its byte
-        at = start % 8 + each * np.arange(n, dtype=np.int64)
-        padded = np.concatenate([raw, np.zeros(8, np.uint8)])
-        words = np.ndarray((len(raw) + 1,), "<u8", padded.tobytes(), strides=(1,))[at >> 3] >> (at & 7).astype(np.uint64)
-    shift = 0
-    for size, place, code in zip(sizes, (8, 16, 0, 24), group, strict=False):
-        symbols = np.zeros(1 << size, np.uint32)
-        for k, s in enumerate(code.symbols):
-            symbols[int(f"{k:0{size}b}"[::-1], 2) if size else 0] = s
-        own = symbols[((words >> np.uint64(shift)) & np.uint64((1 << size) - 1)).astype(np.int64)] if size else symbols[np.zeros(n, np.int64)]
-        argb |= own << np.uint32(place)
-        shift += size
-    bits.data, bits.at, bits.value, bits.held = bits.data, (start + each * n) // 8, 0, 0
-    if (start + each * n) % 8:
-        bits.read((start + each * n) % 8)
-    return argb
+#: Bytes of a stream that are parsed at a time, and those behind them that a token may reach into.
+PARSED, REACH = 1 << 17, 16
+_STEP = np.arange(8, dtype=np.uint32)
+_EXTRA = np.maximum(0, (np.arange(40) - 2) >> 1).astype(np.int32)
+_FROM = np.where(np.arange(40) < 4, np.arange(40), (2 + (np.arange(40) & 1)) << _EXTRA).astype(np.int32) + 1
+
+
+def _parsed_pixels(bits: Bits, group: list[Code], width: int, n: int) -> np.ndarray:
+    """Pixels of one group of codes: what token would begin at each bit is looked up for all bits at once, then the
+    tokens are those that follow one another from the first bit, and references are copied in turn."""
+    tables = [c.arrays() for c in group]
+    plain = [c.only for c in group[1:4]]
+    fixed = None if None in plain else np.uint32(plain[2] << 24 | plain[0] << 16 | plain[1])
+    out = np.empty(n, np.uint32)
+    near = np.array([max(1, x + y * width) for x, y in NEAR])
+    done, at = 0, bits.position()
+    while done < n:
+        base = at >> 3
+        raw = bits.data[base : base + PARSED + REACH]
+        size = min(PARSED, len(raw))
+        if not size:
+            raise ValueError("pixels are cut short")
+        words = np.ndarray((size + REACH,), "<u4", raw + bytes(size + REACH + 4 - len(raw)), strides=(1,))
+        peek = (words[:, None] >> _STEP).reshape(-1)
+        limit = 8 * size
+        symbols, sizes, mask = tables[0]
+        own = peek[:limit] & np.uint32(mask)
+        green = symbols[own]
+        follow = np.arange(limit, dtype=np.int32) + sizes[own]
+        refs = np.flatnonzero((green >= 256) & (green < 280))
+        if fixed is None:
+            place, colour = follow.copy(), green.astype(np.uint32) << np.uint32(8)
+            for (symbols, sizes, mask), shift in zip(tables[1:4], (16, 0, 24), strict=True):
+                own = peek[place] & np.uint32(mask)
+                colour |= symbols[own].astype(np.uint32) << np.uint32(shift)
+                place += sizes[own]
+            place[refs] = follow[refs]
+            follow = place
+        lengths, distances = np.ones(limit, np.int32), np.zeros(limit, np.int32)
+        if len(refs):
+            symbols, sizes, mask = tables[4]
+            kind, place = green[refs] - 256, follow[refs]
+            lengths[refs] = _FROM[kind] + (peek[place] & ((np.uint32(1) << _EXTRA[kind].astype(np.uint32)) - np.uint32(1))).astype(np.int32)
+            place += _EXTRA[kind]
+            own = peek[place] & np.uint32(mask)
+            kind = symbols[own]
+            place += sizes[own]
+            distances[refs] = _FROM[kind] + (peek[place] & ((np.uint32(1) << _EXTRA[kind].astype(np.uint32)) - np.uint32(1))).astype(np.int32)
+            follow[refs] = place + _EXTRA[kind]
+        # tokens follow one another: eight steps at a time, then those between
+        hops = [np.append(np.minimum(follow, limit), np.int32(limit))]
+        for _ in range(3):
+            hops.append(hops[-1][hops[-1]])
+        chain, p, far, left = [], at & 7, hops[3], n - done
+        while p < limit and 8 * len(chain) < left:  # a token is a pixel at least
+            chain.append(p)
+            p = int(far[p])
+        where = np.array(chain, np.int64)[None, :]
+        for hop in (hops[2], hops[1], hops[0]):
+            where = np.stack([where, hop[where]], -1).reshape(1, -1)
+        where = where[0]
+        where = where[where < limit]
+        many = lengths[where]
+        ends = np.cumsum(many)
+        used = int(np.searchsorted(ends, left)) + 1
+        where, many, ends = where[:used], many[:used], ends[:used]
+        p = int(follow[where[-1]])
+        if base * 8 + p > 8 * len(bits.data):
+            raise ValueError("pixels are cut short")
+        starts = done + ends - many
+        distance = distances[where]
+        literal = distance == 0
+        out[starts[literal]] = (green[where[literal]].astype(np.uint32) << np.uint32(8) | fixed) if fixed is not None else colour[where[literal]]
+        codes = distance[~literal]
+        codes = np.where(codes > 120, codes - 120, near[np.minimum(codes, 120) - 1])
+        for to, d, k in zip(starts[~literal].tolist(), codes.tolist(), many[~literal].tolist(), strict=True):
+            if d > to or to + k > n:
+                raise ValueError("back-reference leaves the image")
+            if d >= k:
+                out[to : to + k] = out[to - d : to - d + k]
+            else:
+                out[to : to + k] = np.resize(out[to - d : to], k)
+        done += int(ends[-1])
+        at = base * 8 + p
+    bits.at, bits.value, bits.held = at >> 3, 0, 0
+    if at & 7:
+        bits.read(at & 7)
+    return out
 
 
 def _pixels(bits: Bits, groups: list[list[Code]], groups_of: np.ndarray | None, prefix_bits: int, cache_bits: int, width: int, n: int) -> np.ndarray:
@@ -219,10 +281,6 @@ def _pixels(bits: Bits, groups: list[list[Code]], groups_of: np.ndarray | None,
     return np.array(out, np.uint32)
 
 
-def _channels(argb: np.ndarray) -> np.ndarray:
-    return argb.view(np.uint8).reshape(*argb.shape, 4)  # blue, green, red, alpha
-
-
 def _average(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a + b) >> 1
 
@@ -247,6 +305,11 @@ def _predict(mode: int, left: np.ndarray, up: np.ndarray, up_right: np.ndarray,
 def _predictor(argb: np.ndarray, modes: np.ndarray, block: int, add: int) -> np.ndarray:
     """Adds (add 1: decodes) or takes off (-1: encodes) the predictions."""
     height, width = argb.shape
+    if add == 1 and (modes == 1).all():  # from the left everywhere: running sums
+        pixels = _channels(argb.copy())
+        pixels[0, 0, 3] += 255
+        pixels[:, 0] = np.cumsum(pixels[:, 0], axis=0, dtype=np.uint8)
+        return np.ascontiguousarray(np.cumsum(pixels, axis=1, dtype=np.uint8)).view(np.uint32)[..., 0]
     pixels = _channels(argb.copy()).astype(np.int64)
     known = pixels if add == 1 else pixels.copy()
     result = pixels if add == 1 else pixels.copy()
@@ -316,6 +379,8 @@ def decode(data: bytes) -> np.ndarray:
             w, h = (coded + (1 << block) - 1) >> block, (height + (1 << block) - 1) >> block
             undo.append((kind, block, _read_image(bits, w, h, False).reshape(h, w), coded))
     argb = _read_image(bits, coded, height, True).reshape(height, coded)
+    if bits.position() > 8 * len(bits.data):
+        raise ValueError("pixels are cut short")
     for kind, block, more, wide in reversed(undo):
         if kind == 0:
             argb = _predictor(argb, (more >> np.uint32(8)) & np.uint32(255), block, 1)
@@ -337,177 +402,18 @@ def decode(data: bytes) -> np.ndarray:
     return argb
 
 
-class Writer:
-    """Collects bits, least significant first."""
-
-    def __init__(self) -> None:
-        self.value, self.n, self.done = 0, 0, []
-
-    def put(self, value: int, n: int) -> None:
-        self.value |= value << self.n
-        self.n += n
-
-    def array(self, values: np.ndarray, size: int) -> None:
-        """Many values of one size."""
-        places = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :size].reshape(-1)
-        own = np.packbits(places, bitorder="little").tobytes()
-        self.value |= int.from_bytes(own, "little") << self.n
-        self.n += len(places)
-
-    def bytes(self) -> bytes:
-        return self.value.to_bytes((self.n + 7) // 8, "little")
-
-
-def _put_code(out: Writer, lengths: list[int]) -> dict[int, tuple[int, int]]:
-    """Writes a code's lengths; returns symbol -> (bits, number)."""
-    used = [s for s, n in enumerate(lengths) if n]
-    if len(used) <= 1 and (not used or used[0] < 256):
-        symbol = used[0] if used else 0
-        out.put(1, 1)
-        out.put(0, 1)
-        out.put(int(symbol > 1), 1)
-        out.put(symbol, 8 if symbol > 1 else 1)
-        return {symbol: (0, 0)}
-    runs: list[tuple[int, int, int]] = []  # symbol, extra, its bits
-    at, last = 0, max(used) + 1
-    while at < last:
-        n = 1
-        while at + n < last and lengths[at + n] == lengths[at]:
-            n += 1
-        left, value = n, lengths[at]
-        if value:
-            runs.append((value, 0, 0))
-            left -= 1
-        while left:
-            if value and left >= 3:
-                k = min(6, left)
-                runs.append((16, k - 3, 2))
-            elif not value and left >= 11:
-                k = min(138, left)
-                runs.append((18, k - 11, 7))
-            elif not value and left >= 3:
-                k = min(10, left)
-                runs.append((17, k - 3, 3))
-            else:
-                k = 1
-                runs.append((value, 0, 0))
-            left -= k
-        at += n
-    kinds = sorted({r[0] for r in runs})
-    size = max(1, (len(kinds) - 1).bit_length())
-    short = (1 << size) - len(kinds)  # so many codes are one bit shorter
-    own = [0] * 19
-    for k, s in enumerate(kinds):
-        own[s] = size - 1 if k < short and size > 1 else size
-    if len(kinds) == 1:  # a second, unused symbol makes the code complete
-        own[next(s for s in range(19) if s != kinds[0])] = 1
-    out.put(0, 1)
-    many = max(k for k, s in enumerate(LENGTH_ORDER) if own[s]) + 1
-    out.put(max(4, many) - 4, 4)
-    for k in range(max(4, many)):
-        out.put(own[LENGTH_ORDER[k]], 3)
-    out.put(1, 1)
-    count = len(runs) - 2  # two symbols or more make two runs or more
-    pairs = max(0, (count.bit_length() - 1) // 2)
-    out.put(pairs, 3)
-    out.put(count, 2 + 2 * pairs)
-    codes = canonical(own)
-    for s, extra, n in runs:
-        out.put(*codes[s])
-        out.put(extra, n)
-    return canonical(lengths)
-
-
-def canonical(lengths: list[int]) -> dict[int, tuple[int, int]]:
-    used = sorted((n, s) for s, n in enumerate(lengths) if n)
-    found, code, before = {}, 0, 0
-    for n, s in used:
-        code <<= n - before
-        before = n
-        found[s] = (int(f"{code:0{n}b}"[::-1], 2), n)
-        code += 1
-    return found
-
-
-def flat_lengths(symbols: np.ndarray, alphabet: int) -> list[int]:
-    """Equal lengths for the symbols, and for the lowest others up to a power of two."""
-    lengths = [0] * alphabet
-    if len(symbols) == 1:
-        lengths[int(symbols[0])] = 1
-        return lengths
-    size = (len(symbols) - 1).bit_length()
-    for s in symbols.tolist():
-        lengths[s] = size
-    spare, s = (1 << size) - len(symbols), 0
-    while spare:
-        if not lengths[s]:
-            lengths[s] = size
-            spare -= 1
-        s += 1
-    return lengths
-
-
-def wrap(stream: bytes) -> bytes:
-    pad = b"\0" * (len(stream) & 1)
-    return b"RIFF" + struct.pack("<I", 12 + len(stream) + len(pad)) + b"WEBPVP8L" + struct.pack("<I", len(stream)) + stream + pad
-
-
-def header(out: Writer, width: int, height: int) -> None:
-    out.put(0x2F, 8)
-    out.put(width - 1, 14)
-    out.put(height - 1, 14)
-    out.put(1, 1)
-    out.put(0, 3)
-
-
-def encode(argb: np.ndarray) -> bytes:
-    """A lossless WebP file of height x width pixels, by literals with codes of one length in each channel."""
-    height, width = argb.shape
-    if not 0 < width <= SIDE or not 0 < height <= SIDE:
-        raise ValueError("image sides are 1 to 16384")
-    out = Writer()
-    header(out, width, height)
-    out.put(0, 1)  # no transform
-    put_image(out, argb.reshape(-1), True)
-    return wrap(out.bytes())
-
-
-def put_image(out: Writer, argb: np.ndarray, main: bool) -> None:
-    out.put(0, 1)  # no colour cache
-    if main:
-        out.put(0, 1)  # one group of codes
-    channels = _channels(np.ascontiguousarray(argb))
-    values, shift = np.zeros(len(argb), np.uint64), 0
-    for place, alphabet in ((1, 280), (2, 256), (0, 256), (3, 256)):
-        own = channels[:, place]
-        codes = _put_code(out, flat_lengths(np.flatnonzero(np.bincount(own, minlength=256)), alphabet))
-        lookup = np.zeros(256, np.uint64)
-        size = 0
-        for s, (code, n) in codes.items():
-            if s < 256:
-                lookup[s], size = code, n
-        values |= lookup[own] << np.uint64(shift)
-        shift += size
-    _put_code(out, [0] * 40)
-    if shift:
-        out.array(values, shift)
-
-
-def payload_image(payload: bytes) -> np.ndarray:
-    """The payload (a multiple of 64 bytes) as rows of pixels of four bytes; more than 1 MB takes wider rows, the last filled with 0."""
+def payload_image(payload: bytes) -> tuple[bytes, int]:
+    """The payload (a multiple of 64 bytes) as 8-bit samples, and their row's width: 64, or more beyond 1 MB, the last row filled with 0."""
     rows = len(payload) // UNIT
     wide = -(-rows // SIDE)
-    height = -(-rows // wide)
-    payload += b"\0" * (height * wide * UNIT - len(payload))
-    return np.frombuffer(payload, "<u4").astype(np.uint32).reshape(height, wide * UNIT // 4)
+    return payload + bytes(-(-rows // wide) * wide * UNIT - len(payload)), wide * UNIT
 
 
-def features(payload: bytes) -> str:
-    """Mean of each channel and the 16-cell mean pattern of the samples, as text."""
-    samples = np.frombuffer(payload, np.uint8)
-    means = samples.reshape(-1, 4).mean(0)
-    cells = np.add.reduceat(samples.astype(np.float64), np.arange(16) * len(samples) // 16) / (len(samples) / 16)
-    return ",".join(f"{m:.3f}" for m in means) + ":" + "".join("1" if c > samples.mean() else "0" for c in cells)
+def features(payload: np.ndarray) -> str:
+    """Mean of each fourth sample and the 16-cell mean pattern of the samples, as text."""
+    means = payload.reshape(-1, 4).mean(0)
+    cells = np.add.reduceat(payload, np.arange(16) * len(payload) // 16, dtype=np.float64) / (len(payload) / 16)
+    return ",".join(f"{m:.3f}" for m in means) + ":" + "".join("1" if c > m else "0" for m in (means.mean(),) for c in cells)
 
 
 SCHEMA = "doc_id bigint, n_bytes bigint, media binary"
@@ -516,51 +422,80 @@ SCHEMA = "doc_id bigint, n_bytes bigint, media binary"
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, at = utf8(batch.column(1))
-        raw, media = data.tobytes(), []
+        raw, media, known = data.tobytes(), [], {}
         for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             text = raw[i:j]
-            media.append(encode(payload_image(text + b"\0" * ((-len(text)) % UNIT if text else UNIT))))
+            if text not in known:  # copies in a batch are coded once
+                known[text] = encode_samples(*payload_image(text + bytes((-len(text)) % UNIT if text else UNIT)))
+            media.append(known[text])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
 
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, n_bytes, media): each text's UTF-8 bytes, filled with 0 to a positive multiple of 64, as a lossless WebP file.
+    """Rows (doc_id, n_bytes, media): each text's UTF-8 bytes, filled with 0 to a positive multiple of 64, as a lossless grey WebP image.
 
-    Null texts count as empty; repeated rows give a row each; an empty table gives none; texts may have up to 1 GB."""
+    Null texts count as empty; repeated rows give a row each; an empty table gives none; texts may have up to 256 MB."""
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_store, SCHEMA)
 
 
-def pixels(media: DataFrame) -> DataFrame:
-    """Rows (doc_id, width, height, argb array<bigint>) of a media column; a null or broken file fails the job, not a row's value."""
+def pixels(media: DataFrame, media_col: str = "media") -> DataFrame:
+    """media without its files, with width, height, argb (row by row, 32 bits each) and error.
+
+    A null file gives nulls, a file that can't be decoded nulls and the reason in error; repeated rows give a row each;
+    an empty table gives none; columns with the new names are replaced."""
+    kept = media.drop("width", "height", "argb", "error")
+    place = kept.columns.index(media_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            images = [decode(m) for m in batch.column("media").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.shape[1] for x in images], pa.int32()), pa.array([x.shape[0] for x in images], pa.int32()), pa.array([x.reshape(-1).astype(np.int64) for x in images], pa.list_(pa.int64()))], ["doc_id", "width", "height", "argb"])
-
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id bigint, width int, height int, argb array<bigint>")
+            shapes, values, errors = [], [], []
+            for own in batch.column(place).to_pylist():
+                image, why = None, None
+                if own is not None:
+                    try:
+                        image = decode(own)
+                    except (ValueError, IndexError, OverflowError, struct.error) as error:
+                        why = str(error) or type(error).__name__
+                shapes.append((None, None) if image is None else image.shape)
+                values.append(image)
+                errors.append(why)
+            sizes = np.array([0 if v is None else v.size for v in values])
+            flat = np.concatenate([np.zeros(0, np.uint32), *(v.reshape(-1) for v in values if v is not None)]).view(np.int32)
+            argb = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat), mask=pa.array([v is None for v in values]))
+            rest = [k for k in range(batch.num_columns) if k != place]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k) for k in rest), pa.array([s[1] for s in shapes], pa.int32()), pa.array([s[0] for s in shapes], pa.int32()), argb, pa.array(errors, pa.string())],
+                [*(batch.schema.names[k] for k in rest), "width", "height", "argb", "error"],
+            )
+
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != media_col)
+    return kept.mapInArrow(run, f"{kind}, width int, height int, argb array<int>, error string")
 
 
 READ = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for doc, n, media in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True):
-            size = max(UNIT, -(-n // UNIT) * UNIT)
-            payload = decode(media).astype("<u4").tobytes()[:size]
-            rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), features(payload)))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)], [x.split()[0] for x in READ.split(", ")])
+        column = batch.column(batch.schema.get_field_index("argb"))
+        samples = column.values.to_numpy().astype(np.uint8)  # blue, which is every channel of a grey pixel
+        rows, at = [], column.offsets.to_numpy()
+        for k, n in enumerate(batch.column(1).to_pylist()):
+            payload = samples[at[k] : at[k] + max(UNIT, -(-n // UNIT) * UNIT)]
+            raw = payload.tobytes()
+            rows.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-UNIT:]), features(payload)))
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string()]
+        size, sha, crc, feature = (pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 4, kinds, strict=True))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), size, sha, crc, batch.column(2), batch.column(3), feature], [x.split()[0] for x in READ.split(", ")])
 
 
 def read_back(media: DataFrame) -> DataFrame:
-    """Decodes each media file and gives the payload's digests and features."""
-    return media.mapInArrow(_read, READ)
+    """Decodes each file that to_media() made to its pixel array, and gives the payload's digests and features."""
+    sized = media.select("doc_id", "n_bytes", F.octet_length("media").cast("bigint").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+    return pixels(sized).select("doc_id", "n_bytes", "media_bytes", "media_sha256", "argb").mapInArrow(_digests, READ)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op4: all documents, written as media and read back."""
+    """op4: all documents, written as media, decoded to pixel arrays and read back."""
     small_batches(spark)
     return read_back(to_media(table(spark, sf_dir, "documents")))
