@@ -1,8 +1,12 @@
-"""Personal data: exact patterns, and a linear-chain conditional random field over word shapes that adds spans."""
+"""Personal data: exact patterns, and a linear-chain conditional random field over word shapes that adds spans.
+
+The field is decoded over whole texts. Most tokens can't have another label than none, whatever labels stand around them;
+chains are cut at those, which leaves the best path as it is, and what remains is decoded by Viterbi in batches."""
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -13,7 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remembered, small_batches, table, utf8
+from .common import remembered, small_batches, table
+from .pii_examples import SENTENCES, TIMES
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", "email", "ip", "card", "phone", "secret", "ssn")
@@ -25,8 +30,9 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TOKEN = re.compile(r"\S+")
-_CUE = re.compile(r"[0-9@]")
+_DIGIT_OR_AT = re.compile("[0-9@]")  # without these there is no base span
+#: Tokens: runs without white space, cut around the marks that join names and values.
+_TOKEN = re.compile(r'[^\s=:;,{}"]+|[=:;,{}"]+')
 
 
 def luhn(digits: str) -> bool:
@@ -66,30 +72,38 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _shape(token: str) -> str:
-    out = []
-    for c in token[:64]:
-        k = "d" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c
-        if not out or out[-1] != k:
-            out.append(k)
-    return "".join(out[:12])
-
-
-CUES = frozenset("token key secret password passwd api phone call tel mobile fax card visa ssn social ip host address mail email contact".split())
-
-
-def word_features(token: str) -> list[str]:
-    """Shape, size and cue-word features of one token."""
-    digits = sum(c.isdigit() for c in token[:64])
-    bare = token.strip("\"'.,;:()[]{}=!?").lower()
-    out = [f"shape={_shape(token)}", f"digits={next(k for k, m in enumerate((0, 1, 2, 3, 4, 6, 8, 9, 12, 15, 16, 19, 1 << 30)) if digits <= m)}", f"size={min(len(bare).bit_length(), 7)}", f"first={_shape(token[:1])}", f"last={_shape(token[-1:])}"]
-    if len(bare) >= 20 and digits and re.fullmatch("[0-9a-f]+", bare):
-        out.append("hex")
-    if re.fullmatch(r"\d{3}-\d{2}-\d{4}", bare):
-        out.append("3-2-4")
-    if bare in CUES:
-        out.append(f"cue={bare}")
-    return out
+CUES = frozenset("token key secret password passwd pwd api_key apikey api phone call tel mobile fax card visa ssn social ip host address mail email contact login".split())
+_EDGES = "'.()[]!?*#$%&<>"
+
+
+def _class(c: str) -> str:
+    return "d" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c
+
+
+def _bucket(n: int) -> int:
+    return n if n < 5 else 3 + n.bit_length()
+
+
+def word_features(token: str) -> tuple[str, ...]:
+    """Shape, size and cue-word features of one token, all of it."""
+    bare = token.strip(_EDGES)
+    size = f"size={min(len(bare).bit_length(), 8)}"
+    low = bare.lower()
+    cue = (f"cue={low}",) if low in CUES else ()
+    if bare.isalpha():
+        case = "x" if bare.islower() else "X" if bare.isupper() else "Xx" if bare[1:].islower() else "mixed"
+        return ("letters", f"shape={case}", size, *cue)
+    runs = [(k, sum(1 for _ in own)) for k, own in itertools.groupby(map(_class, bare))]
+    kinds = "".join(sorted({k for k, _ in runs if k in "dxX"}))
+    if len(runs) <= 8:
+        shape = "".join(f"{k}{min(n, 5)}" if k == "d" else k for k, n in runs)
+    else:
+        shape = "long-" + "".join(sorted({k for k, _ in runs}))
+    digits = sum(n for k, n in runs if k == "d")
+    out = [f"shape={shape}", size, f"kinds={kinds}", f"digits={_bucket(digits)}", f"runs={_bucket(len(runs))}"]
+    if not kinds:
+        out.append(f"mark={bare or token}")
+    return (*out, f"first={runs[0][0]}" if runs else "first=", f"last={runs[-1][0]}" if runs else "last=", *cue)
 
 
 @dataclass
@@ -103,52 +117,64 @@ class Field:
 
 
 def labelled_table(seed: int = 11) -> list[list[tuple[str, str]]]:
-    """The training sentences: (token, label) pairs, by templates with values drawn from a fixed seed."""
+    """The training sentences as (token, label) pairs; the digits of their values, and the letters of secrets, are drawn anew."""
     rng = np.random.default_rng(seed)
-    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
-    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10)))
-
-    def words(n: int) -> list[tuple[str, str]]:
-        own = [word() for _ in range(n)]
-        return [(w.capitalize() if rng.random() < 0.15 else w + str(rng.choice(["", "", "", ",", "."])), "none") for w in own]
-
-    def value() -> list[tuple[str, str]]:
-        end = str(rng.choice(["", "", ".", ","]))
-        kind = int(rng.integers(0, 12))
-        if kind == 0:
-            return [(f"{word()}.{word()}@{word()}.com{end}", "email")]
-        if kind == 1:
-            return [(f"{rng.integers(1, 256)}.{rng.integers(256)}.{rng.integers(256)}.{rng.integers(256)}{end}", "ip")]
-        if kind == 2:
-            own = digits(16)
-            return [(own + end, "card")] if rng.random() < 0.5 else [(own[k : k + 4] + (end if k == 12 else ""), "card") for k in range(0, 16, 4)]
-        if kind == 3:
-            return [(f"+{rng.integers(1, 99)}", "phone"), (f"({digits(3)})", "phone"), (f"{digits(3)}-{digits(4)}{end}", "phone")]
-        if kind == 4:
-            return [(str(rng.choice(["phone", "call", "tel"])), "none"), (f"{digits(3)}-{digits(3)}-{digits(4)}{end}", "phone")]
-        if kind in (5, 6):
-            own = "".join(rng.choice(list("0123456789abcdef"), int(rng.choice([32, 40, 64]))))
-            cue = str(rng.choice(["token", "key", "secret", "password"]))
-            return [(cue, "none"), ("=", "none"), (f'"{own}"{end}', "secret")] if rng.random() < 0.7 else [(f"{cue}:", "none"), (own + end, "secret")]
-        if kind == 7:
-            return [(f"{digits(3)}-{digits(2)}-{digits(4)}{end}", "ssn")]
-        if kind == 8:  # numbers that are nobody's
-            return [(str(rng.integers(1, 5000)) + end, "none"), *words(1)]
-        if kind == 9:
-            return [(f"{rng.integers(1900, 2100)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}{end}", "none")]
-        if kind == 10:
-            return [(f"{rng.integers(0, 10)}.{rng.integers(0, 100)}{end}", "none"), (f"{word()}@", "none")]
-        return [("version", "none"), (f"{rng.integers(0, 10)}.{rng.integers(0, 10)}.{rng.integers(0, 10)}{end}", "none")]
-
-    return [words(int(rng.integers(1, 4))) + value() + words(int(rng.integers(1, 4))) for _ in range(600)]
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+    def drawn(value: str, kind: str) -> str:
+        letters = {c for c in value.lower() if c.isalpha()}
+        small = "abcdef" if letters <= set("abcdef") and any(c.isdigit() for c in value) else lower
+        out = []
+        for c in value:
+            if c.isdigit() and kind != "ip":
+                c = str(rng.integers(0, 10))
+            elif kind == "secret" and c.isalpha():
+                c = str(rng.choice(list(upper if c.isupper() else small)))
+                if small == "abcdef" and rng.random() < 0.3:
+                    c = str(rng.integers(0, 10))
+            elif kind == "secret" and c.isdigit() and small == "abcdef" and rng.random() < 0.3:
+                c = str(rng.choice(list(small)))
+            out.append(c)
+        return "".join(out)
+
+    table_ = []
+    for n in range(TIMES):
+        for line in SENTENCES.strip().splitlines():
+            own: list[tuple[str, str]] = []
+            at = 0
+            for m in re.finditer(r"\[(\w+) (.+?)\](?![^\[]*\]\S)", line):
+                own += [(t, "none") for t in _TOKEN.findall(line[at : m.start()])]
+                own += [(t, m[1]) for t in _TOKEN.findall(drawn(m[2], m[1]) if n else m[2])]
+                at = m.end()
+            own += [(t, "none") for t in _TOKEN.findall(line[at:])]
+            table_.append(own)
+    return table_
+
+
+def is_mark(token: str) -> bool:
+    """Whether the token joins a name to its value."""
+    return token[0] in '=:;,{}"'
+
+
+def _cue_of(features: tuple[str, ...]) -> list[str]:
+    """What a cue word tells of the token behind the marks that follow it."""
+    return [f"<<{f}" for f in features if f.startswith("cue=")] + ["<<cue"] * any(f.startswith("cue=") for f in features)
 
 
 def _chain_features(tokens: list[str]) -> list[list[str]]:
+    """A token's own features, those of its neighbours, and a cue word before the one or two marks in front of it."""
     own = [word_features(t) for t in tokens]
-    return [own[i] + [f"<{f}" for f in (own[i - 1] if i else ["edge"])] + [f">{f}" for f in (own[i + 1] if i + 1 < len(own) else ["edge"])] for i in range(len(own))]
+    out = []
+    for i in range(len(own)):
+        found = [*own[i], *(f"<{f}" for f in (own[i - 1] if i else ["edge"])), *(f">{f}" for f in (own[i + 1] if i + 1 < len(own) else ["edge"]))]
+        if i > 1 and is_mark(tokens[i - 1]):
+            j = i - 2 if not is_mark(tokens[i - 2]) else i - 3
+            found += _cue_of(own[j]) if j >= 0 else []
+        out.append(found)
+    return out
 
 
-def fit(sentences: list[list[tuple[str, str]]], steps: int = 120, decay: float = 1e-3) -> Field:
+def fit(sentences: list[list[tuple[str, str]]], steps: int = 200, decay: float = 3e-4) -> Field:
     """Maximum likelihood by forward-backward over padded batches, Adam steps."""
     chains = [_chain_features([t for t, _ in s]) for s in sentences]
     names = sorted({f for c in chains for own in c for f in own})
@@ -194,131 +220,169 @@ def fit(sentences: list[list[tuple[str, str]]], steps: int = 120, decay: float =
 
 
 class Tagger:
-    """Viterbi decoding of chains, in numpy over batches of chains of one length; a token's scores are remembered."""
-
-    def __init__(self, field: Field, most: int = 100_000) -> None:
-        self.field, self.most, self.memo = field, most, {}
-        k = len(LABELS)
-        self.edges = [self._sum(["<edge"]), self._sum([">edge"])] if k else []
-
-    def _sum(self, names: list[str]) -> np.ndarray:
+    """Decodes texts; a token's scores are remembered, tokens of equal features share theirs. Bounded memory."""
+
+    def __init__(self, field: Field, most: int = 250_000) -> None:
+        self.field, self.most = field, most
+        self.edges = [self._sum(["<edge"]), self._sum([">edge"])]
+        moves, first = field.moves, field.first
+        # the most that a label other than none can gain by the moves into and out of it, whatever stands around
+        into = np.concatenate([moves - moves[:, :1], (first - first[0])[None, :]]).max(0)
+        out = np.concatenate([moves - moves[:1, :], np.zeros((len(LABELS), 1))], 1).max(1)
+        self.gain = float((into + out)[1:].max())
+        self.reset()
+
+    def reset(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.classes: dict[tuple, int] = {}
+        self.scores = np.zeros((1024, 4, len(LABELS)))  # as itself, as the one before, as the one after, as the cue before marks
+        self.marks = np.zeros(1024, bool)
+
+    def _sum(self, names) -> np.ndarray:
         own = [self.field.features[f] for f in names if f in self.field.features]
         return self.field.weights[own].sum(0)
 
-    def scores(self, token: str) -> np.ndarray:
-        """Rows: as itself, as the one before, as the one after."""
-        found = self.memo.get(token)
-        if found is None:
-            own = word_features(token)
-            found = np.stack([self._sum(own), self._sum([f"<{f}" for f in own]), self._sum([f">{f}" for f in own])])
-            if len(self.memo) >= self.most:
-                self.memo.clear()
-            if len(token) < 80:
-                self.memo[token] = found
-        return found
-
-    def decode(self, chains: list[list[str]]) -> list[np.ndarray]:
-        out: list[np.ndarray | None] = [None] * len(chains)
-        by_size: dict[int, list[int]] = {}
-        for i, c in enumerate(chains):
-            by_size.setdefault(len(c), []).append(i)
-        for size, rows in by_size.items():
-            for at in range(0, len(rows), 2048):
-                own = rows[at : at + 2048]
-                parts = np.stack([np.stack([self.scores(t) for t in chains[i]]) for i in own])  # chain, token, role, label
-                scores = parts[:, :, 0].copy()
-                scores[:, 1:] += parts[:, :-1, 1]
-                scores[:, :-1] += parts[:, 1:, 2]
-                scores[:, 0] += self.edges[0]
-                scores[:, -1] += self.edges[1]
-                best = scores[:, 0] + self.field.first
-                back = np.zeros((len(own), size, len(LABELS)), np.int8)
-                for t in range(1, size):
-                    step = best[:, :, None] + self.field.moves
-                    back[:, t] = step.argmax(1)
-                    best = step.max(1) + scores[:, t]
-                path = np.zeros((len(own), size), np.int8)
-                path[:, -1] = best.argmax(1)
-                for t in range(size - 1, 0, -1):
-                    path[:, t - 1] = back[np.arange(len(own)), t, path[:, t]]
-                for i, p in zip(own, path, strict=True):
-                    out[i] = p
+    def learn(self, tokens: set[str]) -> None:
+        new = [t for t in tokens if t not in self.rows]
+        if len(self.rows) + len(new) > self.most and self.rows:
+            self.reset()
+            new = list(tokens)
+        for token in new:
+            own, mark = word_features(token), is_mark(token)
+            row = self.classes.get((own, mark))
+            if row is None:
+                row = self.classes[own, mark] = len(self.classes)
+                if row == len(self.scores):
+                    self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+                    self.marks = np.concatenate([self.marks, np.zeros_like(self.marks)])
+                self.scores[row] = [self._sum(own), self._sum([f"<{f}" for f in own]), self._sum([f">{f}" for f in own]), self._sum(_cue_of(own))]
+                self.marks[row] = mark
+            self.rows[token] = row
+
+    def emissions(self, chains: list[list[str]]) -> np.ndarray:
+        """Scores by token and label of all chains, one after the other."""
+        self.learn(set().union(*chains))
+        n = np.array([len(c) for c in chains])
+        rows = np.fromiter(map(self.rows.__getitem__, itertools.chain.from_iterable(chains)), np.int64, int(n.sum()))
+        out = self.scores[rows, 0]
+        ends = np.cumsum(n)
+        starts = (ends - n)[n > 0]
+        ends = ends[n > 0]
+        inner = np.ones(len(rows), bool)
+        inner[starts] = False
+        out[inner] += self.scores[rows[np.flatnonzero(inner) - 1], 1]
+        out[starts] += self.edges[0]
+        place = np.arange(len(rows)) - np.repeat(starts, ends - starts)
+        behind = np.flatnonzero(self.marks[rows][:-1] & inner[1:]) + 1  # tokens after a mark
+        behind = behind[place[behind] > 1]
+        cue = behind - 2 - self.marks[rows[behind - 2]]
+        there = place[behind] >= behind - cue
+        out[behind[there]] += self.scores[rows[cue[there]], 3]
+        inner = np.ones(len(rows), bool)
+        inner[ends - 1] = False
+        out[inner] += self.scores[rows[np.flatnonzero(inner) + 1], 2]
+        out[ends - 1] += self.edges[1]
         return out
 
+    def decode(self, chains: list[list[str]]) -> dict[tuple[int, int], np.ndarray]:
+        """Best labels: for each (chain, first token) of a stretch between tokens that are none for sure, its labels."""
+        if not any(chains):
+            return {}
+        scores = self.emissions(chains)
+        n = np.array([len(c) for c in chains])
+        owner = np.repeat(np.arange(len(chains)), n)
+        begin = np.cumsum(n) - n
+        open_ = np.flatnonzero(scores[:, 0] - scores[:, 1:].max(1) <= self.gain)
+        if not len(open_):
+            return {}
+        cut = np.flatnonzero((np.diff(open_) > 1) | (np.diff(owner[open_]) > 0)) + 1
+        firsts, lasts = open_[np.concatenate([[0], cut])], open_[np.concatenate([cut, [len(open_)]]) - 1] + 1
+        out: dict[tuple[int, int], np.ndarray] = {}
+        sizes = lasts - firsts
+        for size in np.unique(sizes).tolist():
+            some = np.flatnonzero(sizes == size)
+            for at in range(0, len(some), max(1, 65_536 // size)):
+                first = firsts[some[at : at + max(1, 65_536 // size)]]
+                own = scores[first[:, None] + np.arange(size)]
+                whose = owner[first]
+                opens = first == begin[whose]
+                closes = first + size == begin[whose] + n[whose]
+                path = self.viterbi(own, opens, closes)
+                labelled = np.flatnonzero(path.any(1))
+                out.update(((int(whose[k]), int(first[k] - begin[whose[k]])), path[k]) for k in labelled.tolist())
+        return out
 
-#: Tokens on each side of one with a digit or an at sign that belong to its chain.
-REACH = 2
-_TRIM = "\"'.,;:()[]{}<>=!?#*$%&"
-
-
-def chains_of(text: str) -> list[list[tuple[int, int]]]:
-    """Token spans near digits and at signs, as chains; no other token can be labelled."""
-    tokens = [m.span() for m in _TOKEN.finditer(text)]
-    near = [i for i, (s, e) in enumerate(tokens) if _CUE.search(text, s, e)]
-    chains: list[list[tuple[int, int]]] = []
-    last = -1
-    for i in near:
-        lo, hi = max(0, i - REACH), min(len(tokens), i + REACH + 1)
-        if chains and lo <= last:
-            chains[-1] += tokens[last:hi]
-        else:
-            chains.append(tokens[lo:hi])
-        last = max(hi, last)
-    return chains
-
-
-def added_spans(text: str, chains: list[list[tuple[int, int]]], paths: list[np.ndarray], base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Runs of one label as spans, without punctuation at their edges and without those that touch a base span."""
+    def viterbi(self, scores: np.ndarray, opens: np.ndarray, closes: np.ndarray) -> np.ndarray:
+        """Best paths of stretches of one size; where a stretch doesn't open (close) its text, a token labelled none is before (after) it."""
+        moves, many, size = self.field.moves, len(scores), scores.shape[1]
+        best = scores[:, 0] + np.where(opens[:, None], self.field.first, moves[0])
+        back = np.zeros((many, size, len(LABELS)), np.int8)
+        for t in range(1, size):
+            step = best[:, :, None] + moves
+            back[:, t] = step.argmax(1)
+            best = step.max(1) + scores[:, t]
+        best = best + np.where(closes[:, None], 0, moves[:, 0])
+        path = np.zeros((many, size), np.int8)
+        path[:, -1] = best.argmax(1)
+        for t in range(size - 1, 0, -1):
+            path[:, t - 1] = back[np.arange(many), t, path[:, t]]
+        return path
+
+
+_TRIM = "\"'.,;:()[]{}<>=!?#*$%&|"
+
+
+def added_spans(text: str, paths: dict[int, np.ndarray], base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Runs of one label as spans, without punctuation at their edges and without those that touch a base span; paths are
+    labels by the number of their first token."""
     out = []
     taken = sorted((s, e) for _, s, e in base)
-    for chain, path in zip(chains, paths, strict=True):
+    tokens = [m.span() for m in _TOKEN.finditer(text)]
+    for first, path in sorted(paths.items()):
         i = 0
-        while i < len(chain):
+        while i < len(path):
             j = i
-            while j < len(chain) and path[j] == path[i]:
+            while j < len(path) and path[j] == path[i]:
                 j += 1
             if path[i]:
-                start, end = chain[i][0], chain[j - 1][1]
+                start, end = tokens[first + i][0], tokens[first + j - 1][1]
                 while start < end and text[start] in _TRIM and not (text[start] == "(" and LABELS[path[i]] == "phone"):
                     start += 1
                 while end > start and text[end - 1] in _TRIM:
                     end -= 1
-                if _CUE.search(text, start, end) and not any(s < end and start < e for s, e in taken):
+                if start < end and not any(s < end and start < e for s, e in taken):
                     out.append((LABELS[path[i]], start, end))
             i = j
     return out
 
 
+#: Characters of texts that are decoded together.
+TOGETHER = 1 << 20
+
+
 def find(texts: list[str], tagger: Tagger) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
     """For each text its base spans and the spans that the field adds."""
-    base, chains, owner, flat = [], [], [], []
-    for i, text in enumerate(texts):
-        base.append(base_spans(text))
-        chains.append(chains_of(text))
-        for c in chains[-1]:
-            owner.append(i)
-            flat.append([text[s:e] for s, e in c])
-    paths = iter(tagger.decode(flat))
-    return [(b, added_spans(t, c, [next(paths) for _ in c], b)) for t, b, c in zip(texts, base, chains, strict=True)]
+    out, at = [], 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= TOGETHER):
+            size += len(texts[end])
+            end += 1
+        own = texts[at:end]
+        paths: dict[int, dict[int, np.ndarray]] = {}
+        for (i, first), path in tagger.decode([_TOKEN.findall(t) for t in own]).items():
+            paths.setdefault(i, {})[first] = path
+        for i, text in enumerate(own):
+            base = base_spans(text) if _DIGIT_OR_AT.search(text) else []
+            out.append((base, added_spans(text, paths[i], base) if i in paths else []))
+        at = end
+    return out
 
 
 def listed(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (KINDS.index(x[0]), x[1], x[2])))
 
 
-_DIGIT_OR_AT = np.zeros(256, bool)
-_DIGIT_OR_AT[48:58] = _DIGIT_OR_AT[64] = True
-
-
-def _candidates(column: pa.Array) -> tuple[list[int], list[str]]:
-    """Rows whose text has a digit or an at sign, without which no span can be; and those texts."""
-    data, at = utf8(column)
-    before = np.concatenate([[0], np.cumsum(_DIGIT_OR_AT[data], dtype=np.int64)])
-    rows = np.flatnonzero(before[at[1:]] > before[at[:-1]])
-    # digits beyond ASCII are no part of any base pattern, and the field sees shapes only near ASCII digits
-    return rows.tolist(), column.take(pa.array(rows)).to_pylist()
-
-
 SCHEMA = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"
 
 
@@ -332,13 +396,14 @@ def _scan(field: Field):
         for batch in batches:
             n = batch.num_rows
             counts, shas, spans = np.zeros((4, n), np.int64), [nothing] * n, [""] * n
-            rows, texts = _candidates(batch.column(1))
-            for i, (base, more) in zip(rows, find(texts, tagger), strict=True):
+            found = find([t or "" for t in batch.column(1).to_pylist()], tagger)
+            for i, (base, more) in enumerate(found):
                 for kind, _, _ in base:
                     counts[BASE_KINDS.index(kind), i] += 1
                 if base:
                     shas[i] = hashlib.sha256(listed(base).encode()).hexdigest()
-                spans[i] = listed(base + more)
+                if base or more:
+                    spans[i] = listed(base + more)
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, counts), pa.array(shas), pa.array(spans, pa.string())], [x.split()[0] for x in SCHEMA.split(", ")])
 
     return run
@@ -371,13 +436,13 @@ def redact(docs: DataFrame, field: Field | None = None, text_col: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = _tagger(field)
         for batch in batches:
-            rows, texts = _candidates(batch.column(place))
-            new = {i: redacted(t, base + more) for i, t, (base, more) in zip(rows, texts, find(texts, tagger), strict=True)}
             column = batch.column(place)
+            texts = [t or "" for t in column.to_pylist()]
+            new = {i: redacted(texts[i], base + more) for i, (base, more) in enumerate(find(texts, tagger)) if base or more}
             if new:
                 mask = np.zeros(batch.num_rows, bool)
-                mask[rows] = True
-                column = pc.replace_with_mask(column, pa.array(mask), pa.array([new[i] for i in rows], column.type))
+                mask[list(new)] = True
+                column = pc.replace_with_mask(column, pa.array(mask), pa.array(list(new.values()), column.type))
             yield pa.RecordBatch.from_arrays([column if k == place else batch.column(k) for k in range(batch.num_columns)], batch.schema.names)
 
     return docs.mapInArrow(run, docs.schema)
