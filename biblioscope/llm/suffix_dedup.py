@@ -3,8 +3,9 @@
 A window is a string of `size` bytes. Its anchor is the least k-gram in it by hash (the leftmost of equals), so equal
 windows have equal anchors at equal places, and all that can match meets in one partition. Windows next to each other with the
 same anchor travel together as a segment. In a partition, segments that are equal as a whole are resolved first; what is
-left of anchors that several different segments have goes, batch by batch, through a family of sorted suffix arrays:
-a batch is sorted, merge-scanned against every level for equal windows, and levels of equal size merge. Anchors that very many segments have (a passage that a third of all documents share) are
+left of anchors that several different segments have goes, batch by batch, through a family of suffix arrays (see
+suffix_index): a batch is sorted, merge-scanned against every level for equal windows, and levels of equal size merge.
+RepeatIndex keeps such a family in the shared folder, so that later batches of documents meet all earlier ones. Anchors that very many segments have (a passage that a third of all documents share) are
 hot: their windows travel one by one, by their own hash, each distinct one once for a stretch, so no task gets a hot group.
 """
 
@@ -12,22 +13,26 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, prefix_hash, release, small_batches, span_hash, table, utf8
+from .common import mix, prefix_hash, release, shared_path, small_batches, span_hash, stored, table, utf8
+from .suffix_index import SIZE, Level, SuffixFamily, indexed, scanned
 
-SIZE = 100
 GRAM = 32
 #: Bytes whose anchors are found at a time; positions fit the low bits of a sort key.
 STRETCH = 1 << 21
 #: Windows of a batch of the index family.
-BATCH = 1 << 17
+BATCH = 1 << 14
+#: Bytes of text for each partition of the second pass, at most; a task's memory follows it, whatever the table's size.
+PART_BYTES = 32 << 20
 _LOW = np.uint64(STRETCH * 2 - 1)
 #: Bits of an anchor's hash that the first pass compares, and of those that the bitmap of repeated anchors keeps (32 MB).
 COMPARED, SLOTS = 40, 28
@@ -268,51 +273,17 @@ def _deal(parts: int, sent):
     return run
 
 
-class IndexFamily:
-    """Sorted arrays of distinct windows with their earliest owners; sizes double from level to level.
-
-    Rows are the window's bytes and a last byte 1, so that numpy compares all of them."""
-
-    def __init__(self) -> None:
-        self.levels: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # exponent -> (windows, documents, places)
-
-    def add(self, windows: np.ndarray, docs: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Takes a batch in; returns the owners (document, place) of windows that turn out to start earlier elsewhere."""
-        order = np.lexsort((places, docs, windows))
-        windows, docs, places = windows[order], docs[order], places[order]
-        fresh = np.ones(len(windows), bool)
-        fresh[1:] = windows[1:] != windows[:-1]
-        group = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-        late = ~fresh & ((docs != docs[group]) | (places != places[group]))
-        found = [(docs[late], places[late])]
-        windows, docs, places = windows[fresh], docs[fresh], places[fresh]
-        for own, own_docs, own_places in self.levels.values():
-            at = np.searchsorted(own, windows)
-            at[at == len(own)] = 0
-            same = np.flatnonzero(own[at] == windows)
-            there = at[same]
-            later = (docs[same] > own_docs[there]) | ((docs[same] == own_docs[there]) & (places[same] > own_places[there]))
-            found.append((docs[same[later]], places[same[later]]))
-            earlier = (docs[same] < own_docs[there]) | ((docs[same] == own_docs[there]) & (places[same] < own_places[there]))
-            found.append((own_docs[there[earlier]], own_places[there[earlier]]))
-            own_docs[there[earlier]], own_places[there[earlier]] = docs[same[earlier]], places[same[earlier]]
-            keep = np.ones(len(windows), bool)
-            keep[same] = False
-            windows, docs, places = windows[keep], docs[keep], places[keep]
-        level = (windows, docs.copy(), places.copy())
-        while len(level[0]):
-            size = len(level[0]).bit_length()
-            other = self.levels.pop(size, None)
-            if other is None:
-                self.levels[size] = level
-                break
-            both = [np.concatenate(x) for x in zip(other, level, strict=True)]
-            order = np.argsort(both[0], kind="stable")
-            level = tuple(x[order] for x in both)
-        return np.concatenate([d for d, _ in found]), np.concatenate([p for _, p in found])
+SPANS = "doc_id bigint, first bigint, last bigint"
+Spans = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-SPANS = "doc_id bigint, first bigint, last bigint"
+def joined(docs: np.ndarray, places: np.ndarray) -> Spans:
+    """Late windows as spans of bytes: documents, firsts, lasts + 1."""
+    order = np.lexsort((places, docs))
+    docs, places = docs[order], places[order]
+    cut = np.flatnonzero((np.diff(docs) != 0) | (np.diff(places) > 1)) + 1
+    lo, hi = np.concatenate([[0], cut])[: len(docs)].astype(np.int64), np.concatenate([cut, [len(docs)]])[: len(docs)].astype(np.int64) - 1
+    return docs[lo], places[lo], places[hi] + SIZE
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,32 +307,18 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     docs_out: list[int] = doc[known].tolist()
     first_out: list[int] = start[known].tolist()
     last_out: list[int] = (start[known] + many[known] + SIZE - 1).tolist()
-    family = IndexFamily()
+    family = SuffixFamily()
     held: list[int] = []
     held_windows = 0
-    out_docs, out_first, out_last = [], [], []
+    spans: list[Spans] = []
 
     def flush() -> None:
         nonlocal held, held_windows
-        if not held:
-            return
-        rows = np.array(held)
-        n = many[rows].astype(np.int64)
-        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        at = np.repeat(begin[rows], n) + step
-        table_ = np.ones((len(at), SIZE + 1), np.uint8)
-        table_[:, :SIZE] = np.lib.stride_tricks.sliding_window_view(data, SIZE)[at]
-        windows = table_.view(f"S{SIZE + 1}").reshape(-1)
-        d, p = family.add(windows, np.repeat(doc[rows], n), np.repeat(start[rows], n) + step)
-        if len(d):
-            o = np.lexsort((p, d))
-            d, p = d[o], p[o]
-            cut = np.flatnonzero((np.diff(d) != 0) | (np.diff(p) > 1)) + 1
-            lo = np.concatenate([[0], cut])
-            hi = np.concatenate([cut, [len(d)]]) - 1
-            out_docs.append(d[lo])
-            out_first.append(p[lo])
-            out_last.append(p[hi] + SIZE)
+        if held:
+            rows = np.array(held)
+            sizes, cuts = size[rows], np.cumsum(size[rows]) - size[rows]
+            where = np.repeat(begin[rows] - cuts, sizes) + np.arange(int(sizes.sum()))
+            spans.append(joined(*family.add(data[where], cuts, doc[rows], start[rows], many[rows].astype(np.int64))))
         held, held_windows = [], 0
 
     raw = data.tobytes()
@@ -383,12 +340,8 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held_windows += windows_of[r]
                 if held_windows >= BATCH:
                     flush()
-        if held_windows < BATCH // 2 or not held:
-            continue
-        flush()
-        family = IndexFamily()  # no window has two anchors: a group that has ended needs no more comparing
     flush()
-    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.array(a, np.int64), *b])) for a, b in ((docs_out, out_docs), (first_out, out_first), (last_out, out_last))], ["doc_id", "first", "last"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.array(own, np.int64), *(x[k] for x in spans)])) for k, own in enumerate((docs_out, first_out, last_out))], ["doc_id", "first", "last"])
     release()
 
 
@@ -421,13 +374,23 @@ def _cut(keep_text: bool):
     return run
 
 
+def _usable(docs: DataFrame) -> DataFrame:
+    return docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+
+
+def parts_for(rows: DataFrame) -> int:
+    """Partitions that bound what a task gets: one for each PART_BYTES of text, and spark.sql.shuffle.partitions at least."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+
+
 def repeats(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Rows (doc_id, first, last): byte spans covered by a window that also starts earlier (smaller doc_id, or same
     document, earlier place). Spans may overlap. Rows with a null id or text are left out; rows that share an id and have
     equal texts aren't repeats of each other."""
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    rows = _usable(docs)
+    parts = parts or parts_for(rows)
     sent = spark.sparkContext.broadcast(repeated_anchors(rows, parts))
     dealt = rows.mapInArrow(_deal(parts, sent), PARTS).repartitionById(parts, F.col("part"))
     return dealt.mapInArrow(_resolve, SPANS)
@@ -444,6 +407,92 @@ def remove_repeats(docs: DataFrame, parts: int | None = None, keep_text: bool =
     return rows.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_cut(keep_text), RESULT + (", kept binary" if keep_text else ""))
 
 
+def _segments_of(parts: int):
+    """All segments of a batch of documents, by part, whether their anchors repeat or not: a later batch may hold the rest."""
+    everything = type("Sent", (), {"value": (np.full(1 << (SLOTS - 3), 255, np.uint8), np.zeros(0, np.uint64))})
+    return _deal(parts, everything)
+
+
+def _step(merging: int):
+    """One partition of an index: its levels, numbered, come first (the `merging` lowest are merged with the batch), then the batch (number -1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels: dict[int, Level] = {}
+        new, part = [], None
+        for batch in batches:
+            for part, number, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "number", "blob")), strict=True):
+                if number >= 0:
+                    levels[number] = Level.unpacked(blob)
+                else:
+                    new.append(_unpack(blob))
+        if part is None:
+            return
+        spans: list[Spans] = []
+        out = None
+        if new:
+            doc, start, many, _, _ = (np.concatenate([b[k] for b in new]).astype(np.int64) for k in range(5))
+            size = many + SIZE - 1
+            out, late = indexed(np.concatenate([b[5] for b in new]), np.cumsum(size) - size, doc, start, many)
+            spans.append(joined(*late))
+            for level in levels.values():
+                late, of_batch, _ = scanned(level, out)
+                spans.append(joined(*late))
+                if of_batch.any():
+                    out = out.without(of_batch)
+        for number in range(merging):
+            if number in levels:
+                out = levels[number] if out is None else levels[number].merged(out)
+        columns = [np.concatenate([np.zeros(0, np.int64), *(x[k] for x in spans)]) for k in range(3)]
+        n, more = len(columns[0]), int(out is not None)
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array(np.append(c, [0] * more), pa.int64()) for c in columns), pa.array([None] * n + [part] * more, pa.int32()), pa.array([None] * n + ([out.packed()] if more else []), pa.binary())],
+            ["doc_id", "first", "last", "part", "blob"],
+        )
+        release()
+
+    return run
+
+
+class RepeatIndex:
+    """A lasting logarithmic index of all windows of the documents added so far, at a path that the cluster shares.
+
+    Batch b becomes a level by itself; where levels 0 .. t - 1 are taken, they merge with it to level t, as a binary counter
+    does, so n batches keep log n levels and each window is rewritten log n times. Levels are Parquet tables that nothing
+    changes; `state` names the live ones of each batch, and a batch that fails before its state is written has no
+    effect. A task holds one part of the levels; `parts` is fixed when the index is made."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, parts: int = 64) -> None:
+        self.spark, self.path = spark, path or shared_path(spark, "repeat-index")
+        try:
+            last = spark.read.parquet(f"{self.path}/state").orderBy(F.desc("batch")).first()
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            last = None
+        self.batches = last.batch + 1 if last else 0
+        self.parts = last.parts if last else parts
+        self.levels: dict[int, str] = {x.number: x.path for x in last.levels} if last else {}
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """Rows (doc_id, first, last): spans of documents of this batch that start earlier in it or in an older one, and of
+        older documents that start earlier in this batch. The union over batches covers what repeats() of all documents covers.
+
+        Rows with a null id or text are left out; an empty batch gives no rows."""
+        dealt = _usable(docs).mapInArrow(_segments_of(self.parts), PARTS).select("part", F.lit(-1).alias("number"), "blob")
+        for number, path in self.levels.items():
+            dealt = dealt.unionByName(self.spark.read.parquet(path).select("part", F.lit(number).alias("number"), "blob"))
+        merging = next(t for t in range(len(self.levels) + 1) if t not in self.levels)
+        dealt = dealt.repartitionById(self.parts, F.col("part")).sortWithinPartitions("part", F.desc("number"))
+        done = stored(dealt.mapInArrow(_step(merging), f"{SPANS}, part int, blob binary"), "index-step")
+        path = f"{self.path}/levels/batch-{self.batches}-{uuid.uuid4().hex}"
+        done.filter("part is not null").select("part", "blob").write.parquet(path)
+        live = {number: own for number, own in self.levels.items() if number >= merging} | {merging: path}
+        row = [(self.batches, self.parts, [(n, p) for n, p in sorted(live.items())])]
+        self.spark.createDataFrame(row, "batch int, parts int, levels array<struct<number: int, path: string>>").coalesce(1).write.mode("append").parquet(f"{self.path}/state")
+        self.levels, self.batches = live, self.batches + 1
+        return done.filter("part is null").select("doc_id", "first", "last")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: all documents."""
     small_batches(spark)

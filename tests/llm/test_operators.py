@@ -81,6 +81,19 @@ def test_suffix_dedup(spark, docs, empty, rows):
     assert suffix_dedup.remove_repeats(empty, parts=2).count() == 0
 
 
+def test_suffix_dedup_of_later_batches(spark, docs, rows):
+    """Documents added in three batches to a lasting index, read anew each time, give what one run gives."""
+    spans = lambda df: {(r.doc_id, i) for r in df.collect() for i in range(r.first, r.last)}
+    want = spans(suffix_dedup.repeats(docs, parts=3))
+    path, found, levels = shared_path(spark, "index"), set(), []
+    for k in (2, 0, 1, 3):
+        index = suffix_dedup.RepeatIndex(spark, path, parts=3)
+        found |= spans(index.add(docs.filter(f"pmod(doc_id, 4) = {k}")))
+        levels.append(sorted(index.levels))
+    assert found == want and levels == [[0], [1], [0, 1], [2]]
+    assert not spans(suffix_dedup.RepeatIndex(spark, path).add(docs.limit(0)))
+
+
 def stored_counts(spark, path):
     return [r for f in __import__("glob").glob(path.removeprefix("file://") + "/*/part-*") for r in spark.read.parquet("file://" + f).collect()]
 

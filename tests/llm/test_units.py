@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from biblioscope.llm import common, decontaminate, licenses, near_dedup, packing, pii, suffix_dedup, toxicity
+from biblioscope.llm import common, decontaminate, licenses, near_dedup, packing, pii, suffix_dedup, suffix_index, toxicity
 from biblioscope.llm.token_counts import PieceCounter
 
 TEXTS = st.text(alphabet="aé \n\t.▁<|>'sİΣς1́中　\x85", max_size=14)
@@ -135,21 +135,39 @@ def test_suffix_family_finds_all_repeats(batch, hot, monkeypatch):
         assert bytes(c for i, c in enumerate(data) if i not in gone) == want[doc], doc
 
 
-def test_index_family_levels():
-    family = suffix_dedup.IndexFamily()
+@given(st.text(alphabet="ab", min_size=0, max_size=400), st.integers(0, 9))
+@settings(max_examples=40, deadline=None)
+def test_suffix_array(text, seed):
+    data = np.frombuffer((text * 3).encode() + bytes(seed) + b"ab" * 60, np.uint8)
+    at = np.random.default_rng(seed).permutation(len(data) - suffix_dedup.SIZE + 1)
+    order, fresh = suffix_index.suffix_array(data, at)
+    raw = data.tobytes()
+    strings = [raw[p : p + suffix_dedup.SIZE] for p in order]
+    assert strings == sorted(strings) and sorted(order) == sorted(at)
+    assert [bool(x) for x in fresh] == [k == 0 or strings[k] != strings[k - 1] for k in range(len(strings))]
+
+
+@pytest.mark.parametrize("chunk", [7, 1 << 15])
+def test_suffix_family_levels(chunk, monkeypatch):
+    """Batches in any order: all strings but the earliest are reported, levels double, packing keeps them, merges occur."""
+    monkeypatch.setattr(suffix_index, "CHUNK", chunk)
+    family = suffix_index.SuffixFamily()
     rng = np.random.default_rng(2)
-    owner, late = {}, set()
-    for step in range(40):
-        n = int(rng.integers(1, 9))
-        values = rng.integers(0, 60, n)
-        windows = np.array([bytes([v]) * 100 + b"\1" for v in values], "S101")
-        docs, places = rng.integers(0, 50, n), np.full(n, step)
-        d, p = family.add(windows, docs, places)
+    owners, late = {}, set()
+    for doc in rng.permutation(60).tolist():
+        texts = [bytes(rng.choice([97, 98], 130, p=[0.97, 0.03]).tolist()) for _ in range(int(rng.integers(1, 4)))]
+        starts = np.cumsum([0] + [200] * (len(texts) - 1))
+        sizes = np.array([len(t) for t in texts])
+        for t, s in zip(texts, starts.tolist(), strict=True):
+            for p in range(len(t) - 99):
+                owners.setdefault(t[p : p + 100], set()).add((doc, s + p))
+        d, p = family.add(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes) - sizes, np.full(len(texts), doc), starts, sizes - 99)
         late.update(zip(d.tolist(), p.tolist(), strict=True))
-        for v, o in zip(values.tolist(), zip(docs.tolist(), places.tolist(), strict=True), strict=True):
-            owner.setdefault(v, set()).add(o)
-    assert late >= {o for own in owner.values() for o in own if o != min(own)}
-    assert sorted(family.levels) == sorted({len(x[0]).bit_length() for x in family.levels.values()})
+        assert all(len(x.order).bit_length() <= size for size, x in family.levels.items())
+        family.levels = {size: suffix_index.Level.unpacked(x.packed()) for size, x in family.levels.items()}
+    assert late == {o for own in owners.values() for o in own if o != min(own)}
+    held = sorted(x.text[q : q + 100].tobytes() for x in family.levels.values() for q in x.order)
+    assert held == sorted(owners) and family.merges > 3 and len(family.levels) > 1
 
 
 def plain_spans(text):
