@@ -21,6 +21,8 @@ MODEL = "word_bpe_49k.json"
 SEQUENCE = 2048
 #: Entries of a worker's memo of pre-tokens, beside those of one batch; when full it is emptied.
 MEMO_RUNS = 500_000
+#: Up to so many placements (32 bytes each) are broadcast; beyond that they are joined by stretches of so many numbers.
+BROADCAST_RANGES, BUCKET = 250_000, 1 << 14
 #: White space, and characters of one code point in NFC that are lower-cased one by one.
 _PLAIN = re.compile(r"[ \n\t!-~¡-įı-ɏ]+")
 _SPACE = re.compile("[ \n\t\r]+")
@@ -193,14 +195,14 @@ def best_fit_decreasing(counts: dict[int, int], size: int) -> list[tuple[int, in
     return out
 
 
-def pack(docs: DataFrame, model_path: str, size: int = SEQUENCE, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, model_path: str, size: int = SEQUENCE, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_RANGES) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts give one piece, the end id alone. Documents longer than size are cut into pieces of size;
     no other document is cut. Equal lengths are interchangeable; repeated rows and ids are packed each. An empty
     table gives no rows; other columns are ignored. The pieces are stored once, so that their numbering outlives
-    executors; only counts by length (at most `size` rows) come to the driver, and the placements by length, a few
-    rows for each pair of length and remaining capacity, go back.
+    executors; only counts by length (at most `size` rows) come to the driver. The placements, a few for each pair of
+    length and remaining capacity, are broadcast up to broadcast_rows, else written and joined.
     """
     spark = docs.sparkSession
     made = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_pieces(model_path, size, end_id), PIECES)
@@ -211,9 +213,12 @@ def pack(docs: DataFrame, model_path: str, size: int = SEQUENCE, end_id: int = 0
     base = stored(base, "piece-counts")
     counts = {int(r.length): int(r.n) for r in base.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     placed = best_fit_decreasing(counts, size)
-    plan = spark.createDataFrame([tuple(map(int, x)) for x in placed], "length bigint, first bigint, many bigint, sequence bigint, offset bigint")
-    lists = plan.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first", "many", "sequence", "offset"))).alias("ranges"))
-    return _place(pieces, base, {int(k): v for k, v in _ranges(placed).items()}) if placed else pieces.join(lists, "length").select("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("bigint").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    # the counts grow with the table (one for each length and partition), so they are never broadcast
+    keyed = base.select("length", "part", "base").hint("merge")
+    numbered = pieces.join(keyed, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("number"))
+    if len(placed) <= broadcast_rows:
+        return _place(numbered, _ranges(placed))
+    return _join_ranges(numbered, placed)
 
 
 def _ranges(placed: list[tuple[int, int, int, int, int]]) -> dict[int, np.ndarray]:
@@ -223,9 +228,12 @@ def _ranges(placed: list[tuple[int, int, int, int, int]]) -> dict[int, np.ndarra
     return {k: np.array(sorted(v), np.int64) for k, v in found.items()}
 
 
-def _place(pieces: DataFrame, base: DataFrame, ranges: dict[int, np.ndarray]) -> DataFrame:
-    """Looks up each piece's range by its number among those of its length; ranges are bounded by lengths and capacities."""
-    ranges_sent = pieces.sparkSession.sparkContext.broadcast(ranges)
+RESULT = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
+
+
+def _place(numbered: DataFrame, ranges: dict[int, np.ndarray]) -> DataFrame:
+    """Looks up each piece's range by its number among those of its length; the ranges go to every executor."""
+    ranges_sent = numbered.sparkSession.sparkContext.broadcast(ranges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,10 +244,18 @@ def _place(pieces: DataFrame, base: DataFrame, ranges: dict[int, np.ndarray]) ->
                 at = np.searchsorted(own[:, 0], number[rows], side="right") - 1
                 sequence[rows] = own[at, 2] + number[rows] - own[at, 0]
                 offset[rows] = own[at, 3]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(offset)], [x.split()[0] for x in RESULT.split(", ")])
+
+    return numbered.mapInArrow(run, RESULT)
+
 
-    numbered = pieces.join(base.select("length", "part", "base"), ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("number"))
-    return numbered.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+def _join_ranges(numbered: DataFrame, placed: list[tuple[int, int, int, int, int]]) -> DataFrame:
+    """The same by a join: ranges, cut at multiples of BUCKET, meet the pieces of their length and stretch of numbers."""
+    spark = numbered.sparkSession
+    table_ = stored(spark.createDataFrame([tuple(map(int, x)) for x in placed], "length bigint, first bigint, many bigint, sequence bigint, offset bigint"), "ranges")
+    cut = table_.withColumn("bucket", F.explode(F.sequence(F.expr(f"first div {BUCKET}"), F.expr(f"(first + many - 1) div {BUCKET}")))).withColumnRenamed("offset", "at")
+    joined = numbered.withColumn("bucket", F.expr(f"number div {BUCKET}")).join(cut.hint("merge"), ["length", "bucket"]).filter("number >= first and number < first + many")
+    return joined.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence") + F.col("number") - F.col("first")).alias("sequence_id"), F.col("at").alias("offset"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

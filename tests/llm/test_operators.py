@@ -129,9 +129,11 @@ def test_token_counts_query_uses_the_cache(spark, tmp_path):
         spark.conf.unset("spark.biblioscope.tokenCache")
 
 
-def test_packing(spark, docs, empty, rows):
+@pytest.mark.parametrize("broadcast_rows", [1000, 0])
+def test_packing(spark, docs, empty, rows, broadcast_rows, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET", 4)
     tokenizer = packing.RunEncoder(public_tokenizers.path(packing.MODEL)).tokenizer
-    out = packing.pack(clash(docs), public_tokenizers.path(packing.MODEL), size=64).collect()
+    out = packing.pack(clash(docs), public_tokenizers.path(packing.MODEL), size=64, broadcast_rows=broadcast_rows).collect()
     want = collections.Counter()
     for doc, text, *_ in rows:
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
@@ -150,7 +152,7 @@ def test_packing(spark, docs, empty, rows):
         assert at <= 64
     total = sum(r.length for r in out)
     assert -(-total // 64) <= len(used) <= -(-total // 64) * 11 // 9 + 1
-    assert packing.pack(empty, public_tokenizers.path(packing.MODEL)).count() == 0
+    assert packing.pack(empty, public_tokenizers.path(packing.MODEL), broadcast_rows=broadcast_rows).count() == 0
 
 
 def test_webp(spark, docs, empty, rows):
