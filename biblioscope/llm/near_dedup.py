@@ -23,6 +23,8 @@ MARGIN = 4.0
 GROUP_ROWS = 500
 #: Up to so many candidate rows (40 bytes each) are broadcast to pick their texts; beyond that the texts are shuffled.
 BROADCAST_ROWS = 500_000
+#: A band key is hot with so many rows, and at least one HOT_KEYS-th of all, so there are HOT_KEYS of them at most.
+HOT_ROWS, HOT_KEYS = 2_000, 20_000
 #: Documents of a block; a task compares two blocks.
 BLOCK = 512
 
@@ -201,14 +203,33 @@ def _across(k: int, percent: int):
     return run
 
 
-def across_components(docs: DataFrame, open_bands: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) between components that share a band, for rows (key, id, c) of such bands.
+def meet(rows: DataFrame, other: DataFrame, least: int) -> DataFrame:
+    """rows (key, many, ...) with other (key, many, ...) by key; many is the key's number of rows. Those of hot keys stay
+    where they are and get their partner by broadcast (HOT_KEYS rows at most), so no task gets a hot key."""
+    hot, cold = F.col("many") >= least, F.col("many") < least
+    return rows.filter(hot).join(F.broadcast(other.filter(hot).drop("many")), "key").unionByName(rows.filter(cold).join(other.filter(cold).drop("many"), "key"))
+
+
+def shared_bands(classes: DataFrame) -> tuple[DataFrame, int]:
+    """Rows (key, id, a, many) for the bands that several classes share: a is the smallest id, many the key's rows; and from how many a key is hot."""
+    keys = F.array(*(F.xxhash64(F.lit(i), F.substring("registers", 1 + 2 * ROWS * i, 2 * ROWS)) for i in range(BANDS)))
+    bands = classes.select(F.col("rep").alias("id"), F.explode(keys).alias("key"))
+    leaders = bands.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("last"), F.count(F.lit(1)).alias("many")).filter("a != last")
+    leaders = stored(leaders.select("key", "a", "many"), "leaders")
+    least = max(HOT_ROWS, (leaders.agg(F.sum("many")).first()[0] or 0) // HOT_KEYS)
+    hot = F.broadcast(leaders.filter(F.col("many") >= least))
+    cold = bands.join(hot.select("key"), "key", "left_anti").join(leaders.filter(F.col("many") < least), "key")
+    return stored(bands.join(hot, "key").unionByName(cold), "bands"), least
+
+
+def across_components(docs: DataFrame, open_bands: DataFrame, least: int, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between components that share a band, for rows (key, many, id, c) of such bands.
 
     Documents joined by open bands make a family; a family is cut into blocks of BLOCK documents or so by hash, and every
     two of its blocks meet in a task, where full sets are compared. So nothing is left out, no task grows with a family,
     and only links that join components leave the task."""
-    first = open_bands.groupBy("key").agg(F.min("id").alias("a"))
-    family = components(open_bands.join(first, "key").select("a", F.col("id").alias("b")).distinct())
+    first = open_bands.groupBy("key", "many").agg(F.min("id").alias("a"))
+    family = components(meet(open_bands, first, least).select("a", F.col("id").alias("b")).distinct())
     own = open_bands.select("id", "c").distinct().join(family.select(F.col("node").alias("id"), F.col("component").alias("super")), "id")
     own = stored(own, "families")
     blocks = own.groupBy("super").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
@@ -268,17 +289,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sketches = stored(rows.mapInArrow(_sketches(k), "doc_id bigint, n_shingles bigint, digest binary, registers binary"), "sketches")
     some = sketches.filter("n_shingles > 0 and doc_id is not null")
     classes = stored(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "classes")
-    keys = F.array(*(F.xxhash64(F.lit(i), F.substring("registers", 1 + 2 * ROWS * i, 2 * ROWS)) for i in range(BANDS)))
-    bands = classes.select(F.col("rep").alias("id"), F.explode(keys).alias("key"))
-    leaders = bands.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("last"), F.count(F.lit(1)).alias("many")).filter("a != last")
-    shared = stored(bands.join(leaders.select("key", "a", "many"), "key"), "bands")
+    shared, least = shared_bands(classes)
     texts = rows.filter("doc_id is not null")
     links = confirmed(texts, shared.filter("id != a").select("a", F.col("id").alias("b")).distinct(), classes, k, percent)
     label = components(links).withColumnRenamed("node", "id")
     # bands of three and more members that still hold several components
-    named = stored(shared.filter("many > 2").join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), "named")
-    mixed = named.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least != most").select("key")
-    more = across_components(texts, stored(named.join(mixed, "key"), "open-bands"), k, percent)
+    named = stored(shared.filter("many > 2").join(label, "id", "left").select("key", "many", "id", F.coalesce("component", "id").alias("c")), "named")
+    mixed = named.groupBy("key", "many").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("key", "many")
+    more = across_components(texts, stored(meet(named, mixed, least), "open-bands"), least, k, percent)
     label = components(links.union(more)).withColumnRenamed("node", "id")
     own = classes.select("digest", "rep").join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = sketches.select("doc_id", "n_shingles", "digest").join(own, "digest", "left")

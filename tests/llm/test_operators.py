@@ -266,7 +266,9 @@ def test_near_duplicates(spark, docs, empty, rows, k):
     assert near_dedup.near_duplicates(empty, k=k).count() == 0
 
 
-def test_near_duplicates_in_a_chain(spark):
+@pytest.mark.parametrize("hot_rows", [2, near_dedup.HOT_ROWS])
+def test_near_duplicates_in_a_chain(spark, hot_rows, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HOT_ROWS", hot_rows)  # at 2 every shared band is hot
     """Neighbours are linked, the ends aren't: the component needs every link."""
     words = [f"w{i}" for i in range(160)]
     rows = [(i, " ".join(words[i * 3 : i * 3 + 40]), "en", "s", 1) for i in range(40)]
