@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from biblioscope.llm import decontaminate, near_dedup, packing, pii, toxicity
-from biblioscope.llm.common import small_batches, stored, table
+from biblioscope.llm.common import small_batches, table
+from biblioscope.storage import passing, stored
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +61,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; what each returns is written to the shared folder and read again."""
+    """Applies the stages to documents; what each returns is written to the shared folder and read again. Tables that a
+    stage needed on its way go once its result is written, and the results of all but the last written stage at the end."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    with passing(spark):
+        for name, stage in STAGES[:-1]:
+            with passing(spark):
+                docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,6 +1,7 @@
 """Sources, sinks, provenance, exports and the stream."""
 
 import json
+import os
 import threading
 import zipfile
 
@@ -134,3 +135,38 @@ def test_stream_resumes(spark, tmp_path):
     assert spark.read.parquet(sink).count() == 6
     done = spark.read.parquet(sink).filter("id < 3 or prompt_version = 'v2'")
     assert [r.id for r in scoring.resumed(spark.createDataFrame([(1,), (3,)], "id int"), done, "v1").collect()] == [3]
+
+
+def test_stored_tables_go_when_asked(spark, tmp_path):
+    from biblioscope import storage
+
+    storage.discard(spark)
+    path = lambda df: df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    with storage.passing(spark):
+        first = storage.stored(spark.range(3), "a")
+        where = path(first)
+        last = storage.stored(first.filter("id > 0"), "b")
+    assert not os.path.exists(where) and last.count() == 2
+    assert storage.discard(spark) == 1 and not os.path.exists(path(last)) and storage.discard(spark) == 0
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    from biblioscope import storage
+
+    class Conf:
+        def __init__(self, master):
+            self.own = {"spark.master": master}
+
+        def get(self, key, default=None):
+            return self.own.get(key, default)
+
+        set = lambda self, key, value: self.own.__setitem__(key, value)
+
+    class Session:
+        def __init__(self, master):
+            self.conf = Conf(master)
+
+    assert storage.shared_path(Session("local[2]"), "x").startswith("file://")
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            storage.shared_path(Session(master), "x")
