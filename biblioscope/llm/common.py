@@ -1,10 +1,8 @@
-"""Helpers that the operators share: table access, shared storage, UTF-8 buffers and word hashes."""
+"""Helpers that the operators share: table access, UTF-8 buffers and word hashes."""
 
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_path, stored  # noqa: F401
+
 #: Bytes of text that numpy handles at a time; bounds a worker's memory.
 CHUNK_BYTES = 1 << 18
 
@@ -21,26 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir; a temporary one where that is unset)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("spark.biblioscope.localDir", None)
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="biblioscope-")
-            spark.conf.set("spark.biblioscope.localDir", base)
-    return f"{base}/{label}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Cuts lineage: df as a Parquet table in the shared folder, which outlives any executor."""
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds what a Python worker gets at once: texts may be long."""
+    """Bounds what a Python worker gets at once: texts may be long. Plans read this setting when they run, so it stays; a smaller one is kept."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
