@@ -47,9 +47,9 @@ class Bits:
 @functools.cache
 def _reversed(n: int) -> np.ndarray:
     """For each number of n bits the number of its bits reversed."""
-    out = np.zeros(1 << n, np.int32)
+    out = np.zeros(1 << n, np.int64)
     for k in range(n):
-        out |= ((np.arange(1 << n, dtype=np.int32) >> k) & 1) << (n - 1 - k)
+        out |= ((np.arange(1 << n) >> k) & 1) << (n - 1 - k)
     return out
 
 
@@ -81,14 +81,12 @@ class Code:
                 code += 1
         return self._table
 
-    def arrays(self) -> tuple[np.ndarray, np.ndarray, int]:
-        """Symbol and length by the next bits, and the mask that takes those."""
+    def arrays(self) -> tuple[np.ndarray, int]:
+        """16 * symbol + length by the next bits, and the mask that takes those."""
         if self.only is not None:
-            return np.array([self.only], np.int32), np.zeros(1, np.int32), 0
-        sizes = np.array([self.lengths[s] for s in self.symbols], np.int32)
-        each = 1 << (self.most - sizes)
-        back = _reversed(self.most)
-        return np.repeat(np.array(self.symbols, np.int32), each)[back], np.repeat(sizes, each)[back], (1 << self.most) - 1
+            return np.array([16 * self.only]), 0
+        sizes = np.array([self.lengths[s] for s in self.symbols])
+        return np.repeat(16 * np.array(self.symbols) + sizes, 1 << (self.most - sizes))[_reversed(self.most)], (1 << self.most) - 1
 
     def read(self, bits: Bits) -> int:
         if self.only is not None:
@@ -157,20 +155,33 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
 
 
 #: Bytes of a stream that are parsed at a time, and those behind them that a token may reach into.
-PARSED, REACH = 1 << 17, 16
-_STEP = np.arange(8, dtype=np.uint32)
-_EXTRA = np.maximum(0, (np.arange(40) - 2) >> 1).astype(np.int32)
-_FROM = np.where(np.arange(40) < 4, np.arange(40), (2 + (np.arange(40) & 1)) << _EXTRA).astype(np.int32) + 1
+PARSED, REACH = 1 << 15, 16
+_STEP = np.arange(8)
+_EXTRA = np.maximum(0, (np.arange(40) - 2) >> 1)
+_FROM = np.where(np.arange(40) < 4, np.arange(40), (2 + (np.arange(40) & 1)) << _EXTRA) + 1
+
+
+@functools.cache
+def _near(width: int) -> np.ndarray:
+    return np.array([max(1, x + y * width) for x, y in NEAR])
+
+
+def _low(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The n lowest bits of each."""
+    return values & ((1 << n) - 1)
 
 
 def _parsed_pixels(bits: Bits, group: list[Code], width: int, n: int) -> np.ndarray:
     """Pixels of one group of codes: what token would begin at each bit is looked up for all bits at once, then the
     tokens are those that follow one another from the first bit, and references are copied in turn."""
-    tables = [c.arrays() for c in group]
     plain = [c.only for c in group[1:4]]
     fixed = None if None in plain else np.uint32(plain[2] << 24 | plain[0] << 16 | plain[1])
-    out = np.empty(n, np.uint32)
-    near = np.array([max(1, x + y * width) for x, y in NEAR])
+    first, mask = group[0].arrays()
+    far, far_mask = group[4].arrays()
+    # where green alone varies, its bytes do; four times the places otherwise
+    each = 1 if fixed is not None else 4
+    out = bytearray(each * n)
+    view = np.frombuffer(out, np.uint8 if fixed is not None else np.uint32)
     done, at = 0, bits.position()
     while done < n:
         base = at >> 3
@@ -178,72 +189,81 @@ def _parsed_pixels(bits: Bits, group: list[Code], width: int, n: int) -> np.ndar
         size = min(PARSED, len(raw))
         if not size:
             raise ValueError("pixels are cut short")
-        words = np.ndarray((size + REACH,), "<u4", raw + bytes(size + REACH + 4 - len(raw)), strides=(1,))
+        words = np.ndarray((size + REACH,), "<i8", raw + bytes(size + REACH + 8 - len(raw)), strides=(1,))
         peek = (words[:, None] >> _STEP).reshape(-1)
         limit = 8 * size
-        symbols, sizes, mask = tables[0]
-        own = peek[:limit] & np.uint32(mask)
-        green = symbols[own]
-        follow = np.arange(limit, dtype=np.int32) + sizes[own]
-        refs = np.flatnonzero((green >= 256) & (green < 280))
+        token = first[peek[:limit] & mask]
+        follow = (token & 15) + _ascending(limit)
+        refs = np.flatnonzero((token >= 256 * 16) & (token < 280 * 16)) if each == 4 else np.flatnonzero(token >= 256 * 16)
+        behind = follow[refs]
         if fixed is None:
-            place, colour = follow.copy(), green.astype(np.uint32) << np.uint32(8)
-            for (symbols, sizes, mask), shift in zip(tables[1:4], (16, 0, 24), strict=True):
-                own = peek[place] & np.uint32(mask)
-                colour |= symbols[own].astype(np.uint32) << np.uint32(shift)
-                place += sizes[own]
-            place[refs] = follow[refs]
+            place, colour = follow.copy(), (token >> 4 << 8).astype(np.uint32)
+            for code, shift in zip(group[1:4], (16, 0, 24), strict=True):
+                table_, own_mask = code.arrays()
+                own = table_[peek[place] & own_mask]
+                colour |= (own >> 4).astype(np.uint32) << np.uint32(shift)
+                place += own & 15
             follow = place
-        lengths, distances = np.ones(limit, np.int32), np.zeros(limit, np.int32)
         if len(refs):
-            symbols, sizes, mask = tables[4]
-            kind, place = green[refs] - 256, follow[refs]
-            lengths[refs] = _FROM[kind] + (peek[place] & ((np.uint32(1) << _EXTRA[kind].astype(np.uint32)) - np.uint32(1))).astype(np.int32)
-            place += _EXTRA[kind]
-            own = peek[place] & np.uint32(mask)
-            kind = symbols[own]
-            place += sizes[own]
-            distances[refs] = _FROM[kind] + (peek[place] & ((np.uint32(1) << _EXTRA[kind].astype(np.uint32)) - np.uint32(1))).astype(np.int32)
-            follow[refs] = place + _EXTRA[kind]
+            place = behind + _EXTRA[(token[refs] >> 4) - 256]
+            own = far[peek[place] & far_mask]
+            follow[refs] = place + (own & 15) + _EXTRA[own >> 4]
         # tokens follow one another: eight steps at a time, then those between
-        hops = [np.append(np.minimum(follow, limit), np.int32(limit))]
+        hops = [np.append(np.minimum(follow, limit), limit)]
         for _ in range(3):
             hops.append(hops[-1][hops[-1]])
-        chain, p, far, left = [], at & 7, hops[3], n - done
+        chain, p, leap, left = [], at & 7, hops[3], n - done
         while p < limit and 8 * len(chain) < left:  # a token is a pixel at least
             chain.append(p)
-            p = int(far[p])
-        where = np.array(chain, np.int64)[None, :]
+            p = int(leap[p])
+        where = np.array(chain, np.int64)
         for hop in (hops[2], hops[1], hops[0]):
-            where = np.stack([where, hop[where]], -1).reshape(1, -1)
-        where = where[0]
+            where = np.stack([where, hop[where]], -1).reshape(-1)
         where = where[where < limit]
-        many = lengths[where]
+        found = token[where]
+        referring = np.flatnonzero(found >= 256 * 16)
+        many, codes = np.ones(len(where), np.int64), np.zeros(0, np.int64)
+        if len(referring):
+            kind, place = (found[referring] >> 4) - 256, where[referring] + (found[referring] & 15)
+            many[referring] = _FROM[kind] + _low(peek[place], _EXTRA[kind])
+            place += _EXTRA[kind]
+            own = far[peek[place] & far_mask]
+            kind = own >> 4
+            codes = _FROM[kind] + _low(peek[place + (own & 15)], _EXTRA[kind])
         ends = np.cumsum(many)
         used = int(np.searchsorted(ends, left)) + 1
-        where, many, ends = where[:used], many[:used], ends[:used]
+        where, found, many, ends = where[:used], found[:used], many[:used], ends[:used]
+        referring = referring[: np.searchsorted(referring, used)]
         p = int(follow[where[-1]])
         if base * 8 + p > 8 * len(bits.data):
             raise ValueError("pixels are cut short")
         starts = done + ends - many
-        distance = distances[where]
-        literal = distance == 0
-        out[starts[literal]] = (green[where[literal]].astype(np.uint32) << np.uint32(8) | fixed) if fixed is not None else colour[where[literal]]
-        codes = distance[~literal]
-        codes = np.where(codes > 120, codes - 120, near[np.minimum(codes, 120) - 1])
-        for to, d, k in zip(starts[~literal].tolist(), codes.tolist(), many[~literal].tolist(), strict=True):
-            if d > to or to + k > n:
-                raise ValueError("back-reference leaves the image")
+        literal = found < 256 * 16
+        view[starts[literal]] = found[literal] >> 4 if fixed is not None else colour[where[literal]]
+        codes = codes[: len(referring)]
+        distances = np.where(codes > 120, codes - 120, _near(width)[np.minimum(codes, 120) - 1])
+        if len(referring) and ((distances > starts[referring]).any() or int(starts[-1] + many[-1]) > n):
+            raise ValueError("back-reference leaves the image")
+        for to, d, k in zip((each * starts[referring]).tolist(), (each * distances).tolist(), (each * many[referring]).tolist(), strict=True):
             if d >= k:
                 out[to : to + k] = out[to - d : to - d + k]
             else:
-                out[to : to + k] = np.resize(out[to - d : to], k)
+                out[to : to + k] = (out[to - d : to] * (k // d + 1))[:k]
         done += int(ends[-1])
         at = base * 8 + p
     bits.at, bits.value, bits.held = at >> 3, 0, 0
     if at & 7:
         bits.read(at & 7)
-    return out
+    return view.astype(np.uint32) << np.uint32(8) | fixed if fixed is not None else view
+
+
+@functools.cache
+def _counting() -> np.ndarray:
+    return np.arange(8 * (PARSED + REACH))
+
+
+def _ascending(n: int) -> np.ndarray:
+    return _counting()[:n]
 
 
 def _pixels(bits: Bits, groups: list[list[Code]], groups_of: np.ndarray | None, prefix_bits: int, cache_bits: int, width: int, n: int) -> np.ndarray:

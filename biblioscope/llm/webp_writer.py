@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 import itertools
 import struct
@@ -23,17 +24,38 @@ _SMALL = [[f"{v:0{n}b}"[::-1] if n else "" for v in range(1 << n)] for n in rang
 
 
 class Writer:
-    """Collects bits, least significant first, as text of their digits."""
+    """Collects bits, least significant first, as text of their digits; the last many can be numbers in an array."""
 
     def __init__(self) -> None:
         self.parts: list[str] = []
+        self.tail: tuple[np.ndarray, np.ndarray] | None = None
 
     def put(self, value: int, n: int) -> None:
         self.parts.append(_SMALL[n][value] if n < 9 else f"{value:0{n}b}"[::-1])
 
+    def end(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        """The last tokens: numbers of up to 63 bits and their sizes."""
+        self.tail = values, sizes
+
     def bytes(self) -> bytes:
         digits = "".join(self.parts)
-        return int(digits[::-1] or "0", 2).to_bytes((len(digits) + 7) // 8, "little")
+        head = int(digits[::-1] or "0", 2)
+        if self.tail is None:
+            return head.to_bytes((len(digits) + 7) // 8, "little")
+        values, sizes = self.tail
+        ends = np.cumsum(sizes) + (len(digits) & 7)
+        at = ends - sizes
+        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        total = int(ends[-1])
+        out = np.zeros((total >> 6) + 2, np.uint64)
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        out[word[first]] = np.add.reduceat(values << shift, first)  # bits are apart, so sums are unions
+        over = np.flatnonzero((at & 63) + sizes > 64)
+        out[word[over] + 1] += values[over] >> (np.uint64(64) - shift[over])
+        done = len(digits) >> 3
+        body = bytearray(out.tobytes()[: (total + 7) // 8])
+        body[0] |= head >> (8 * done)
+        return (head & ((1 << 8 * done) - 1)).to_bytes(done, "little") + bytes(body)
 
 
 def code_lengths(counts: list[int], most: int) -> list[int]:
@@ -66,33 +88,61 @@ def code_lengths(counts: list[int], most: int) -> list[int]:
     return lengths
 
 
-def digits_of(lengths: list[int]) -> list[str]:
-    """Each symbol's code as the digits that are written; none for symbols without one, or that stand alone."""
-    out = [""] * len(lengths)
+def codes_of(lengths: list[int]) -> list[tuple[int, int, int]]:
+    """(symbol, code, size) of the canonical code; sizes are 0 where a symbol below 256 stands alone."""
     used = sorted((n, s) for s, n in enumerate(lengths) if n)
     if len(used) == 1 and used[0][1] < 256:
-        return out
-    code, before = 0, 0
+        return [(used[0][1], 0, 0)]
+    out, code, before = [], 0, 0
     for n, s in used:
         code <<= n - before
         before = n
-        out[s] = f"{code:0{n}b}"
+        out.append((s, code, n))
         code += 1
     return out
 
 
-def put_code(out: Writer, lengths: list[int]) -> list[str]:
-    """Writes a code's lengths; returns its digits."""
+def digits_of(lengths: list[int]) -> list[str]:
+    """Each symbol's code as the digits that are written."""
+    out = [""] * len(lengths)
+    for s, code, n in codes_of(lengths):
+        out[s] = f"{code:0{n}b}" if n else ""
+    return out
+
+
+@functools.cache
+def _backwards() -> np.ndarray:
+    """For each number of LONGEST bits the number of its bits reversed."""
+    out = np.zeros(1 << LONGEST, np.uint64)
+    for k in range(LONGEST):
+        out |= ((np.arange(1 << LONGEST, dtype=np.uint64) >> np.uint64(k)) & np.uint64(1)) << np.uint64(LONGEST - 1 - k)
+    return out
+
+
+def code_arrays(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """By symbol: the code as a number whose lowest bit is written first, and its size."""
+    own = np.array(codes_of(lengths) or [(0, 0, 0)], np.int64)
+    codes, sizes = np.zeros(len(lengths), np.uint64), np.zeros(len(lengths), np.int64)
+    codes[own[:, 0]] = _backwards()[own[:, 1]] >> (LONGEST - own[:, 2]).astype(np.uint64)
+    sizes[own[:, 0]] = own[:, 2]
+    return codes, sizes
+
+
+def put_single(out: Writer, symbol: int) -> None:
+    """A code of one symbol below 256."""
+    out.put(1, 2)  # simple, one symbol
+    out.put(int(symbol > 1), 1)
+    out.put(symbol, 8 if symbol > 1 else 1)
+
+
+def put_lengths(out: Writer, lengths: list[int]) -> None:
+    """Writes a code's lengths."""
     used = [s for s, n in enumerate(lengths) if n]
     if len(used) <= 1 and (not used or used[0] < 256):
-        symbol = used[0] if used else 0
-        out.put(1, 2)  # simple, one symbol
-        out.put(int(symbol > 1), 1)
-        out.put(symbol, 8 if symbol > 1 else 1)
-        return digits_of(lengths)
+        return put_single(out, used[0] if used else 0)
     runs: list[tuple[int, int, int]] = []  # symbol, extra, its bits
     for value, same in itertools.groupby(lengths[: used[-1] + 1]):
-        left = sum(1 for _ in same)
+        left = len(list(same))
         if value:
             runs.append((value, 0, 0))
             left -= 1
@@ -117,8 +167,7 @@ def put_code(out: Writer, lengths: list[int]) -> list[str]:
     out.put(0, 1)
     many = max(4, max(k for k, s in enumerate(LENGTH_ORDER) if own[s]) + 1)
     out.put(many - 4, 4)
-    for k in range(many):
-        out.put(own[LENGTH_ORDER[k]], 3)
+    out.parts += [_SMALL[3][own[s]] for s in LENGTH_ORDER[:many]]
     out.put(1, 1)
     count = len(runs) - 2  # two symbols or more make two runs or more
     pairs = max(0, (count.bit_length() - 1) // 2)
@@ -127,9 +176,23 @@ def put_code(out: Writer, lengths: list[int]) -> list[str]:
     digits = digits_of(own)
     for s, extra, n in runs:
         out.parts += (digits[s], _SMALL[n][extra])
+
+
+def put_code(out: Writer, lengths: list[int]) -> list[str]:
+    """Writes a code's lengths; returns its digits."""
+    put_lengths(out, lengths)
     return digits_of(lengths)
 
 
+def prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values (from 1) as symbols, extra bits and their number."""
+    v = values - 1
+    n = np.maximum(0, np.frexp(v.astype(np.float64))[1] - 2)
+    n[v < 4] = 0
+    symbol = np.where(v < 4, v, 2 * (n + 1) + ((v >> n) & 1))
+    return symbol, v & ((1 << n) - 1), n
+
+
 class _Prefixes(dict):
     """Value (from 1) -> (symbol, digits of its extra bits)."""
 
@@ -148,13 +211,14 @@ class _Prefixes(dict):
 _prefixes = _Prefixes()
 
 
-def references(values: np.ndarray) -> list[tuple[int, int, int]]:
-    """Greedy back-references (at, length, distance): strings of six bytes or three pixels that stood before, the nearest of
-    them, joined where their distance stays."""
+def references(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Back-references (at, length, distance) that don't overlap: strings of six bytes or three pixels that stood before, the
+    nearest of them, joined where their distance stays, each from where the one before it ends."""
     k = 6 if values.dtype == np.uint8 else 3
     n = len(values) - k + 1
+    none = np.zeros(0, np.int64)
     if n < 2:
-        return []
+        return none, none, none
     keys = values[:n].astype(np.uint64)
     for j in range(1, k):
         keys = (keys << np.uint64(8) if k == 6 else keys * np.uint64(0x9E3779B97F4A7C15)) + values[j : n + j]
@@ -164,22 +228,29 @@ def references(values: np.ndarray) -> list[tuple[int, int, int]]:
     if k == 3:  # these keys are hashes
         equal = np.logical_and.reduce([values[where + j] == values[before + j] for j in range(k)])
         where, before = where[equal], before[equal]
-    distance = np.zeros(n + 1, np.int32)
+    distance = np.zeros(n + 1, np.int64)
     distance[where] = where - before
-    distance[distance > WINDOW] = 0
+    if n > WINDOW:
+        distance[distance > WINDOW] = 0
     edge = np.flatnonzero(distance[1:] != distance[:-1]) + 1
-    some = edge[distance[edge] > 0]  # the first string has none before it
-    stop = edge[np.searchsorted(edge, some) + 1]
-    at, out = 0, []
-    for first, last, d in zip(some.tolist(), stop.tolist(), distance[some].tolist(), strict=True):
-        if first < at:
-            first = at
-        while first < last:
-            length = min(REACH, last - first + k - 1)
-            out.append((first, length, d))
-            first += length
-            at = first
-    return out
+    some = np.flatnonzero(distance[edge])  # the first string has none before it
+    first, last = edge[some], edge[some + 1]
+    distance = distance[first]
+    while len(first):
+        start = np.maximum(first, np.concatenate([[0], last[:-1] + k - 1]))
+        room = start < last
+        if room.all():
+            break
+        first, last, distance = first[room], last[room], distance[room]
+    if not len(first):
+        return none, none, none
+    length = last - start + k - 1
+    if length.max() > REACH:  # long ones in parts
+        parts = -(-length // REACH)
+        step = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+        start, distance = np.repeat(start, parts) + REACH * step, np.repeat(distance, parts)
+        length = np.minimum(REACH, np.repeat(length, parts) - REACH * step)
+    return start, length, distance
 
 
 def _near(width: int) -> dict[int, int]:
@@ -198,35 +269,45 @@ def _lengths(counts: list[int]) -> list[int]:
 
 
 def put_samples(out: Writer, samples: np.ndarray, width: int, colour: int = 0xFF0000) -> None:
-    """The main image of pixels whose green alone varies (red, blue and alpha of `colour`, in this order of bytes), by codes and back-references."""
+    """The main image, and the end of the stream: pixels whose green alone varies (red, blue and alpha are the bytes of
+    `colour` from its second on), by codes and back-references."""
     out.put(0, 2)  # no colour cache, one group of codes
     if width not in _near_of:
         _near_of[width] = _near(width)
-    near, raw = _near_of[width], samples.tobytes()
-    refs = references(samples)
-    runs, at = [], 0
-    for i, n, _ in refs:
-        runs.append(raw[at:i])
-        at = i + n
-    runs.append(raw[at:])
-    counts = np.bincount(np.frombuffer(b"".join(runs), np.uint8), minlength=280).tolist()
-    lengths = [_prefixes[n] for _, n, _ in refs]
-    distances = [_prefixes[near.get(d) or d + 120] for _, _, d in refs]
-    far = [0] * 40
-    for (s, _), (d, _) in zip(lengths, distances, strict=True):
-        counts[256 + s] += 1
-        far[d] += 1
-    green = _lengths(counts)
-    digits = put_code(out, green)
+    near = _near_of[width]
+    start, length, distance = references(samples)
+    if len(start):
+        # tokens by where they begin: literals, and references in place of the samples they cover
+        inside = np.zeros(len(samples) + 1, np.int32)
+        inside[start] = 1
+        inside[start + length] -= 1
+        plain = np.flatnonzero(np.cumsum(inside[:-1]) == 0)
+        length_symbol, length_extra, length_bits = prefixes(length)
+        distance_symbol, distance_extra, distance_bits = prefixes(np.array([near.get(d) or d + 120 for d in distance.tolist()], np.int64))
+        far = _lengths(np.bincount(distance_symbol, minlength=40).tolist())
+    else:
+        plain, far = np.arange(len(samples)), [0] * 40
+    literals = samples[plain]
+    counts = np.bincount(literals, minlength=280)
+    if len(start):
+        counts[256:] += np.bincount(length_symbol, minlength=24)
+    green = _lengths(counts.tolist())
+    put_lengths(out, green)
     for value in (colour >> 8 & 255, colour & 255, colour >> 16):
-        put_code(out, [0] * value + [1])
-    distance = _lengths(far)
-    to = put_code(out, distance)
-    parts, pick = out.parts, digits.__getitem__
-    for run, (s, extra), (d, more) in zip(runs, lengths, distances, strict=False):
-        parts.extend(map(pick, run))
-        parts += (digits[256 + s], extra, to[d], more)
-    parts.extend(map(pick, runs[-1]))
+        put_single(out, value)
+    put_lengths(out, far)
+    codes, sizes = code_arrays(green)
+    values, bits = codes[literals], sizes[literals]
+    if len(start):
+        far_codes, far_sizes = code_arrays(far)
+        parts = ((codes[256 + length_symbol], sizes[256 + length_symbol]), (length_extra, length_bits), (far_codes[distance_symbol], far_sizes[distance_symbol]), (distance_extra, distance_bits))
+        token, size = np.zeros(len(start), np.uint64), np.zeros(len(start), np.int64)
+        for value, n in parts:
+            token |= value.astype(np.uint64) << size.astype(np.uint64)
+            size += n
+        order = np.argsort(np.concatenate([plain, start]), kind="stable")
+        values, bits = np.concatenate([values, token])[order], np.concatenate([bits, size])[order]
+    out.end(values, bits)
 
 
 def put_image(out: Writer, argb: np.ndarray, main: bool, width: int = 1 << 20, cache_bits: int = 0) -> None:
@@ -238,7 +319,7 @@ def put_image(out: Writer, argb: np.ndarray, main: bool, width: int = 1 << 20, c
         out.put(0, 1)  # one group of codes
     argb = np.ascontiguousarray(argb, np.uint32)
     near = _near(width)
-    jumps = {i: (n, d) for i, n, d in references(argb)}
+    jumps = {i: (n, d) for i, n, d in zip(*(x.tolist() for x in references(argb)), strict=True)}
     pixels, cache, at = argb.tolist(), {}, 0
     keys = ((argb * np.uint32(0x1E35A7BD)) >> np.uint32(32 - cache_bits)).tolist() if cache_bits else pixels
     steps: list[tuple] = []
