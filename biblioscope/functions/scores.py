@@ -63,7 +63,8 @@ def gap(scores: Sequence[Column]) -> Column:
 
 
 def at_frontier(scores: Sequence[Column]) -> Column:
-    return gap(scores) < DELTA
+    """Whether the best leads by less than DELTA (to nine digits, so that sums of decimals compare as written)."""
+    return F.round(gap(scores), 9) < DELTA
 
 
 def at_sampling_frontier(scores: Sequence[Column]) -> Column:
@@ -71,7 +72,8 @@ def at_sampling_frontier(scores: Sequence[Column]) -> Column:
 
 
 def flags_at_frontier(scores: Sequence[Column]) -> Column:
-    return F.exists(F.array(*scores), lambda s: F.abs(s - 0.5) < DELTA)
+    """Whether a flag's score is less than DELTA off one half (to nine digits)."""
+    return F.exists(F.array(*scores), lambda s: F.round(F.abs(s - 0.5), 9) < DELTA)
 
 
 def best_label(scores: Sequence[Column], labels: Sequence[str]) -> Column:

@@ -2,29 +2,40 @@
 
 from __future__ import annotations
 
+from collections import deque
+
+import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+#: Letters are counted in so many bins, and so many pairs are bounded at a time.
+BINS, TOGETHER = 64, 1 << 15
+
 
 def jaro(a: str, b: str) -> float:
+    """Each letter of a takes the first free equal one of b within reach, found through queues of b's places by letter."""
     if a == b:
         return 1.0 if a else 0.0
     if not a or not b:
         return 0.0
     reach = max(len(a), len(b)) // 2 - 1
-    hit_a, hit_b = [False] * len(a), [False] * len(b)
-    matches = 0
+    places: dict[str, deque[int]] = {}
+    for j, c in enumerate(b):
+        places.setdefault(c, deque()).append(j)
+    mine, theirs = [], []
     for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not hit_b[j] and b[j] == c:
-                hit_a[i] = hit_b[j] = True
-                matches += 1
-                break
+        own = places.get(c)
+        while own and own[0] < i - reach:  # the reach only moves on
+            own.popleft()
+        if own and own[0] <= i + reach:
+            mine.append(c)
+            theirs.append(own.popleft())
+    matches = len(mine)
     if not matches:
         return 0.0
-    other = (c for c, h in zip(b, hit_b, strict=True) if h)
-    swaps = sum(c != d for c, d in zip((c for c, h in zip(a, hit_a, strict=True) if h), other, strict=True)) // 2
+    swaps = sum(c != b[j] for c, j in zip(mine, sorted(theirs), strict=True)) // 2
     return (matches / len(a) + matches / len(b) + (matches - swaps) / matches) / 3
 
 
@@ -43,6 +54,37 @@ def jaro_winkler_of(a: str | None, b: str | None) -> float:
     return score + 0.1 * prefix * (1 - score)
 
 
+def highest(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """What the similarity of each pair can be at most: no more letters match than both have, and up to four are a common prefix."""
+    codes, texts = pd.factorize(pd.concat([a, b], ignore_index=True).fillna(""))
+    counts = np.zeros((len(texts), BINS), np.int32)
+    for k, t in enumerate(texts):
+        counts[k] = np.bincount(np.frombuffer(t.encode("utf-32-le"), "<u4") % BINS, minlength=BINS)
+    sizes = counts.sum(1)
+    heads = np.array([[ord(c) for c in t[:4].ljust(4, "\0")] for t in texts], np.int64).reshape(len(texts), 4)
+    one, two = codes[: len(a)], codes[len(a) :]
+    common = np.concatenate([np.zeros(0, np.int64), *(np.minimum(counts[one[k : k + TOGETHER]], counts[two[k : k + TOGETHER]]).sum(1) for k in range(0, len(a), TOGETHER))])
+    prefix = np.cumprod((heads[one] == heads[two]) & (heads[one] > 0), axis=1).sum(1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        score = np.where(common > 0, (common / sizes[one] + common / sizes[two] + 1) / 3, 0.0)
+    return np.where(score > 0.7, score + 0.1 * prefix * (1 - score), score)
+
+
+def jaro_winkler_from(threshold: float, a: Column, b: Column) -> Column:
+    """The similarity of pairs that reach the threshold, else null. Most pairs are told by their bound, in numpy."""
+
+    @F.pandas_udf(DoubleType())
+    def similarity(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = np.full(len(x), np.nan)
+        for k in np.flatnonzero(highest(x, y) >= threshold - 1e-9):
+            score = jaro_winkler_of(x.iloc[k], y.iloc[k])
+            if score >= threshold:
+                out[k] = score
+        return pd.Series(out).astype(object).where(~np.isnan(out), None)
+
+    return similarity(a, b)
+
+
 @F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaro_winkler_of(x, y) for x, y in zip(a, b, strict=True)], dtype=float)

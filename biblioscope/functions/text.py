@@ -133,6 +133,34 @@ def ngrams(words: Column, most: int = 3) -> Column:
     return let(words, lambda w: all_of(w, w, 2))
 
 
+#: Function words by language, as many of each, none of them shared.
+FUNCTION_WORDS = {
+    "de": ("der", "die", "und", "das", "nicht", "mit", "ist", "ein", "eine", "von", "sich", "auf"),
+    "en": ("the", "of", "and", "is", "that", "was", "for", "with", "this", "are", "from", "which"),
+    "es": ("el", "los", "las", "del", "y", "con", "una", "lo", "su", "pero", "muy", "donde"),
+    "fr": ("le", "les", "des", "et", "dans", "est", "une", "pour", "qui", "sur", "avec", "au"),
+    "pt": ("o", "os", "do", "da", "dos", "em", "um", "uma", "com", "não", "ao", "pela"),
+}
+
+
+def language_by_words(text: Column, words: dict[str, tuple[str, ...]] = FUNCTION_WORDS, least: int = 2) -> Column:
+    """The language most of whose function words the text has, `least` at least and more than any other's; else null."""
+
+    def count(tokens_: Column, own: tuple[str, ...]) -> Column:
+        return F.size(F.filter(tokens_, lambda w: w.isin(*own)))
+
+    def of(tokens_: Column) -> Column:
+        counts = F.array(*(F.struct(count(tokens_, own).alias("n"), F.lit(lang).alias("lang")) for lang, own in sorted(words.items())))
+        return let(F.sort_array(counts, asc=False), lambda c: F.when((c[0]["n"] >= least) & (c[0]["n"] > c[1]["n"]), c[0]["lang"]))
+
+    return let(F.split(F.lower(text), r"\s+"), of)
+
+
+def iso_utc(stamp: Column) -> Column:
+    """A timestamp as ISO 8601 text in UTC, to the second (sessions run in UTC)."""
+    return F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def normalise_term(term: Column) -> Column:
     """Lower case; letters, underscore, slash, space and hyphen stay; spaces squeezed."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.lower(term)), r"[^a-zñáàâãäéèêëíîïóôõöúûüç_/ -]", ""), r"\s+", " "))

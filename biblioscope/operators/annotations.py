@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,6 +92,34 @@ def usable(resolved: DataFrame, label: str | None = "cluster_primario") -> DataF
     return out.filter(F.col(label).isNotNull()) if label else out
 
 
+def with_texts(resolved: DataFrame, corpus: DataFrame, key: str = "id_artigo", corpus_key: str = "id") -> DataFrame:
+    """Gold rows with the corpus' columns; columns of both are the corpus'."""
+    mine = [c for c in resolved.columns if c == key or c not in corpus.columns]
+    return resolved.select(*mine).join(corpus, F.col(key) == F.col(corpus_key).cast("string"))
+
+
+def with_metadata(resolved: DataFrame, metadata: DataFrame, key: str = "id_artigo", metadata_key: str = "id") -> DataFrame:
+    """All gold rows, with the metadata of those that have some."""
+    mine = [c for c in resolved.columns if c == key or c not in metadata.columns]
+    return resolved.select(*mine).join(metadata, F.col(key) == F.col(metadata_key).cast("string"), "left")
+
+
+def prepass_summary(df: DataFrame, scores: Sequence[str] = tuple(f"score_{f.removeprefix('epi_')}" for f in S.FLAGS)) -> DataFrame:
+    """One row of a model's first pass: rows, those with the doctrine score (the last) at 0.5 or more, mixed orientation,
+    inconclusive, and all scores below 0.5 (missing ones count as 0), each with its percentage."""
+    n = F.count(F.lit(1))
+    high = {c: F.coalesce(F.col(c), F.lit(0.0)) >= 0.5 for c in scores}
+    none = functools.reduce(lambda x, y: x & y, (~c for c in high.values()))
+    counts = {"dn": F.count_if(high[scores[-1]]), "mixed": F.count_if(F.col("orientacao_proeminente") == "mixed"), "inconclusiva": F.count_if(F.col("inconclusiva") == 1), "all_zero": F.count_if(none)}
+    return df.agg(n.alias("n"), *(c.alias(f"n_{k}") for k, c in counts.items()), *(F.round(100 * F.try_divide(c, n), 2).alias(f"pct_{k}") for k, c in counts.items()))
+
+
+def subtags(df: DataFrame, notes: str = "notas") -> DataFrame:
+    """Rows (subtag, n): the doctrine tags of rows that carry the doctrine flag, 'none' for those without."""
+    own = df.filter(F.col(S.FLAGS[2]) == 1).select(F.coalesce(S.doctrine_tag(F.col(notes)), F.lit("none")).alias("subtag"))
+    return own.groupBy("subtag").agg(F.count(F.lit(1)).alias("n"))
+
+
 def disagreements(ratings: DataFrame, item: str, rater: str, flag: str) -> DataFrame:
     """Items that two raters label differently: (item, first, second) by rater name."""
     own = ratings.groupBy(item).agg(F.min(F.struct(rater, flag)).alias("x"), F.max(F.struct(rater, flag)).alias("y"), F.count(F.lit(1)).alias("n"))

@@ -128,6 +128,37 @@ def retraction_report(flagged: DataFrame) -> DataFrame:
     )
 
 
+def retraction_sample(flagged: DataFrame, n: int = 20, key: str = "id") -> DataFrame:
+    """The first n flagged rows by key, for the report."""
+    return flagged.filter("flag_retratado").orderBy(key).limit(n)
+
+
+def distinct_sorted(df: DataFrame, column: str) -> DataFrame:
+    """The column's distinct values that aren't null, in order."""
+    return df.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column)
+
+
+def bind_rows(*tables: DataFrame) -> DataFrame:
+    """Tables of different columns one under the other; a column that a table lacks is null in its rows."""
+    out = tables[0]
+    for own in tables[1:]:
+        out = out.unionByName(own, allowMissingColumns=True)
+    return out
+
+
+def detect_languages(df: DataFrame, text: str, declared: str, least: int = 21) -> DataFrame:
+    """Adds idioma_detectado and idioma_confianca. A declared language stays, with confidence 1. Where none is declared, texts
+    of `least` characters or more get the language of most function words (confidence 1), or null if that can't be told."""
+    found = F.when(F.length(text) >= least, T.language_by_words(F.col(text)))
+    value = F.coalesce(F.col(declared), found)
+    return df.withColumns({"idioma_detectado": value, "idioma_confianca": F.when(value.isNotNull(), F.lit(1.0))})
+
+
+def language_cell(df: DataFrame, language: str | None, column: str = "idioma_detectado") -> DataFrame:
+    """Rows of one language cell ('pt' or 'en', whatever the case); None or another name keeps all."""
+    return df.filter(F.lower(F.coalesce(F.col(column), F.lit(""))) == language) if language in ("pt", "en") else df
+
+
 def split_suspects(df: DataFrame, title: str, abstract: str, patterns: Sequence[str] = T.INJECTION_MARKS) -> tuple[DataFrame, DataFrame]:
     """(clean rows, suspects with their reason)."""
     marked = df.withColumn("motivo", T.injection_reason(F.col(title), F.col(abstract), patterns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import jaro_winkler
+from ..functions.similarity import jaro_winkler_from
 from ..storage import stored
 from .graph import components
 
@@ -16,15 +16,19 @@ def fuzzy_pairs(df: DataFrame, threshold: float = THRESHOLD, window: int = WINDO
     """Pairs (a, b, similarity), a < b, of titles in one block with a Jaro-Winkler similarity of the threshold at least.
 
     A block is the rows around a year that occurs, so years up to 2 * window apart can meet. Rows without a year or title
-    are left out. A length bound, safe for the threshold, comes before the similarity."""
+    are left out. A length bound and a bound by the letters that both have, both safe, come before the similarity. Pairs
+    are never shuffled: each is made in the first block that both titles are in, and scored there."""
     rows = df.select(F.col(key).alias("id"), F.col(title).alias("t"), F.col(year).cast("int").alias("y")).filter("y is not null and t != ''")
     years = rows.select(F.col("y").alias("block")).distinct()
     blocks = rows.select("id", "t", F.explode(F.sequence(F.col("y") - window, F.col("y") + window)).alias("block")).join(F.broadcast(years), "block")  # a row for each year
+    # two rows may meet in several blocks: a pair counts in the first block that both are in
+    blocks = blocks.join(blocks.groupBy("id").agg(F.sort_array(F.collect_set("block")).alias("all")), "id")
     least = 3 * (threshold - 0.4) / 0.6 - 2 if threshold > 0.82 else 0.0
     close = F.least(F.length("x.t"), F.length("y.t")) >= F.greatest(F.length("x.t"), F.length("y.t")) * max(0.0, least - 1e-9)
-    pairs = blocks.alias("x").join(blocks.alias("y"), (F.col("x.block") == F.col("y.block")) & (F.col("x.id") < F.col("y.id")) & close)
-    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.t").alias("ta"), F.col("y.t").alias("tb")).distinct()
-    return pairs.withColumn("similarity", jaro_winkler("ta", "tb")).filter(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    first = F.col("x.block") == F.array_min(F.array_intersect("x.all", "y.all"))
+    pairs = blocks.alias("x").join(blocks.alias("y"), (F.col("x.block") == F.col("y.block")) & (F.col("x.id") < F.col("y.id")) & close & first)
+    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), jaro_winkler_from(threshold, F.col("x.t"), F.col("y.t")).alias("similarity"))
+    return pairs.filter("similarity is not null")
 
 
 def duplicate_groups(df: DataFrame, pairs: DataFrame, key: str = "id", cited: str = "citacoes", year: str = "ano") -> DataFrame:

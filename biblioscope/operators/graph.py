@@ -8,7 +8,7 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import stored
@@ -126,7 +126,7 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return inside.crossJoin(squares).select(F.round(F.col("inside") / F.col("two_m") - F.col("squares") / (F.col("two_m") * F.col("two_m")), 4).alias("modularity"))  # one row each
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-8, most: int = 100) -> DataFrame:
+def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-8, most: int = 500) -> DataFrame:
     """Rows (node, pagerank), weighted and undirected; steps until the ranks move less than the tolerance in sum."""
     ways = both_ways(edges).groupBy("u", "v").agg(F.sum("w").alias("w"))
     out = ways.groupBy("u").agg(F.sum("w").alias("total"))
@@ -142,8 +142,8 @@ def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-8, m
         moved = new.agg(F.sum(F.abs(F.col("r") - F.col("old")))).first()[0] or 0.0
         ranks = new.select("node", "r")
         if moved < tolerance:
-            break
-    return ranks.withColumnRenamed("r", "pagerank")
+            return ranks.withColumnRenamed("r", "pagerank")
+    raise ArithmeticError(f"ranks still move by {moved} after {most} steps")
 
 
 def coreness(edges: DataFrame) -> DataFrame:
@@ -162,7 +162,7 @@ def coreness(edges: DataFrame) -> DataFrame:
             return now.withColumnRenamed("core", "coreness")
 
 
-def eigenvector(edges: DataFrame, tolerance: float = 1e-9, most: int = 200) -> DataFrame:
+def eigenvector(edges: DataFrame, tolerance: float = 1e-9, most: int = 2000) -> DataFrame:
     """Rows (node, eigenvector) for the largest component (ties: the smallest label), weighted, the largest value 1.
 
     Power steps of A + I, which has A's vectors and always converges."""
@@ -174,13 +174,13 @@ def eigenvector(edges: DataFrame, tolerance: float = 1e-9, most: int = 200) -> D
         got = ways.join(now.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.sum(F.col("w") * F.col("x")).alias("y"))
         new = now.join(got, "node").select("node", F.col("x").alias("old"), (F.col("x") + F.col("y")).alias("x"))
         new = stored(new, "vector")
-        top = new.agg(F.max("x")).first()[0]
+        top = new.agg(F.max("x")).first()[0] or 1.0
         scaled = new.select("node", (F.col("x") / top).alias("x"), F.abs(F.col("x") / top - F.col("old")).alias("d"))
-        moved = scaled.agg(F.max("d")).first()[0]
+        moved = scaled.agg(F.max("d")).first()[0] or 0.0
         now = scaled.select("node", "x")
         if moved < tolerance:
-            break
-    return now.withColumnRenamed("x", "eigenvector")
+            return now.withColumnRenamed("x", "eigenvector")
+    raise ArithmeticError(f"the vector still moves by {moved} after {most} steps")
 
 
 def _adjacency(pdf: pd.DataFrame) -> tuple[list, list[list[tuple[int, float]]]]:
@@ -313,16 +313,28 @@ def communities(edges: DataFrame) -> DataFrame:
     return with_components(ways).groupBy("component").applyInPandas(run, f"node {kind}, component {kind}, community {kind}")
 
 
-def report(name: str, edges: DataFrame) -> DataFrame:
-    """One row of all measures of a network; status says whether it has edges."""
-    empty = not edges.limit(1).count()
-    if empty:
-        return edges.sparkSession.createDataFrame([(name, "sem_arestas")], "rede string, status string")
-    sizes = components(edges).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+REPORT = "rede string, status string, n_nodes bigint, n_edges bigint, density double, mean_degree double, max_degree bigint, n_isolated bigint, gini double, transitivity double, assortativity double, n_components bigint, lcc_nodes bigint, lcc_pct double, mean_path double, diameter double, modularity double"
+
+
+def report(spark: SparkSession, name: str, edges: DataFrame | None) -> DataFrame:
+    """One row of all measures of a network. status: ok; vazia (no rows: 0 nodes and edges); sem_arestas (rows, but none joins
+    two nodes); arquivo_ausente (None: there is no such table). Measures that can't be had are null."""
+    status = "arquivo_ausente" if edges is None else None if edges.filter("a != b").limit(1).count() else "sem_arestas" if edges.limit(1).count() else "vazia"
+    if status:
+        n = None if edges is None else nodes(edges).filter("node is not null").count()
+        return spark.createDataFrame([(name, status, n, None if edges is None else 0, *[None] * 13)], REPORT)
+    sizes = stored(components(edges).groupBy("component").agg(F.count(F.lit(1)).alias("n")), "sizes")
     lcc = sizes.agg(F.count(F.lit(1)).alias("n_components"), F.max("n").alias("lcc_nodes"), F.sum("n").alias("n_all"))
     biggest = sizes.orderBy(F.desc("n"), "component").limit(1).select("component")
     inside = with_components(edges).join(biggest, "component").drop("component")
-    walk = path_measures(inside).agg(F.round(F.sum("total_distance") / (F.count(F.lit(1)) * (F.count(F.lit(1)) - 1)), 4).alias("mean_path"), F.round(F.max("farthest"), 4).alias("diameter"))
+    walk = path_measures(inside).agg(F.round(F.sum("total_distance") / (F.count(F.lit(1)) * (F.count(F.lit(1)) - 1)), 4).alias("mean_path"), F.round(F.max("farthest"), 2).alias("diameter"))
     groups = communities(edges).select("node", "community")
     out = summary(edges).crossJoin(gini(degrees(edges), "degree")).crossJoin(transitivity(edges).select("transitivity")).crossJoin(assortativity(edges)).crossJoin(lcc).crossJoin(walk).crossJoin(modularity(edges, groups))  # one row each
-    return out.select(F.lit(name).alias("rede"), F.lit("ok").alias("status"), "*", F.round(100 * F.col("lcc_nodes") / F.col("n_all"), 1).alias("lcc_pct")).drop("n_all")
+    out = out.select(F.lit(name).alias("rede"), F.lit("ok").alias("status"), "*", F.round(100 * F.col("lcc_nodes") / F.col("n_all"), 1).alias("lcc_pct"))
+    return out.withColumn("mean_degree", F.round("mean_degree", 3)).select(*(F.col(x.split()[0]).cast(x.split()[1]) for x in REPORT.split(", ")))
+
+
+def weighted(df: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Edges (a, b, weight) of a table whose weight is the first of its usual names, 1 without any."""
+    name = weight_column(df)
+    return df.select(F.col(a).alias("a"), F.col(b).alias("b"), (F.col(name).cast("double") if name else F.lit(1.0)).alias("weight"))

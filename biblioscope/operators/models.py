@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import time
+import urllib.request
 from collections.abc import Callable, Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, OneVsRest
@@ -89,12 +91,10 @@ def silhouette(df: DataFrame, group: str = "grupo", features: str = "embedding")
 
 def cross_validate(df: DataFrame, label: str, features: str, folds: int = 5, seed: int = 42, one_vs_rest: bool = False) -> DataFrame:
     """Rows (id, fold, truth, guess) of stratified folds by multinomial regression, or by one model for each class."""
-    from pyspark.sql import Window
+    from .sampling import numbered_part, seeded_text
 
-    from .sampling import seeded_text
-
-    fold = F.pmod(F.row_number().over(Window.partitionBy(label).orderBy(seeded_text(F.col("id"), seed), "id")), F.lit(folds))
-    own = StringIndexer(inputCol=label, outputCol="_y").fit(df).transform(df.withColumn("fold", fold))
+    dealt = numbered_part(df, label, "id", seeded_text(F.col("id"), seed), [k / folds for k in range(1, folds)], "fold")
+    own = StringIndexer(inputCol=label, outputCol="_y").fit(df).transform(dealt)
     out = None
     for k in range(folds):
         base = LogisticRegression(labelCol="_y", featuresCol=features, regParam=0.01)
@@ -104,13 +104,18 @@ def cross_validate(df: DataFrame, label: str, features: str, folds: int = 5, see
     return out
 
 
-def mean_pool(token_vectors: pd.Series, mask: pd.Series) -> pd.Series:
-    """The masked mean of each row's token vectors."""
-    return pd.Series([(np.stack(v) * np.array(m)[:, None]).sum(0) / max(1, sum(m)) if len(v) else np.zeros(0) for v, m in zip(token_vectors, mask, strict=True)])
+def mean_pool(token_vectors: Column, mask: Column) -> Column:
+    """The mean of those token vectors (a list of lists of one length) whose mask is 1; zeros where none is; [] without tokens."""
+    empty = F.transform(F.coalesce(F.get(token_vectors, F.lit(0)), F.array().cast("array<double>")), lambda v: F.lit(0.0))
+    taken = F.zip_with(token_vectors, mask, lambda v, m: F.transform(v, lambda x: x.cast("double") * m))
+    total = F.aggregate(taken, empty, lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y))
+    n = F.aggregate(mask, F.lit(0), lambda acc, m: acc + m.cast("int"))
+    return F.transform(total, lambda x: x / F.greatest(n, F.lit(1)))
 
 
-def score_with(df: DataFrame, client: Callable[[list[str]], list[str]], prompt: str, batch: int = 32, retries: int = 5) -> DataFrame:
-    """df with a column `resposta`: the client's replies to the prompts, in batches; a batch that keeps failing gets null replies."""
+def score_with(df: DataFrame, client: Callable[[list[str]], list[str]], prompt: str, batch: int = 32, retries: int = 5, wait: float = 2.0) -> DataFrame:
+    """df with a column `resposta`: the client's replies to the prompts, in batches. A batch that fails is tried again after
+    wait, 2 wait, 4 wait, ... seconds; one that keeps failing gets null replies. See chat_client() for a client."""
     place = df.columns.index(prompt)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
@@ -126,11 +131,46 @@ def score_with(df: DataFrame, client: Callable[[list[str]], list[str]], prompt:
                     except (OSError, TimeoutError):
                         if attempt == retries - 1:
                             replies += [None] * len(own)
+                        else:
+                            time.sleep(wait * 2**attempt)
             yield pdf.assign(resposta=replies)
 
     return df.mapInPandas(run, f"{schema}, resposta string")
 
 
+def chat_client(url: str, model: str, system: str, key: str = "", temperature: float = 0.0, seed: int = 42, timeout: float = 60.0) -> Callable[[list[str]], list[str]]:
+    """A client for score_with(): one chat completion for each prompt, over HTTP, with fixed temperature and seed."""
+
+    def ask(prompts: list[str]) -> list[str]:
+        out = []
+        for prompt in prompts:
+            body = {"model": model, "temperature": temperature, "seed": seed, "messages": [{"role": "system", "content": system}, {"role": "user", "content": prompt}]}
+            request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {}))
+            with urllib.request.urlopen(request, timeout=timeout) as reply:  # noqa: S310
+                out.append(json.load(reply)["choices"][0]["message"]["content"])
+        return out
+
+    return ask
+
+
+def safe_map(df: DataFrame, function: Callable[[dict], dict], schema: str) -> DataFrame:
+    """function over each row as a dict, in parallel; a row that fails gives nulls and its message in `erro` instead of ending the job."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for row in pdf.to_dict("records"):
+                try:
+                    found = function(row)
+                    rows.append([*(found[n] for n in names), None])
+                except Exception as error:  # noqa: BLE001
+                    rows.append([*(None for _ in names), f"{type(error).__name__}: {error}"])
+            yield pd.DataFrame(rows, columns=[*names, "erro"], dtype=object)
+
+    return df.mapInPandas(run, f"{schema}, erro string")
+
+
 def apply_clusters(df: DataFrame, logits: Sequence[str], clusters: Sequence[str] = S.CLUSTERS) -> DataFrame:
     """Adds probabilities, labels, runner-up and certainty of a single-label model's logits."""
     p = S.softmax([F.col(c) for c in logits])

@@ -110,8 +110,3 @@ def count_by(df: DataFrame, column: str | Column) -> DataFrame:
 
 def with_metadata(metrics: DataFrame, metadata: DataFrame, key: str = "node") -> DataFrame:
     return metrics.join(metadata, key, "left")
-
-
-def last_first(df: DataFrame, group: str, order: str) -> tuple[Column, Column]:
-    """Flags of the first and last row of a group by an ordinal."""
-    return F.col(order) == 1, F.col(order) == F.max(order).over(Window.partitionBy(group))

@@ -14,7 +14,7 @@ from ..operators import agreement, annotations, clean, dedup, evaluation, graph,
 from ..sources import export, files
 from ..storage import shared_path, stored
 from ..streaming import scoring
-from .tables import ASCII, CORPUS, SCORED, ascii_titles, citations, corpus, pair_sql, scored, table
+from .tables import CORPUS, NORMAL, ONE_BYTE, SCORED, citations, corpus, pair_sql, scored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -147,14 +147,22 @@ def doi_dedup(spark: SparkSession, d: str) -> DataFrame:
     return clean.keep_most_cited(corpus(spark, d).select("id", doi.alias("doi"), "citacoes"))
 
 
-def _flagged(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    own = (corpus if whole else ascii_titles)(spark, d).select("id", "titulo", F.concat(F.lit("D"), F.col("id").cast("string")).alias("doi"), F.when(F.col("id") % 50 == 0, True).when(F.col("id") % 50 == 1, F.lit(None)).otherwise(False).alias("is_retracted"))
+#: A phrase for each of the library's marks, appended to the titles of 16 of 40 works, so that every mark is met.
+_PHRASES = ("Retraction", "RETRACTED article", "erratum", "Corrigendum", "correction to", "expression of concern", "withdrawal", "Withdrawn", "Publisher's note", "editor's note",
+  "Retratação", "retratado", "CORREÇÃO", "preocupação editorial", "retirada", "Errata")
+
+
+def _flagged(spark: SparkSession, d: str) -> DataFrame:
+    phrase = F.coalesce(F.get(F.array(*map(F.lit, _PHRASES)), (F.col("id") % 40).cast("int")), F.lit(""))
+    own = corpus(spark, d).select("id", F.concat("titulo", F.lit(" "), phrase).alias("titulo"), F.concat(F.lit("D"), F.col("id").cast("string")).alias("doi"), F.when(F.col("id") % 50 == 0, True).when(F.col("id") % 50 == 1, F.lit(None)).otherwise(False).alias("is_retracted"))
     notices = table(spark, d, "labels").filter("toxic = 1").select(F.concat(F.lit(" d"), F.col("doc_id").cast("string"), F.lit(" ")).alias("doi"))
-    return clean.flag_retractions(own, notices, (*T.RETRACTION_MARKS[:2], r"\bthe\b", r"\bidiot\b"))
+    return clean.flag_retractions(own, notices)
 
 
-_FLAGGED = rf"""{ASCII}, f AS (SELECT id, id % 50 = 0 AS f1, regexp_matches(titulo, '(?i)(?:\bretraction\b|\bretracted\b|\bthe\b|\bidiot\b)') AS f2, id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS f3 FROM ascii),
-g AS (SELECT id, f1 OR f2 OR f3 AS flag_retratado, array_to_string(list_filter([CASE WHEN f1 THEN 'openalex' END, CASE WHEN f2 THEN 'keyword' END, CASE WHEN f3 THEN 'retraction_watch' END], lambda x: x IS NOT NULL), ';') AS motivo_retracao, f1, f2, f3 FROM f)"""
+_QUOTED = lambda values: ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+_FLAGGED = rf"""{CORPUS}, m AS (SELECT id, titulo || ' ' || coalesce([{_QUOTED(_PHRASES)}][CAST(id % 40 + 1 AS INTEGER)], '') AS t FROM corpus),
+f AS (SELECT id, t, id % 50 = 0 AS f1, regexp_matches(t, '(?i)(?:{"|".join(T.RETRACTION_MARKS).replace("'", "''")})') AS f2, id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS f3 FROM m),
+g AS (SELECT id, f1 OR f2 OR f3 AS flag_retratado, array_to_string(list_filter([CASE WHEN f1 THEN 'openalex' END, CASE WHEN f2 THEN 'keyword' END, CASE WHEN f3 THEN 'retraction_watch' END], lambda x: x IS NOT NULL), ';') AS motivo_retracao, f1, f2, f3, t FROM f)"""
 
 
 @query(f"WITH {_FLAGGED} SELECT id, flag_retratado, motivo_retracao FROM g")
@@ -168,17 +176,9 @@ def retraction_report(spark: SparkSession, d: str) -> DataFrame:
     return clean.retraction_report(_flagged(spark, d))
 
 
-# The queries named ..._whole run over whole tables, of which SQL's byte-wise functions agree on a part only; tests hold them against brute force.
-
-
-@query()
-def retraction_flags_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _flagged(spark, d, True).select("id", "flag_retratado", "motivo_retracao")
-
-
-@query()
-def retraction_report_whole(spark: SparkSession, d: str) -> DataFrame:
-    return clean.retraction_report(_flagged(spark, d, True))
+@query(f"WITH {_FLAGGED} SELECT id, t AS titulo, motivo_retracao FROM g WHERE flag_retratado ORDER BY id LIMIT 20")
+def retraction_sample(spark: SparkSession, d: str) -> DataFrame:
+    return clean.retraction_sample(_flagged(spark, d)).select("id", "titulo", "motivo_retracao")
 
 
 @query("SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -196,40 +196,52 @@ def scoring_estimate(spark: SparkSession, d: str) -> DataFrame:
     return clean.scoring_estimate(corpus(spark, d))
 
 
-@query("""SELECT CAST(doc_id AS VARCHAR) AS id, '10.1/' || doc_id AS doi, CAST(2000 + doc_id % 25 AS INTEGER) AS ano, coalesce(source, '') AS periodico_nome, 'S' || (doc_id % 9) AS periodico_source_id, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE CAST(n_chars AS INTEGER) END AS citacoes,
-  split_part(split_part(text, chr(10), 1), ' ', 1) AS abstract, doc_id % 5 = 0 AS is_retracted FROM documents""")
+@query("""WITH x AS (SELECT *, split_part(split_part(text, chr(10), 1), ' ', 1) AS word FROM documents)
+  SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 6 = 0 THEN '' ELSE '10.1/' || doc_id END AS doi, CASE WHEN doc_id % 4 = 0 THEN '' ELSE word END AS titulo, '{"' || word || '":[0]}' AS abstract_raw, word AS abstract,
+  CAST(2000 + doc_id % 25 AS INTEGER) AS ano, CASE WHEN doc_id % 2 = 0 THEN '' ELSE '2020-01-0' || (1 + doc_id % 9) END AS data_publicacao, coalesce(source, '') AS periodico_nome, 'S' || (doc_id % 9) AS periodico_source_id,
+  CASE WHEN doc_id % 3 = 0 THEN '1234-567' || (doc_id % 10) END AS periodico_issn_l, lang AS idioma, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE CAST(n_chars AS INTEGER) END AS citacoes, 'article' AS tipo_obra, doc_id % 5 = 0 AS is_retracted,
+  CASE WHEN doc_id % 8 = 0 THEN NULL ELSE '[{"author":{"id":"A' || doc_id || '","display_name":"N"},"author_position":"first","is_corresponding":true,"institutions":[{"id":"I1","country_code":"BR"}],"countries":["BR"]}]' END AS autores,
+  '["W' || (doc_id % 7) || '","W9"]' AS referencias, '["' || source || '"]' AS concepts, '2024-01-01' AS data_coleta FROM x""")
 def record_normalise(spark: SparkSession, d: str) -> DataFrame:
     c = corpus(spark, d)
-    word = F.split("titulo", " ")[0]
+    word, text = F.split("titulo", " ")[0], F.col("id").cast("string")
+    author = F.struct(
+        F.struct(F.concat(F.lit("A"), text).alias("id"), F.lit("N").alias("display_name")).alias("author"),
+        F.lit("first").alias("author_position"),
+        F.lit(True).alias("is_corresponding"),
+        F.array(F.struct(F.lit("I1").alias("id"), F.lit("BR").alias("country_code"))).alias("institutions"),
+        F.array(F.lit("BR")).alias("countries"),
+    )
     works = c.select(
-        F.concat(F.lit("https://example.org/"), F.col("id").cast("string")).alias("id"),
-        F.concat(F.lit("10.1/"), F.col("id").cast("string")).alias("doi"),
-        F.lit(None).cast("string").alias("title"),
+        F.concat(F.lit("https://example.org/"), text).alias("id"),
+        F.when(F.col("id") % 6 != 0, F.concat(F.lit("10.1/"), text)).alias("doi"),
+        F.when(F.col("id") % 4 != 0, word).alias("title"),
         F.create_map(word, F.array(F.lit(0))).alias("abstract_inverted_index"),
         F.col("ano").alias("publication_year"),
-        F.lit(None).cast("string").alias("publication_date"),
-        F.struct(F.struct(F.col("journal").alias("display_name"), F.concat(F.lit("https://example.org/S"), (F.col("id") % 9).cast("string")).alias("id"), F.lit(None).cast("string").alias("issn_l")).alias("source")).alias("primary_location"),
+        F.when(F.col("id") % 2 != 0, F.concat(F.lit("2020-01-0"), (1 + F.col("id") % 9).cast("string"))).alias("publication_date"),
+        F.struct(
+            F.struct(
+                F.col("journal").alias("display_name"),
+                F.concat(F.lit("https://example.org/S"), (F.col("id") % 9).cast("string")).alias("id"),
+                F.when(F.col("id") % 3 == 0, F.concat(F.lit("1234-567"), (F.col("id") % 10).cast("string"))).alias("issn_l"),
+            ).alias("source")
+        ).alias("primary_location"),
         F.col("idioma").alias("language"),
         F.when(F.col("id") % 4 != 0, F.col("citacoes")).alias("cited_by_count"),
         F.lit("article").alias("type"),
         F.when(F.col("id") % 5 == 0, True).alias("is_retracted"),
-        F.lit(None).cast(schemas.AUTHORSHIPS).alias("authorships"),
-        F.lit(None).cast("array<string>").alias("referenced_works"),
-        F.lit(None).cast("array<string>").alias("concepts"),
+        F.when(F.col("id") % 8 != 0, F.array(author)).cast(schemas.AUTHORSHIPS).alias("authorships"),
+        F.array(F.concat(F.lit("W"), (F.col("id") % 7).cast("string")), F.lit("W9")).alias("referenced_works"),
+        F.array("journal").alias("concepts"),
     )
-    return clean.records(works, "2024-01-01").select("id", "doi", "ano", "periodico_nome", "periodico_source_id", "citacoes", "abstract", "is_retracted")
+    return clean.records(works, "2024-01-01")
 
 
 # text
 
 
-@query(rf"WITH {ASCII} SELECT id, trim(regexp_replace(regexp_replace(lower(titulo), '[^a-z0-9_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS titulo_norm FROM ascii")
+@query(f"WITH {CORPUS} SELECT id, {NORMAL.format(t='titulo')} AS titulo_norm FROM corpus")
 def title_normalise(spark: SparkSession, d: str) -> DataFrame:
-    return ascii_titles(spark, d).select("id", T.normalise_title(F.col("titulo")).alias("titulo_norm"))
-
-
-@query()
-def title_normalise_whole(spark: SparkSession, d: str) -> DataFrame:
     return corpus(spark, d).select("id", T.normalise_title(F.col("titulo")).alias("titulo_norm"))
 
 
@@ -237,39 +249,32 @@ _MORE = " <b>x</b> [1, 2] (Smith) (TAM) (Smith & Jones, 2020) [3-5]"
 _AUTHOR = T.AUTHOR_CITATION.replace("'", "''")
 
 
-@query(rf"""WITH {ASCII}, a AS (SELECT id, titulo || '{_MORE}' AS t FROM ascii), b AS (SELECT id, regexp_replace(t, '<[^>]{{1,50}}>', ' ', 'g') AS t FROM a),
+@query(rf"""WITH {CORPUS}, a AS (SELECT id, nfc_normalize(titulo) || '{_MORE}' AS t FROM corpus), b AS (SELECT id, regexp_replace(t, '<[^>]{{1,50}}>', ' ', 'g') AS t FROM a),
   c AS (SELECT id, t AS t0, regexp_replace(t, '{T.NUMERIC_CITATION}', ' ', 'g') AS t FROM b),
   e AS (SELECT id, len(regexp_extract_all(t0, '{T.NUMERIC_CITATION}')) + len(regexp_extract_all(t, '{_AUTHOR}')) AS n, trim(regexp_replace(regexp_replace(t, '{_AUTHOR}', ' ', 'g'), '\s{{2,}}', ' ', 'g')) AS t FROM c)
-  SELECT id, CAST(n AS INTEGER) AS n_citacoes, t AS limpo, CAST(len(regexp_extract_all(t, '[A-Za-z0-9_]+')) AS INTEGER) AS n_palavras FROM e""")
+  SELECT id, CAST(n AS INTEGER) AS n_citacoes, t AS limpo, CAST(len(regexp_extract_all(t, '[\p{{L}}\p{{M}}\p{{N}}_]+')) AS INTEGER) AS n_palavras, CAST(len(regexp_extract_all(t, '[\p{{L}}\p{{M}}\p{{N}}_]+|\s|[^\p{{L}}\p{{M}}\p{{N}}_\s]')) AS INTEGER) AS n_pedacos FROM e""")
 def text_clean(spark: SparkSession, d: str) -> DataFrame:
-    return _cleaned(ascii_titles(spark, d))
-
-
-@query()
-def text_clean_whole(spark: SparkSession, d: str) -> DataFrame:
     return _cleaned(corpus(spark, d))
 
 
 def _cleaned(works: DataFrame) -> DataFrame:
     own = works.select("id", F.concat("titulo", F.lit(_MORE)).alias("t"))
     limpo = T.clean_text(F.col("t"))
-    return own.select("id", T.citations(F.col("t")).alias("n_citacoes"), limpo.alias("limpo"), T.count_words(limpo).alias("n_palavras"))
+    return own.select("id", T.citations(F.col("t")).alias("n_citacoes"), limpo.alias("limpo"), T.count_words(limpo).alias("n_palavras"), T.count_word_pieces(limpo).alias("n_pedacos"))
 
 
-@query(f"WITH {CORPUS} SELECT id, trim(titulo) AS rebuilt FROM corpus WHERE id % 3 = 0")
+@query("SELECT doc_id AS id, CASE WHEN len(string_split(text, ' ')) > 10001 THEN '' ELSE trim(text) END AS rebuilt FROM documents")
 def inverted_index_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    words = F.split("titulo", " ", -1)
-    entries = F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("k"), F.filter(F.transform(words, lambda x, i: F.when(x == w, i).otherwise(F.lit(-1))), lambda p: p >= 0).alias("v")))
-    own = corpus(spark, d).filter("id % 3 = 0").select("id", F.map_from_entries(entries).alias("index"))
-    return own.select("id", T.rebuild_abstract(F.col("index")).alias("rebuilt"))
-
-
-@query()
-def inverted_index_roundtrip_whole(spark: SparkSession, d: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 256)  # a batch's words are Python objects
     return corpus(spark, d).select("id", T.inverted_index(F.col("abstract")).alias("index")).select("id", T.rebuild_abstract(F.col("index")).alias("rebuilt"))
 
 
+@query(r"""WITH w AS (SELECT doc_id AS id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents) SELECT id, string_agg(w, ' ' ORDER BY i) AS rebuilt FROM w GROUP BY id""")
+def inverted_index_compact(spark: SparkSession, d: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 256)
+    return corpus(spark, d).select("id", T.inverted_index(F.col("abstract")).alias("index")).select("id", T.rebuild_abstract_compact(F.col("index")).alias("rebuilt"))
+
+
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 _TOKENS = rf"""{CORPUS}, tok AS (SELECT id, journal, CASE WHEN length(abstract) >= 10 THEN list_filter(string_split_regex(regexp_replace(lower(abstract), '[^{T.TOKEN_LETTERS}\s]', ' ', 'g'), '\s+'),
   lambda w: length(w) >= 3 AND NOT regexp_full_match(w, '[0-9]+') AND w NOT IN ({_STOP})) ELSE [] END AS t FROM corpus),
@@ -287,43 +292,42 @@ def ngrams_tfidf(spark: SparkSession, d: str) -> DataFrame:
     return own.withColumns({x: F.round(x, 6) for x in ("freq_global", "idf", "tfidf_medio")})
 
 
-@query(f"""WITH {_TOKENS}, v AS (SELECT term FROM terms GROUP BY term HAVING count(*) >= 20), k AS (SELECT term, journal, count(*) AS n FROM terms WHERE term IN (SELECT term FROM v) GROUP BY 1, 2)
+@query(f"""WITH {_TOKENS}, v AS (SELECT term FROM terms GROUP BY term HAVING count(*) >= 5), k AS (SELECT term, journal, count(*) AS n FROM terms WHERE term IN (SELECT term FROM v) GROUP BY 1, 2)
   SELECT term, array_to_string(list_sort(list(journal || ':' || n)), ';') AS freq_por_cluster FROM k GROUP BY term""")
 def term_cluster_freq(spark: SparkSession, d: str) -> DataFrame:
     c = corpus(spark, d)
     own = stored(terms.document_terms(c, "abstract"), "terms")
-    often = own.groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter("n >= 20").select("term")
-    return terms.by_cluster(own.join(often, "term", "left_semi"), c.select("id", F.col("journal").alias("cluster")))
+    return terms.by_cluster(own.join(_often(own), "term", "left_semi"), c.select("id", F.col("journal").alias("cluster")))
 
 
-def _often(own: DataFrame) -> DataFrame:
-    """Terms in as many documents as the reference asks for."""
-    return own.groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter("n >= 5").select("term")
+def _often(own: DataFrame, floor: int = 5) -> DataFrame:
+    """Terms in as many documents as the floor says (five is usual)."""
+    return own.groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= floor).select("term")
 
 
-@query()
-def term_cluster_freq_whole(spark: SparkSession, d: str) -> DataFrame:
+def _pmi_sql(floor: int) -> str:
+    return f"""WITH {_TOKENS}, v AS (SELECT term, count(*) AS df FROM terms GROUP BY term HAVING count(*) >= {floor}), u AS (SELECT id, t.term, df FROM terms t JOIN v USING (term)),
+  p AS (SELECT x.term AS a, y.term AS b, count(*) AS n, any_value(x.df) AS da, any_value(y.df) AS db FROM u x JOIN u y ON x.id = y.id AND x.term < y.term GROUP BY 1, 2 HAVING count(*) >= 5),
+  q AS (SELECT *, log2(n * CAST((SELECT count(*) FROM documents) AS DOUBLE) / (da * db)) AS pmi, -log2(greatest(n / CAST((SELECT count(*) FROM documents) AS DOUBLE), 1e-12)) AS h FROM p)
+  SELECT a, b, round(pmi / h, 5) AS weight, round(pmi, 5) AS pmi, n AS n_co_artigos FROM q WHERE pmi >= 0.5 AND pmi / h > 0"""
+
+
+def _pmi(spark: SparkSession, d: str, floor: int) -> DataFrame:
     c = corpus(spark, d)
     own = stored(terms.document_terms(c, "abstract"), "terms")
-    return terms.by_cluster(own.join(_often(own), "term", "left_semi"), c.select("id", F.col("journal").alias("cluster")))
+    return terms.cooccurrence(own, _often(own, floor), c.count()).select("a", "b", F.round("weight", 5).alias("weight"), F.round("pmi", 5).alias("pmi"), "n_co_artigos")
 
 
-@query(f"""WITH {_TOKENS}, v AS (SELECT term, count(*) AS df FROM terms GROUP BY term HAVING count(*) >= 60), u AS (SELECT id, t.term, df FROM terms t JOIN v USING (term)),
-  p AS (SELECT x.term AS a, y.term AS b, count(*) AS n, any_value(x.df) AS da, any_value(y.df) AS db FROM u x JOIN u y ON x.id = y.id AND x.term < y.term GROUP BY 1, 2 HAVING count(*) >= 5),
-  q AS (SELECT *, log2(n * CAST((SELECT count(*) FROM documents) AS DOUBLE) / (da * db)) AS pmi, -log2(greatest(n / CAST((SELECT count(*) FROM documents) AS DOUBLE), 1e-12)) AS h FROM p)
-  SELECT a, b, round(pmi / h, 5) AS weight, round(pmi, 5) AS pmi, n AS n_co_artigos FROM q WHERE pmi >= 0.5 AND pmi / h > 0""")
+@query(_pmi_sql(5))
 def term_pmi(spark: SparkSession, d: str) -> DataFrame:
-    c = corpus(spark, d)
-    own = stored(terms.document_terms(c, "abstract"), "terms")
-    often = own.groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter("n >= 60").select("term")
-    return terms.cooccurrence(own, often, c.count()).select("a", "b", F.round("weight", 5).alias("weight"), F.round("pmi", 5).alias("pmi"), "n_co_artigos")
+    """Every term of five documents or more, the usual floor."""
+    return _pmi(spark, d, 5)
 
 
-@query()
-def term_pmi_whole(spark: SparkSession, d: str) -> DataFrame:
-    c = corpus(spark, d)
-    own = stored(terms.document_terms(c, "abstract"), "terms")
-    return terms.cooccurrence(own, _often(own), c.count()).select("a", "b", F.round("weight", 5).alias("weight"), F.round("pmi", 5).alias("pmi"), "n_co_artigos")
+@query(_pmi_sql(60))
+def term_pmi_common(spark: SparkSession, d: str) -> DataFrame:
+    """The network of common terms, of sixty documents or more."""
+    return _pmi(spark, d, 60)
 
 
 @query(f"""WITH {_TOKENS}, g AS (SELECT term, count(*) FILTER (journal = 'src0') AS n_one, count(*) FILTER (journal = 'src1') AS n_other FROM terms GROUP BY 1)
@@ -339,14 +343,8 @@ _PATTERN_SQL = "(?i)(?:" + "|".join(_PATTERNS).replace("'", "''") + ")"
 
 
 @query(rf"""SELECT conv_id, turn, array_to_string(list_slice(list_sort(list_distinct(list_transform(regexp_extract_all(role || chr(10) || text, '{_PATTERN_SQL}'), lambda x: lower(trim(x))))), 1, 5), '; ') AS motivo
-  FROM conversations WHERE regexp_full_match(text, '[\x09\x0A\x0D -~]*')""")
+  FROM conversations""")
 def injection_flags(spark: SparkSession, d: str) -> DataFrame:
-    own = table(spark, d, "conversations").filter(F.col("text").rlike(r"\A[\x09\x0A\x0D -~]*\z"))
-    return _injections(own)
-
-
-@query()
-def injection_flags_whole(spark: SparkSession, d: str) -> DataFrame:
     return _injections(table(spark, d, "conversations"))
 
 
@@ -402,7 +400,7 @@ def score_normalise_entropy(spark: SparkSession, d: str) -> DataFrame:
     own, s = _normal(spark, d)
     given = F.when(F.col("id") % 3 == 0, "law").when(F.col("id") % 3 == 1, "xx")
     label, fell = S.primary_label(given, s, S.CLUSTERS)
-    return own.select("id", *(F.round(c, 6).alias(f"s{i}") for i, c in enumerate(s)), F.round(S.entropy(s), 6).alias("entropia"), (F.round(S.gap(s), 9) < S.DELTA).alias("fronteira"), label.alias("primario"), fell.alias("fallback"))
+    return own.select("id", *(F.round(c, 6).alias(f"s{i}") for i, c in enumerate(s)), F.round(S.entropy(s), 6).alias("entropia"), S.at_frontier(s).alias("fronteira"), label.alias("primario"), fell.alias("fallback"))
 
 
 _E = [f"least(1.0, greatest(0.0, CAST(((doc_id * {i + 5}) % 13) - 1 AS DOUBLE) / 10.0))" for i in range(3)]
@@ -413,8 +411,7 @@ _H = [f"CASE WHEN e{i} > 0 AND e{i} < 1 THEN -(e{i} * log2(e{i}) + (1 - e{i}) *
   round(abs(e0 - 0.5), 9) < 0.15 OR round(abs(e1 - 0.5), 9) < 0.15 OR round(abs(e2 - 0.5), 9) < 0.15 AS fronteira, CAST(e0 >= 0.5 AS INTEGER) AS b0 FROM x""")
 def epi_uncertainty(spark: SparkSession, d: str) -> DataFrame:
     e = [S.clipped((((F.col("id") * (i + 5)) % 13) - 1).cast("double") / 10) for i in range(3)]
-    near = F.exists(F.array(*(F.round(F.abs(x - 0.5), 9) for x in e)), lambda v: v < S.DELTA)
-    return corpus(spark, d).select("id", F.round(S.uncertainty(e), 6).alias("incerteza"), near.alias("fronteira"), (e[0] >= 0.5).cast("int").alias("b0"))
+    return corpus(spark, d).select("id", F.round(S.uncertainty(e), 6).alias("incerteza"), S.flags_at_frontier(e).alias("fronteira"), (e[0] >= 0.5).cast("int").alias("b0"))
 
 
 @query("""SELECT doc_id AS id, CASE WHEN quality = 1 AND toxic = 1 THEN 'mixed' WHEN quality = 1 THEN 'positivista' WHEN toxic = 1 THEN 'interpretativa' ELSE 'nenhuma' END AS orientacao_proeminente,
@@ -678,27 +675,56 @@ def components(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _weighted(spark: SparkSession, d: str) -> DataFrame:
-    return stored(networks.cocitation(citations(spark, d), 3), "edges")
+    """Authors joined by far more works than usual: two standard deviations above the mean pair, or else the most of all."""
+    pairs = stored(coauthorship_edges(spark, d).select(F.col("author_a").alias("x"), F.col("author_b").alias("y"), F.col("weight").alias("n_co_artigos")), "pairs")
+    usual = pairs.agg(F.least(F.max("n_co_artigos").cast("double"), F.avg("n_co_artigos") + 2 * F.stddev_pop("n_co_artigos")).alias("least")).first().least
+    return stored(graph.weighted(pairs.filter(F.col("n_co_artigos") >= (usual or 0.0)), "x", "y"), "edges")
 
 
-@query()
+_NETWORK = f"""p AS ({pair_sql("l_orderkey", "l_suppkey")}), e AS (SELECT * FROM p WHERE weight >= (SELECT least(CAST(max(weight) AS DOUBLE), avg(weight) + 2 * stddev_pop(weight)) FROM p)),
+w AS (SELECT a AS u, b AS v, CAST(weight AS DOUBLE) AS w FROM e UNION ALL SELECT b, a, CAST(weight AS DOUBLE) FROM e), nodes AS (SELECT DISTINCT u AS node FROM w)"""
+#: Steps of the iterations in SQL: walks, distances and cores on these graphs settle well before.
+_STEPS, _HOPS = 400, 24
+
+
+@query(f"""WITH RECURSIVE {_NETWORK}, o AS (SELECT u, v, w / sum(w) OVER (PARTITION BY u) AS share FROM w), n AS (SELECT count(*) AS n FROM nodes),
+  r AS (SELECT node, CAST(1.0 AS DOUBLE) / n AS r, 0 AS i FROM nodes, n UNION ALL SELECT o.v, any_value(CAST(0.15 AS DOUBLE) / n.n) + CAST(0.85 AS DOUBLE) * sum(r.r * o.share), r.i + 1 FROM r JOIN o ON o.u = r.node, n WHERE r.i < 150 GROUP BY o.v, r.i)
+  SELECT node, round(r, 6) AS pagerank FROM r WHERE i = 150""")
 def pagerank(spark: SparkSession, d: str) -> DataFrame:
-    return graph.pagerank(_weighted(spark, d))
+    return graph.pagerank(_weighted(spark, d)).select("node", F.round("pagerank", 6).alias("pagerank"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_NETWORK}, c AS (SELECT u AS node, count(*) AS core, 0 AS i FROM w GROUP BY 1
+  UNION ALL SELECT u, max(least(core, place)), i + 1 FROM (SELECT w.u, c.core, c.i, row_number() OVER (PARTITION BY w.u, c.i ORDER BY c.core DESC) AS place FROM c JOIN w ON w.v = c.node WHERE c.i < {_HOPS}) GROUP BY u, i)
+  SELECT node, core AS coreness FROM c WHERE i = {_HOPS}""")
 def kcore(spark: SparkSession, d: str) -> DataFrame:
     return graph.coreness(_weighted(spark, d))
 
 
-@query()
+_REACH = f"""reach AS (SELECT node, node AS to_ FROM nodes UNION SELECT reach.node, w.v FROM reach JOIN w ON reach.to_ = w.u), comp AS (SELECT node, min(to_) AS component FROM reach GROUP BY 1),
+big AS (SELECT component FROM comp GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1), lcc AS (SELECT node FROM comp WHERE component = (SELECT component FROM big))"""
+
+
+@query(f"""WITH RECURSIVE {_NETWORK}, {_REACH}, x AS (SELECT node, CAST(1.0 AS DOUBLE) AS x, 0 AS i FROM lcc
+  UNION ALL SELECT node, y / max(y) OVER (PARTITION BY i), i + 1 FROM (SELECT l.u AS node, x.i, sum(x.x * l.w) AS y FROM x JOIN (SELECT u, v, w FROM w UNION ALL SELECT node, node, CAST(1.0 AS DOUBLE) FROM lcc) l ON l.v = x.node WHERE x.i < {_STEPS} GROUP BY 1, 2))
+  SELECT node, round(x, 4) AS eigenvector FROM x WHERE i = {_STEPS}""")
 def eigenvector(spark: SparkSession, d: str) -> DataFrame:
-    return graph.eigenvector(_weighted(spark, d))
+    return graph.eigenvector(_weighted(spark, d)).select("node", F.round("eigenvector", 4).alias("eigenvector"))
 
 
-@query()
+_DISTANCE = f"""dist AS (SELECT node AS s, node AS v, CAST(0.0 AS DOUBLE) AS d, 0 AS i FROM nodes
+  UNION ALL SELECT dist.s, l.v, min(dist.d + l.c), dist.i + 1 FROM dist JOIN (SELECT u, v, 1 / w AS c FROM w UNION ALL SELECT node, node, 0.0 FROM nodes) l ON l.u = dist.v WHERE dist.i < {_HOPS} GROUP BY dist.s, l.v, dist.i),
+far AS (SELECT s, v, d FROM dist WHERE i = {_HOPS})"""
+
+
+@query(f"""WITH RECURSIVE {_NETWORK}, {_DISTANCE}, walk AS (SELECT node AS s, node AS v FROM nodes UNION ALL SELECT walk.s, w.v FROM walk JOIN w ON w.u = walk.v JOIN far f ON f.s = walk.s AND f.v = walk.v JOIN far g ON g.s = walk.s AND g.v = w.v WHERE abs(f.d + 1 / w.w - g.d) <= 1e-12),
+  n AS (SELECT s, v, count(*) AS n FROM walk GROUP BY 1, 2), k AS (SELECT far.s, far.v, d, n FROM far JOIN n ON n.s = far.s AND n.v = far.v),
+  b AS (SELECT x.v AS node, sum(CAST(x.n * y.n AS DOUBLE) / z.n) / 2 AS b FROM k x JOIN k y ON y.s = x.v JOIN k z ON z.s = x.s AND z.v = y.v WHERE x.s <> x.v AND y.v <> x.v AND x.s <> y.v AND abs(x.d + y.d - z.d) <= 1e-12 GROUP BY 1), m AS (SELECT count(*) AS m FROM nodes)
+  SELECT t.node, round(coalesce(b, 0.0) / greatest(1.0, (m - 1) * (m - 2) / 2.0), 6) AS betweenness, round(1 / total, 6) AS closeness, round(farthest, 6) AS farthest, round(total, 6) AS total_distance
+  FROM (SELECT s AS node, sum(d) AS total, max(d) AS farthest FROM far GROUP BY 1) t LEFT JOIN b ON b.node = t.node, m""")
 def betweenness_closeness(spark: SparkSession, d: str) -> DataFrame:
-    return graph.path_measures(_weighted(spark, d))
+    out = graph.path_measures(_weighted(spark, d))
+    return out.select("node", *(F.round(c, 6).alias(c) for c in ("betweenness", "closeness", "farthest", "total_distance")))
 
 
 @query()
@@ -706,20 +732,25 @@ def louvain(spark: SparkSession, d: str) -> DataFrame:
     return graph.communities(_weighted(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_NETWORK}, {_REACH}, {_DISTANCE}, deg AS (SELECT u AS node, count(*) AS degree FROM w GROUP BY 1), k AS (SELECT degree AS x, row_number() OVER (ORDER BY degree) AS i, count(*) OVER () AS n FROM deg),
+  inside AS (SELECT sum(d) AS total, max(d) AS farthest, count(*) AS n FROM far WHERE s IN (SELECT node FROM lcc) AND s <> v)
+  SELECT 'coautoria' AS rede, 'ok' AS status, (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM e) AS n_edges, (SELECT round(sum(degree) / (CAST(count(*) AS DOUBLE) * (count(*) - 1)), 6) FROM deg) AS density, (SELECT round(avg(degree), 3) FROM deg) AS mean_degree, (SELECT max(degree) FROM deg) AS max_degree,
+  CAST(0 AS BIGINT) AS n_isolated, (SELECT round(2.0 * sum(i * x) / (max(n) * sum(x)) - (max(n) + 1.0) / max(n), 4) FROM k) AS gini,
+  (SELECT round(3.0 * (SELECT count(*) FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b) / sum(degree * (degree - 1) / 2), 4) FROM deg) AS transitivity, (SELECT round(corr(x.degree, y.degree), 4) FROM w JOIN deg x ON x.node = u JOIN deg y ON y.node = v) AS assortativity,
+  (SELECT count(DISTINCT component) FROM comp) AS n_components, (SELECT count(*) FROM lcc) AS lcc_nodes, round(100.0 * (SELECT count(*) FROM lcc) / (SELECT count(*) FROM nodes), 1) AS lcc_pct, (SELECT round(total / n, 4) FROM inside) AS mean_path, (SELECT round(farthest, 2) FROM inside) AS diameter""")
 def network_report(spark: SparkSession, d: str) -> DataFrame:
-    return graph.report("cocitacao", _weighted(spark, d))
+    return graph.report(spark, "coautoria", _weighted(spark, d)).drop("modularity")
 
 
 # fuzzy duplicates
 
 
-def _titles(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return (corpus if whole else ascii_titles)(spark, d).withColumn("titulo_norm", T.normalise_title(F.col("titulo")))
+def _titles(spark: SparkSession, d: str) -> DataFrame:
+    return corpus(spark, d).withColumn("titulo_norm", T.normalise_title(F.col("titulo")))
 
 
-_TITLES = rf"{ASCII}, n AS (SELECT id, ano, citacoes, trim(regexp_replace(regexp_replace(lower(titulo), '[^a-z0-9_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM ascii), y AS (SELECT DISTINCT ano AS k FROM n WHERE t <> ''), \
-b AS (SELECT id, t, k FROM n JOIN y ON k BETWEEN ano - 1 AND ano + 1 WHERE t <> ''), p AS (SELECT DISTINCT u.id AS a, v.id AS b, jaro_winkler_similarity(u.t, v.t) AS s FROM b u JOIN b v ON u.k = v.k AND u.id < v.id WHERE jaro_winkler_similarity(u.t, v.t) >= 0.92)".replace("\\\n", "\n")
+_TITLES = f"""{CORPUS}, n AS (SELECT id, ano, citacoes, {ONE_BYTE.format(t=NORMAL.format(t="titulo"))} AS t FROM corpus), y AS (SELECT DISTINCT ano AS k FROM n WHERE t <> ''),
+b AS (SELECT id, t, k FROM n JOIN y ON k BETWEEN ano - 1 AND ano + 1 WHERE t <> ''), p AS (SELECT DISTINCT u.id AS a, v.id AS b, jaro_winkler_similarity(u.t, v.t) AS s FROM b u JOIN b v ON u.k = v.k AND u.id < v.id WHERE jaro_winkler_similarity(u.t, v.t) >= 0.92)"""
 
 
 @query(f"WITH {_TITLES} SELECT a, b, round(s, 6) AS similarity FROM p")
@@ -727,23 +758,6 @@ def fuzzy_pairs(spark: SparkSession, d: str) -> DataFrame:
     return dedup.fuzzy_pairs(_titles(spark, d)).withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
-def fuzzy_pairs_whole(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.fuzzy_pairs(_titles(spark, d, True)).withColumn("similarity", F.round("similarity", 6))
-
-
-@query()
-def dedup_groups_whole(spark: SparkSession, d: str) -> DataFrame:
-    own = _titles(spark, d, True)
-    return dedup.duplicate_groups(own, dedup.fuzzy_pairs(own))
-
-
-@query()
-def dedup_marks_whole(spark: SparkSession, d: str) -> DataFrame:
-    own = _titles(spark, d, True)
-    return dedup.mark_duplicates(own, dedup.duplicate_groups(own, dedup.fuzzy_pairs(own))).select("id", "dedup_grupo", "dedup_motivo")
-
-
 @query(f"""WITH RECURSIVE {_TITLES}, w AS (SELECT a AS u, b AS v FROM p UNION SELECT b, a FROM p), r AS (SELECT u AS id, u AS reach FROM w UNION SELECT r.id, w.v FROM r JOIN w ON r.reach = w.u), c AS (SELECT id, min(reach) AS component FROM r GROUP BY 1),
   k AS (SELECT c.id, component, first_value(c.id) OVER (PARTITION BY component ORDER BY citacoes DESC NULLS LAST, ano, c.id) AS representative FROM c JOIN n ON n.id = c.id) SELECT id, component, representative FROM k""")
 def dedup_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -797,7 +811,30 @@ def export_join(spark: SparkSession, d: str) -> DataFrame:
     return export.classified(predictions, corpus(spark, d).select("id", F.col("journal").alias("periodico_nome"), "ano"))
 
 
-_ROWS = ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" for v in row) + ")" for row in export.dictionary_rows())
+#: The export's data dictionary, as it must be.
+_ROWS = """
+  ('id', 'string', '', 'identifier of the work'),
+  ('doi', 'string', '', 'DOI, if it has one'),
+  ('periodico_nome', 'string', '', 'journal'),
+  ('ano', 'int', '2000-2024', 'year of publication'),
+  ('cluster_primario_pred', 'string', 'si|ps|sts|law|pa|bcs', 'most probable cluster'),
+  ('cluster_certeza', 'double', '0-1', 'its probability'),
+  ('cluster_secundario_pred', 'string', 'si|ps|sts|law|pa|bcs', 'runner-up, if it is close'),
+  ('cluster_si_prob', 'double', '0-1', 'probability of cluster si'),
+  ('cluster_ps_prob', 'double', '0-1', 'probability of cluster ps'),
+  ('cluster_sts_prob', 'double', '0-1', 'probability of cluster sts'),
+  ('cluster_law_prob', 'double', '0-1', 'probability of cluster law'),
+  ('cluster_pa_prob', 'double', '0-1', 'probability of cluster pa'),
+  ('cluster_bcs_prob', 'double', '0-1', 'probability of cluster bcs'),
+  ('epi_positivista_pred', 'int', '0|1', 'flag epi_positivista'),
+  ('epi_interpretativa_pred', 'int', '0|1', 'flag epi_interpretativa'),
+  ('epi_doutrinario_normativa_pred', 'int', '0|1', 'flag epi_doutrinario_normativa'),
+  ('epi_positivista_prob', 'double', '0-1', 'probability of epi_positivista'),
+  ('epi_interpretativa_prob', 'double', '0-1', 'probability of epi_interpretativa'),
+  ('epi_doutrinario_normativa_prob', 'double', '0-1', 'probability of epi_doutrinario_normativa'),
+  ('orientacao_proeminente', 'string', 'positivista|interpretativa|mixed|nenhuma', 'derived from the first axis'),
+  ('inconclusiva', 'int', '0|1', '1 if all flags are 0'),
+  ('epi_certeza', 'double', '0-1', 'mean distance of the flags'' probabilities from 0.5')"""
 
 
 @query(f"SELECT * FROM (VALUES {_ROWS}) AS t(coluna, tipo, valores, descricao)")
@@ -807,10 +844,11 @@ def data_dictionary(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH t AS (SELECT vec_id, i, embedding[i * 8 + 1] AS v FROM embeddings, (SELECT unnest(range(8)) AS i) WHERE (vec_id + i) % 3 <> 0) SELECT vec_id, round(avg(CAST(v AS DOUBLE)), 5) AS first_pooled, CAST(count(*) AS INTEGER) AS n_tokens FROM t GROUP BY 1""")
 def embedding_meanpool(spark: SparkSession, d: str) -> DataFrame:
-    own = table(spark, d, "embeddings")
-    keep = F.filter(F.sequence(F.lit(0), F.lit(7)), lambda i: (F.col("vec_id") + i) % 3 != 0)
-    total = F.aggregate(keep, F.lit(0.0), lambda acc, i: acc + F.element_at("embedding", i * 8 + 1).cast("double"))
-    return own.select("vec_id", F.round(total / F.size(keep), 5).alias("first_pooled"), F.size(keep).alias("n_tokens"))
+    places = F.sequence(F.lit(0), F.lit(7))
+    tokens = F.transform(places, lambda i: F.slice("embedding", i * 8 + 1, F.lit(8)))
+    mask = F.transform(places, lambda i: ((F.col("vec_id") + i) % 3 != 0).cast("int"))
+    own = table(spark, d, "embeddings").select("vec_id", tokens.alias("tokens"), mask.alias("mask"))
+    return own.select("vec_id", F.round(models.mean_pool(F.col("tokens"), F.col("mask"))[0], 5).alias("first_pooled"), F.aggregate("mask", F.lit(0), lambda a, m: a + m).alias("n_tokens"))
 
 
 @query()

@@ -22,11 +22,10 @@ CORPUS = """corpus AS (SELECT doc_id AS id, text AS abstract, lang AS idioma, so
   CAST(2000 + doc_id % 25 AS INTEGER) AS ano, split_part(text, chr(10), 1) AS titulo FROM documents)"""
 
 
-def ascii_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus(spark, sf_dir).filter(F.col("titulo").rlike("^[ -~]+$"))
-
-
-ASCII = CORPUS + ", ascii AS (SELECT * FROM corpus WHERE regexp_full_match(titulo, '[ -~]+'))"
+#: A normalised title in SQL, of the column or expression t.
+NORMAL = r"trim(regexp_replace(regexp_replace(lower(nfc_normalize({t})), '[^\p{{L}}\p{{M}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+#: DuckDB compares bytes; normalised titles have no capitals and no marks, so these stand in one to one for letters of two bytes.
+ONE_BYTE = "translate({t}, 'ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&*')"
 
 
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:

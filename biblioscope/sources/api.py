@@ -6,8 +6,11 @@ import json
 import time
 import urllib.parse
 import urllib.request
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "source_id string, work string"
@@ -39,6 +42,53 @@ def pages(base: str, source: str, years: tuple[int, int], kinds: str, fetch: Cal
         cursor = (page.get("meta") or {}).get("next_cursor") if page.get("results") else None
 
 
+#: Works of one download at most, seconds between its requests.
+MOST_WORKS, PAUSE = 2000, 0.1
+
+
+def abstracts(base: str, dois: Sequence[str] | None = None, where: str = "", most: int = MOST_WORKS, fetch: Callable[[str], dict] = fetch_url, sleep: Callable[[float], None] = time.sleep) -> Iterator[dict]:
+    """Works of a list of DOIs, or else of a filter, that have an abstract, `most` at most; a pause follows each request."""
+    seen = 0
+    for doi in dois if dois is not None else ():
+        page = fetch(f"{base}?{urllib.parse.urlencode({'filter': f'doi:{doi.strip().lower()}', 'select': FIELDS})}")
+        sleep(PAUSE)
+        for work in page.get("results", []):
+            if work.get("abstract_inverted_index") and seen < most:
+                seen += 1
+                yield work
+    cursor = "*" if dois is None else None
+    while cursor and seen < most:
+        page = fetch(f"{base}?{urllib.parse.urlencode({'filter': where, 'select': FIELDS, 'per-page': PER_PAGE, 'cursor': cursor})}")
+        sleep(PAUSE)
+        for work in page.get("results", []):
+            if work.get("abstract_inverted_index") and seen < most:
+                seen += 1
+                yield work
+        cursor = (page.get("meta") or {}).get("next_cursor") if page.get("results") else None
+
+
+def collect(spark: SparkSession, sources: Sequence[str], path: str, read: Callable[[list[str]], DataFrame], every: int = 5) -> DataFrame:
+    """Collects the works of the sources, `every` of them at a time, into a table at path that other runs go on with.
+
+    Each group is appended with its sources marked as done, so a run that ends early loses the group it was at, no more;
+    sources that are done aren't read again. A mark without works is kept for sources that have none. Returns rows (source_id, work)."""
+    schema = f"{SCHEMA}, done boolean"
+    try:
+        done = {r.source_id for r in spark.read.schema(schema).parquet(path).filter("done").select("source_id").distinct().collect()}
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        done = set()
+    rest = [s for s in dict.fromkeys(sources) if s not in done]
+    for k in range(0, len(rest), every):
+        own = rest[k : k + every]
+        marks = spark.createDataFrame([(s, None, True) for s in own], schema)
+        read(own).select("source_id", "work", F.lit(False).alias("done")).unionByName(marks).write.mode("append").parquet(path)
+    if not rest and not done:
+        return spark.createDataFrame([], SCHEMA)
+    return spark.read.schema(schema).parquet(path).filter("not done").select("source_id", "work")
+
+
 class OneSource(InputPartition):
     def __init__(self, source: str) -> None:
         super().__init__(source)

@@ -79,6 +79,32 @@ def read_matrix(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
     return spark.createDataFrame([(n, v.astype(float).tolist()) for n, v in zip(names, own, strict=True)], "doc_id string, embedding array<double>")
 
 
+def write_matrix(df: DataFrame, path: str, order: str = "doc_id", vector: str = "embedding") -> tuple[int, int]:
+    """The vectors as a .npy matrix of float32, rows by `order`; they stream through the driver, one partition at a time. Returns its shape."""
+    n = df.count()
+    wide = len(df.select(vector).first()[0]) if n else 0
+    out = np.lib.format.open_memmap(path, mode="w+", dtype=np.float32, shape=(n, wide)) if n else None
+    if out is None:
+        np.save(path, np.zeros((0, 0), np.float32))
+        return 0, 0
+    for k, row in enumerate(df.select(order, vector).orderBy(order).toLocalIterator()):
+        out[k] = row[1]
+    out.flush()
+    return n, wide
+
+
+def write_checked(df: DataFrame, path: str, schema: str) -> DataFrame:
+    """Writes df as Parquet after its columns and types are held against the schema; other or missing ones are an error. Returns the table as read."""
+    want = StructType.fromDDL(schema)
+    have = {f.name: f.dataType for f in df.schema.fields}
+    wrong = [f"{f.name}: {have.get(f.name, None) and have[f.name].simpleString()} instead of {f.dataType.simpleString()}" for f in want.fields if have.get(f.name) != f.dataType]
+    wrong += [f"{n} isn't in the schema" for n in have if n not in want.fieldNames()]
+    if wrong:
+        raise TypeError("; ".join(wrong))
+    df.select(*want.fieldNames()).write.mode("overwrite").option("compression", "snappy").parquet(path)
+    return df.sparkSession.read.schema(want).parquet(path)
+
+
 def appended(df: DataFrame, path: str) -> None:
     """Adds rows to a table; rows already there stay."""
     df.write.mode("append").parquet(path)

@@ -6,6 +6,8 @@ import contextlib
 import fcntl
 import hashlib
 import json
+import logging
+import logging.handlers
 import os
 import time
 from collections.abc import Iterator
@@ -82,6 +84,22 @@ def register(registry: str | Path, name: str, entry: dict) -> dict:
     return known
 
 
+def logger(name: str, folder: str | Path | None = None, level: int = logging.INFO, keep: int = 5) -> logging.Logger:
+    """A logger to the console and, with a folder, to a file there that is rotated at 5 MB; asked for again it stays one."""
+    own = logging.getLogger(name)
+    own.setLevel(level)
+    if not own.handlers:
+        form = logging.Formatter("%(asctime)s %(levelname)s %(name)s: %(message)s")
+        handlers: list[logging.Handler] = [logging.StreamHandler()]
+        if folder:
+            Path(folder).mkdir(parents=True, exist_ok=True)
+            handlers.append(logging.handlers.RotatingFileHandler(Path(folder) / f"{name}.log", maxBytes=5_000_000, backupCount=keep, encoding="utf-8"))
+        for handler in handlers:
+            handler.setFormatter(form)
+            own.addHandler(handler)
+    return own
+
+
 def write_registered(df: DataFrame, path: str, registry: str | Path, script: str) -> str:
     """Writes df as Parquet, registers its digest, rows and columns, and returns the digest."""
     df.write.mode("overwrite").option("compression", "snappy").parquet(path)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from biblioscope.llm import decontaminate, near_dedup, packing, pii, toxicity
@@ -11,11 +13,18 @@ from biblioscope.llm.common import small_batches, table
 from biblioscope.storage import passing, stored
 
 
+def _beside(docs: DataFrame, name: str, operator: Callable[[DataFrame], DataFrame], condition: Column) -> DataFrame:
+    """Rows of docs for which the operator's column `name` meets the condition; a column of docs that has this name stays as it is."""
+    own = docs.withColumnRenamed(name, f"_own_{name}") if name in docs.columns else docs
+    kept = operator(own).filter(condition).drop(name)
+    return kept.withColumnRenamed(f"_own_{name}", name).select(*docs.columns)
+
+
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold; the score learns from documents and labels of sf_dir."""
     small_batches(spark)
     model = toxicity.model(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity.apply(docs, model).filter(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    return _beside(docs, "score", lambda own: toxicity.apply(own, model), F.col("score") < toxicity.THRESHOLD)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +41,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a copy of a benchmark item."""
     small_batches(spark)
-    return decontaminate.annotate(docs, table(spark, sf_dir, "benchmark")).filter(F.size("matches") == 0).select(*docs.columns)
+    return _beside(docs, "matches", lambda own: decontaminate.annotate(own, table(spark, sf_dir, "benchmark")), F.size("matches") == 0)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -200,7 +200,10 @@ def test_graph(spark, path):
     groups = {r.node: r.community for r in graph.communities(two).collect()}
     assert len(set(groups.values())) == 2 and all(groups[f"{g}{i}"] == groups[f"{g}0"] for g in "pq" for i in range(4))
     assert graph.modularity(two, graph.communities(two).select("node", "community")).first().modularity > 0.45
-    assert graph.report("n", two).first().n_components == 1 and graph.report("n", two.limit(0)).first().status == "sem_arestas"
+    assert graph.report(spark, "n", two).first().n_components == 1
+    gone = {s: graph.report(spark, "n", e).first() for s, e in (("vazia", two.limit(0)), ("arquivo_ausente", None), ("sem_arestas", spark.createDataFrame([("x", "x", 1.0)], "a string, b string, weight double")))}
+    assert all(r.status == s and len(r) == len(graph.report(spark, "n", two).columns) and r.gini is None for s, r in gone.items())
+    assert (gone["vazia"].n_nodes, gone["arquivo_ausente"].n_nodes, gone["sem_arestas"].n_nodes, gone["sem_arestas"].n_edges) == (0, None, 1, 0)
     assert graph.components(path.limit(0)).count() == 0
 
 
@@ -263,7 +266,46 @@ def test_agreement(spark):
     flags = spark.createDataFrame([("1", 1), ("1", 1), ("2", 0), ("2", 1), ("3", 0), ("3", 0), ("4", 1)], "item string, value int")
     nominal = agreement.coefficients(flags.withColumn("category", F.col("value").cast("string"))).first().alpha
     assert agreement.interval_alpha(flags).first().alpha == pytest.approx(nominal)
-    assert one(spark, agreement.two_sided(F.col("z")), z=1.959963984540054) == pytest.approx(0.05, abs=1e-6)
+    assert agreement.student_quantile(0.05, 99) == pytest.approx(1.9842169515, abs=1e-8)
+    assert agreement.student_quantile(0.05, 1) == pytest.approx(12.7062047364, abs=1e-8)
+    assert agreement.student_p(2.0, 10) == pytest.approx(0.0733880348, abs=1e-9)
+
+
+def plain_variance(table):
+    """Standard errors of kappa and alpha by items, over a table of counts (items x categories), written out plainly."""
+    r = np.asarray(table, float)
+    n_i = r.sum(1)
+    items, two = len(r), n_i >= 2
+    pi = (r / n_i[:, None]).mean(0)
+    agree = (r * (r - 1)).sum(1)
+    pa = (agree[two] / (n_i[two] * (n_i[two] - 1))).mean()
+    pe = (pi**2).sum()
+    kappa = (pa - pe) / (1 - pe)
+    own = items / two.sum() * np.where(two, agree / np.maximum(n_i * (n_i - 1), 1) - pe, 0) / (1 - pe) - 2 * (1 - kappa) * (r @ pi / n_i - pe) / (1 - pe)
+    kappa_se = np.sqrt(((own - kappa) ** 2).sum() / (items * (items - 1)))
+    r, n_i, agree = r[two], n_i[two], agree[two]
+    m, mean = len(r), n_i.mean()
+    prime_pa = (agree / (mean * (n_i - 1))).mean()
+    pi = (r / mean).mean(0)
+    pe = (pi**2).sum()
+    prime = (prime_pa - pe) / (1 - pe)
+    drift = (n_i - mean) / mean
+    own = (agree / (mean * (n_i - 1)) - prime_pa * drift - pe) / (1 - pe) - 2 * (1 - prime) * (r @ pi / mean - drift - pe) / (1 - pe)
+    return kappa_se, np.sqrt(((own - prime) ** 2).sum() / (m * (m - 1)))
+
+
+def test_agreement_intervals(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(80):
+        true = rng.integers(0, 3)
+        rows.append(tuple(("abc"[true] if rng.random() < 0.7 else "abc"[rng.integers(0, 3)]) if rng.random() < 0.9 else None for _ in range(3)))
+    out = agreement.coefficients(ratings(spark, rows)).first()
+    kappa_se, alpha_se = plain_variance([[row.count(c) for c in "abc"] for row in rows if any(row)])
+    assert (out.kappa_se, out.alpha_se) == pytest.approx((kappa_se, alpha_se))
+    half = agreement.student_quantile(0.05, out.items - 1) * kappa_se
+    assert (out.kappa_low, out.kappa_high) == pytest.approx((out.kappa - half, min(1, out.kappa + half)))
+    assert 0 <= out.alpha_p < 1e-6 and out.alpha_low < out.alpha < out.alpha_high
 
 
 def test_agreement_by_coincidences(spark):
@@ -370,7 +412,6 @@ def test_models(spark):
         return [p.upper() for p in prompts]
 
     assert [r.resposta for r in models.score_with(df.select("id", "texto").limit(2).orderBy("id"), client, "texto").collect()] == ["GAMMA DELTA", "ALPHA BETA"]
-    assert models.mean_pool(__import__("pandas").Series([[[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]]]), __import__("pandas").Series([[1, 1, 0]]))[0].tolist() == [2.0, 3.0]
 
 
 def test_schema_checks(spark):

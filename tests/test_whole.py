@@ -11,6 +11,7 @@ import pytest
 import __spark_entry__ as entry
 from biblioscope.functions import text as T
 from biblioscope.operators import models
+from biblioscope.plans import catalogue
 
 TEXTS = {
     1: "Avaliação da Política\nmore text here",
@@ -75,11 +76,11 @@ def fuzzy():
 
 
 def test_titles(spark, sf):
-    assert {r.id: r.titulo_norm for r in found(spark, sf, "title_normalise_whole")} == {i: normal(title(i)) for i in TEXTS}
+    assert {r.id: r.titulo_norm for r in found(spark, sf, "title_normalise")} == {i: normal(title(i)) for i in TEXTS}
 
 
 def test_clean(spark, sf):
-    out = {r.id: r for r in found(spark, sf, "text_clean_whole")}
+    out = {r.id: r for r in found(spark, sf, "text_clean")}
     assert set(out) == set(TEXTS)
     for i in TEXTS:
         plain = unicodedata.normalize("NFC", title(i) + " <b>x</b> [1, 2] (Smith) (TAM) (Smith & Jones, 2020) [3-5]")
@@ -93,10 +94,12 @@ def test_clean(spark, sf):
 
 
 def test_retractions(spark, sf):
-    marks = re.compile(r"\bretraction\b|\bretracted\b|\bthe\b|\bidiot\b", re.I)
-    want = {i: ";".join(name for name, hit in (("openalex", i % 50 == 0), ("keyword", marks.search(title(i))), ("retraction_watch", i in NOTICED)) if hit) for i in TEXTS}
-    assert {r.id: (r.flag_retratado, r.motivo_retracao) for r in found(spark, sf, "retraction_flags_whole")} == {i: (bool(w), w) for i, w in want.items()}
-    (r,) = found(spark, sf, "retraction_report_whole")
+    marks = re.compile("|".join(T.RETRACTION_MARKS), re.I)
+    marked = {i: title(i) + " " + (catalogue._PHRASES[i % 40] if i % 40 < len(catalogue._PHRASES) else "") for i in TEXTS}
+    want = {i: ";".join(name for name, hit in (("openalex", i % 50 == 0), ("keyword", marks.search(marked[i])), ("retraction_watch", i in NOTICED)) if hit) for i in TEXTS}
+    assert all(marks.search(p) for p in catalogue._PHRASES) and all(any(re.search(m, p, re.I) for p in catalogue._PHRASES) for m in T.RETRACTION_MARKS)
+    assert {r.id: (r.flag_retratado, r.motivo_retracao) for r in found(spark, sf, "retraction_flags")} == {i: (bool(w), w) for i, w in want.items()}
+    (r,) = found(spark, sf, "retraction_report")
     n = sum(map(bool, want.values()))
     assert (r.n_total, r.n_flagged, r.pct_flagged, r.n_listed) == (len(TEXTS), n, round(100 * n / len(TEXTS), 3), len(NOTICED))
 
@@ -104,29 +107,29 @@ def test_retractions(spark, sf):
 def test_fuzzy(spark, sf):
     want = fuzzy()
     assert {(1, 2), (5, 6)} <= set(want)
-    assert {(r.a, r.b): r.similarity for r in found(spark, sf, "fuzzy_pairs_whole")} == pytest.approx({k: round(s, 6) for k, s in want.items()}, abs=2e-6)
+    assert {(r.a, r.b): r.similarity for r in found(spark, sf, "fuzzy_pairs")} == pytest.approx({k: round(s, 6) for k, s in want.items()}, abs=2e-6)
     group = {i: i for i in TEXTS}
     for _ in TEXTS:
         for a, b in want:
             group[a] = group[b] = min(group[a], group[b])
     members = {i for p in want for i in p}
     best = {i: min((j for j in members if group[j] == group[i]), key=lambda j: (-len(TEXTS[j]), 2000 + j % 25, j)) for i in members}
-    assert {r.id: (r.component, r.representative) for r in found(spark, sf, "dedup_groups_whole")} == {i: (group[i], best[i]) for i in members}
-    assert {r.id: r.dedup_grupo for r in found(spark, sf, "dedup_marks_whole")} == {i: str(best[i]) if best.get(i, i) != i else None for i in TEXTS}
+    assert {r.id: (r.component, r.representative) for r in found(spark, sf, "dedup_groups")} == {i: (group[i], best[i]) for i in members}
+    assert {r.id: r.dedup_grupo for r in found(spark, sf, "dedup_marks")} == {i: str(best[i]) if best.get(i, i) != i else None for i in TEXTS}
 
 
 def test_injections(spark, sf):
     pattern = re.compile("|".join((*T.INJECTION_MARKS, r"\bis\s+to\b", r"\bof\s+the\b")), re.I)
     want = {(c, t): "; ".join(sorted({m.group().strip().lower() for m in pattern.finditer(role + "\n" + text)})[:5]) for c, t, role, text in TURNS}
-    assert {(r.conv_id, r.turn): r.motivo for r in found(spark, sf, "injection_flags_whole")} == want
+    assert {(r.conv_id, r.turn): r.motivo for r in found(spark, sf, "injection_flags")} == want
     assert want[1, 0] and want[3, 0] and not want[2, 0]
 
 
 def test_inverted_index(spark, sf, tmp_path):
-    assert {r.id: r.rebuilt for r in found(spark, sf, "inverted_index_roundtrip_whole")} == {i: t.strip(" ") for i, t in TEXTS.items()}
+    assert {r.id: r.rebuilt for r in found(spark, sf, "inverted_index_roundtrip")} == {i: t.strip(" ") for i, t in TEXTS.items()}
     texts = {1: "a  b a\nc", 2: " ".join(["é", "w"] * 5000), 3: "w " * 10_000 + "x", 4: "w " * 10_001 + "x", 5: None}
     spark.createDataFrame([(i, t, "pt", "s", 0) for i, t in texts.items()], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
-    assert {r.id: r.rebuilt for r in found(spark, tmp_path, "inverted_index_roundtrip_whole")} == texts | {4: ""}  # 10,001 is beyond the last position
+    assert {r.id: r.rebuilt for r in found(spark, tmp_path, "inverted_index_roundtrip")} == texts | {4: ""}  # 10,001 is beyond the last position
 
 
 def test_inflated_output_is_reported(spark, tmp_path):
@@ -147,12 +150,12 @@ def test_terms_of_five_documents(spark, tmp_path):
     df = collections.Counter(g for own in grams for g in own)
     valid = {g for g, n in df.items() if n >= 5}
     by = {g: ";".join(f"src{k}:{n}" for k in (0, 1) if (n := sum(g in own for own in grams[k::2]))) for g in valid}
-    assert {r.term: r.freq_por_cluster for r in found(spark, tmp_path, "term_cluster_freq_whole")} == by
+    assert {r.term: r.freq_por_cluster for r in found(spark, tmp_path, "term_cluster_freq")} == by
     both = collections.Counter((a, b) for own in grams for a in own & valid for b in own & valid if a < b)
     pmi = {k: math.log2(n * len(texts) / (df[k[0]] * df[k[1]])) for k, n in both.items() if n >= 5}
     want = {k: x for k, x in pmi.items() if x >= 0.5}
     assert ("alfa", "bravo") in want and ("golf", "hotel") in want and "delta" not in valid
-    out = {(r.a, r.b): r for r in found(spark, tmp_path, "term_pmi_whole")}
+    out = {(r.a, r.b): r for r in found(spark, tmp_path, "term_pmi")}
     assert {k: r.n_co_artigos for k, r in out.items()} == {k: both[k] for k in want}
     assert {k: r.pmi for k, r in out.items()} == pytest.approx(want, abs=1e-4)
 
