@@ -334,6 +334,59 @@ def test_pipeline(spark, tmp_path, rows):
     assert {r.doc_id for r in pieces} == set(kept["pii"])
 
 
+def write_tables(spark, path, documents, schema, labels=(), items=()):
+    spark.createDataFrame(documents, schema).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(list(items), "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline as P
+
+    write_tables(spark, tmp_path, [], SCHEMA)
+    out = P.run(spark, str(tmp_path))
+    assert out.count() == 0 and "sequence_id" in out.columns
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Null ids, texts and labels, repeated rows, and columns with the operators' own names, which stay as they are."""
+    import corpus_pipeline as P
+
+    rng = np.random.default_rng(31)
+    item, base = sentence(rng, 25), sentence(rng, 50)
+    texts = [(1, base), (2, base), (2, base), (3, None), (4, ""), (5, "x " + item), (6, "mail a.b@c.org"), (None, base), (None, None), (7, sentence(rng, 60))]
+    schema = SCHEMA + ", score int, matches string, key string, _nth int, piece string, component bigint"
+    rows = [(i, t, "en", None, 1, k, f"m{k}", "k", k, "p", 5) for k, (i, t) in enumerate(texts)]
+    write_tables(spark, tmp_path, rows, schema, [(1, 1, None), (None, 0, 1), (7, None, 0), (999, 1, 1)], [(1, item), (2, None), (None, item)])
+    docs, columns = spark.read.parquet(f"{tmp_path}/documents.parquet"), [c.split()[0] for c in schema.split(", ")]
+    ids = {}
+    for name, stage in P.STAGES[:-1]:
+        path = shared_path(spark, "odd")
+        stage(spark, docs, str(tmp_path)).write.parquet(path)
+        docs = spark.read.parquet(path)
+        assert docs.columns == columns
+        own = docs.collect()
+        assert all(r.matches == f"m{r.score}" and r.key == "k" and r.component == 5 for r in own)
+        ids[name] = collections.Counter(r.doc_id for r in own)
+    assert ids["toxicity"] == collections.Counter(i for i, _ in texts)
+    assert ids["near_dedup"] == {1: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1, None: 2}
+    assert ids["decontamination"] == ids["near_dedup"] - collections.Counter([5]) == ids["pii"]
+    assert {r.text for r in docs.filter("doc_id = 6").collect()} == {"mail [EMAIL]"}
+    out = P.run(spark, str(tmp_path)).collect()
+    assert collections.Counter(r.doc_id for r in out) == ids["pii"]
+
+
+def test_languages_of_odd_tables(spark):
+    rows = [(1, "the house of the man"), (2, None), (2, None), (None, "12 34"), (3, "the " * 50_000), (4, "der Mann und das Haus")]
+    docs = spark.createDataFrame([(i, t, False, "x", 7) for i, t in rows], "doc_id bigint, text string, held_out boolean, lang_pred string, score int")
+    train = spark.createDataFrame([(i, ("the house of the man", "der Mann und das Haus")[i % 2], ("en", "de")[i % 2]) for i in range(40)], "doc_id bigint, text string, lang string")
+    out = langid.identify(docs, train).collect()
+    assert collections.Counter((r.doc_id, r.lang_pred) for r in out) == collections.Counter([(1, "en"), (2, "und"), (2, "und"), (None, "und"), (3, "en"), (4, "de")])
+    assert all(r.score == 0 and r.rejected for r in out if r.lang_pred == "und") and all(0 <= r.score <= 1 for r in out)
+    nothing = langid.identify(docs, train.limit(0)).collect()
+    assert {r.lang_pred for r in nothing} == {"und"}
+
+
 def test_registry():
     names = sorted(queries.QUERIES)
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
