@@ -80,6 +80,15 @@ def gold(annotations: DataFrame) -> DataFrame:
     return S.derive(out.withColumn("em_disputa", disputed))
 
 
+def gold_report(annotations: DataFrame, resolved: DataFrame) -> DataFrame:
+    """One row: status (ok, or sem_anotacoes for an export without any), annotations, annotators, articles, disputed ones, and
+    whether the gate can be open at all."""
+    one = annotations.agg(F.count(F.lit(1)).alias("n_anotacoes"), F.count_distinct("anotador").alias("n_anotadores_unicos"))
+    two = resolved.agg(F.count(F.lit(1)).alias("n_artigos"), F.count_if("em_disputa").alias("n_disputas"))
+    status = F.when(F.col("n_anotacoes") > 0, "ok").otherwise("sem_anotacoes")
+    return one.crossJoin(two).select(status.alias("status"), "*", (F.col("n_anotadores_unicos") > 1).alias("gate_possivel"))  # one row each
+
+
 def disputes(annotations: DataFrame, resolved: DataFrame) -> DataFrame:
     """Disputed articles with each field's votes in order, joined by |."""
     votes = [F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce(F.col(f).cast("string"), F.lit("")).alias("v")))), lambda x: x["v"]), "|").alias(f"votos_{f}") for f in FIELDS]

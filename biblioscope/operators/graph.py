@@ -5,6 +5,7 @@ Measures that need a whole component (paths, betweenness, communities) refuse co
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from ..storage import stored
 
 MOST_EDGES = 5_000_000
+#: Arcs that one task steps through in an iteration over a whole graph (24 MB); larger graphs are stepped through by joins.
+SMALL_ARCS = 1_000_000
 #: Source nodes of one path task.
 SOURCES = 256
 
@@ -126,9 +129,39 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return inside.crossJoin(squares).select(F.round(F.col("inside") / F.col("two_m") - F.col("squares") / (F.col("two_m") * F.col("two_m")), 4).alias("modularity"))  # one row each
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-8, most: int = 500) -> DataFrame:
-    """Rows (node, pagerank), weighted and undirected; steps until the ranks move less than the tolerance in sum."""
+def _small(ways: DataFrame, small: int) -> bool:
+    return ways.limit(small + 1).count() <= small
+
+
+def _steps(ways: DataFrame, begin: Callable, step: Callable, moved: Callable, tolerance: float, most: int, out: str) -> DataFrame:
+    """An iteration over arcs (u, v, w) that one task can hold: step(x, u, v, w) on numbered nodes until moved(new, old) is below the tolerance."""
+    kind = ways.schema["u"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, u = np.unique(pdf["u"].to_numpy(), return_inverse=True)
+        v, w = np.searchsorted(names, pdf["v"].to_numpy()), pdf["w"].to_numpy(float)
+        x = begin(len(names))
+        for _ in range(most):
+            new = step(x, u, v, w)
+            far, x = moved(new, x), new
+            if far < tolerance:
+                return pd.DataFrame({"node": names, out: x})
+        raise ArithmeticError(f"values still move by {far} after {most} steps")
+
+    return ways.groupBy().applyInPandas(run, f"node {kind}, {out} double")
+
+
+def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-8, most: int = 500, small: int = SMALL_ARCS) -> DataFrame:
+    """Rows (node, pagerank), weighted and undirected; steps until the ranks move less than the tolerance in sum. Up to
+    `small` arcs are stepped through in one task, more by joins."""
     ways = both_ways(edges).groupBy("u", "v").agg(F.sum("w").alias("w"))
+    if _small(ways, small):
+
+        def step(x: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+            total = np.bincount(u, w, len(x))
+            return (1 - damping) / len(x) + damping * np.bincount(v, x[u] * w / total[u], len(x))
+
+        return _steps(ways, lambda n: np.full(n, 1.0 / max(1, n)), step, lambda new, old: float(np.abs(new - old).sum()), tolerance, most, "pagerank")
     out = ways.groupBy("u").agg(F.sum("w").alias("total"))
     arcs = stored(ways.join(out, "u").select("u", "v", (F.col("w") / F.col("total")).alias("share")), "arcs")
     n = out.count()
@@ -162,22 +195,32 @@ def coreness(edges: DataFrame) -> DataFrame:
             return now.withColumnRenamed("core", "coreness")
 
 
-def eigenvector(edges: DataFrame, tolerance: float = 1e-9, most: int = 2000) -> DataFrame:
+def eigenvector(edges: DataFrame, tolerance: float = 1e-9, most: int = 2000, small: int = SMALL_ARCS) -> DataFrame:
     """Rows (node, eigenvector) for the largest component (ties: the smallest label), weighted, the largest value 1.
 
-    Power steps of A + I, which has A's vectors and always converges."""
+    Power steps of A + I, which has A's vectors and always converges. Up to `small` arcs are stepped through in one task,
+    more by joins."""
     labelled = stored(with_components(edges), "labelled")
     sizes = components(edges).groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "component").limit(1)
     ways = stored(both_ways(labelled.join(sizes.select("component"), "component")), "arcs")
+    if _small(ways, small):
+
+        def plus(x: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+            new = x + np.bincount(u, w * x[v], len(x))
+            return new / new.max()
+
+        return _steps(ways, np.ones, plus, lambda new, old: float(np.abs(new - old).max()), tolerance, most, "eigenvector")
     now = stored(ways.select(F.col("u").alias("node")).distinct().withColumn("x", F.lit(1.0)), "vector")
-    for _ in range(most):
-        got = ways.join(now.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.sum(F.col("w") * F.col("x")).alias("y"))
-        new = now.join(got, "node").select("node", F.col("x").alias("old"), (F.col("x") + F.col("y")).alias("x"))
-        new = stored(new, "vector")
+    moved = 0.0
+    for _ in range(0, most, 8):
+        step = now
+        for _ in range(8):  # so many steps in one job; values grow by (1 + largest eigenvalue)^8 at most before they are scaled
+            got = ways.join(step.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.sum(F.col("w") * F.col("x")).alias("y"))
+            step = step.join(got, "node").select("node", (F.col("x") + F.col("y")).alias("x"))
+        new = stored(now.withColumnRenamed("x", "old").join(step, "node"), "vector")
         top = new.agg(F.max("x")).first()[0] or 1.0
-        scaled = new.select("node", (F.col("x") / top).alias("x"), F.abs(F.col("x") / top - F.col("old")).alias("d"))
-        moved = scaled.agg(F.max("d")).first()[0] or 0.0
-        now = scaled.select("node", "x")
+        moved = new.agg(F.max(F.abs(F.col("x") / top - F.col("old")))).first()[0] or 0.0
+        now = new.select("node", (F.col("x") / top).alias("x"))
         if moved < tolerance:
             return now.withColumnRenamed("x", "eigenvector")
     raise ArithmeticError(f"the vector still moves by {moved} after {most} steps")

@@ -445,12 +445,13 @@ def row_violations(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH l AS (SELECT doc_id AS id, (doc_id % 7) / 2.0 AS a, (doc_id % 5) / 2.0 AS b, (doc_id % 3) / 2.0 AS c, (doc_id % 9 - 4) / 2.0 AS f FROM documents),
   m AS (SELECT *, greatest(a, b, c) AS g FROM l), p AS (SELECT *, exp(a - g) + exp(b - g) + exp(c - g) AS t FROM m), q AS (SELECT id, exp(a - g) / t AS pa, exp(b - g) / t AS pb, exp(c - g) / t AS pc, 1 / (1 + exp(-f)) AS pf FROM p)
-  SELECT id, round(pa, 6) AS pa, round(greatest(pa, pb, pc), 6) AS certeza, CASE WHEN pa >= pb AND pa >= pc THEN 'x' WHEN pb >= pc THEN 'y' ELSE 'z' END AS primario, round(2 * abs(pf - 0.5), 6) AS flag_certeza FROM q""")
+  SELECT id, round(pa, 6) AS pa, round(greatest(pa, pb, pc), 6) AS certeza, CASE WHEN pa >= pb AND pa >= pc THEN 'x' WHEN pb >= pc THEN 'y' ELSE 'z' END AS primario,
+  CASE WHEN list_reverse_sort([pa, pb, pc])[1] - list_reverse_sort([pa, pb, pc])[2] < 0.15 THEN list_sort([{'s': -pa, 'i': 0, 'x': 'x'}, {'s': -pb, 'i': 1, 'x': 'y'}, {'s': -pc, 'i': 2, 'x': 'z'}])[2].x END AS secundario, round(2 * abs(pf - 0.5), 6) AS flag_certeza FROM q""")
 def apply_models(spark: SparkSession, d: str) -> DataFrame:
     x = F.col("id")
     own = corpus(spark, d).select("id", ((x % 7) / 2).alias("la"), ((x % 5) / 2).alias("lb"), ((x % 3) / 2).alias("lc"), ((x % 9 - 4) / 2).alias("lf"))
     out = models.apply_clusters(own, ["la", "lb", "lc"], ("x", "y", "z"))
-    return out.select("id", F.round("cluster_x_prob", 6).alias("pa"), F.round("cluster_certeza", 6).alias("certeza"), F.col("cluster_primario_pred").alias("primario"), F.round(S.flag_certainty([S.sigmoid(F.col("lf"))]), 6).alias("flag_certeza"))
+    return out.select("id", F.round("cluster_x_prob", 6).alias("pa"), F.round("cluster_certeza", 6).alias("certeza"), F.col("cluster_primario_pred").alias("primario"), F.col("cluster_secundario_pred").alias("secundario"), F.round(S.flag_certainty([S.sigmoid(F.col("lf"))]), 6).alias("flag_certeza"))
 
 
 # sampling

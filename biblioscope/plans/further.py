@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions import text as T
-from ..operators import agreement, annotations, clean, graph, models, networks, sampling, terms
+from ..operators import agreement, annotations, clean, dedup, graph, models, networks, sampling, terms
 from ..storage import stored
-from .catalogue import _AGREE, _EDGES, _FEATURED, _TOKENS, ORACLE_SQL, _featured, _graph, _tasks, query
+from .catalogue import _AGREE, _EDGES, _FEATURED, _TITLES, _TOKENS, ORACLE_SQL, _featured, _graph, _tasks, _titles, query
 from .tables import CORPUS, citations, corpus, pair_sql, table
 
 # language
@@ -215,3 +215,55 @@ def suspects(spark: SparkSession, d: str) -> DataFrame:
     good, bad = clean.split_suspects(table(spark, d, "conversations"), "role", "text")
     mark = lambda df, name: df.select("conv_id", "turn", F.lit(name).alias("grupo"))
     return mark(good, "limpo").unionByName(mark(bad, "suspeito"))
+
+
+# replies, terms, disputes, reports
+
+
+@query("""WITH r AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN props WHEN 1 THEN '```json' || chr(10) || props || chr(10) || '```' ELSE 'no reply' END AS t FROM events)
+  SELECT event_id, TRY_CAST(json_extract_string(CASE WHEN json_valid(regexp_extract(t, '(?s)\\{.*\\}')) THEN regexp_extract(t, '(?s)\\{.*\\}') END, '$.k') AS DOUBLE) AS k, NOT (regexp_extract(t, '(?s)\\{.*\\}') <> '' AND json_valid(regexp_extract(t, '(?s)\\{.*\\}'))) AS fallback FROM r""")
+def fenced_replies(spark: SparkSession, d: str) -> DataFrame:
+    m = F.col("event_id") % 3
+    reply = F.when(m == 0, F.col("props")).when(m == 1, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).otherwise("no reply")
+    own = table(spark, d, "events").select("event_id", reply.alias("t"))
+    return own.select("event_id", T.parse_fenced_reply(F.col("t"), ["k"]).alias("x")).select("event_id", "x.k", "x.fallback")
+
+
+@query(f"WITH {CORPUS}, t AS (SELECT id, unnest(string_split_regex(titulo || ';' || idioma || '|' || journal, '[,;|]\\s*')) AS term FROM corpus) SELECT id, term, count(*) AS n FROM t GROUP BY 1, 2")
+def term_lists(spark: SparkSession, d: str) -> DataFrame:
+    joined = F.concat(F.col("titulo"), F.lit(";"), F.col("idioma"), F.lit("|"), F.col("journal"))
+    return corpus(spark, d).select("id", F.explode(T.split_terms(joined)).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
+_VOTES = "a AS (SELECT doc_id, k, ['si', 'ps', 'sts', 'law', 'pa', 'bcs'][CAST((doc_id * (1 + k * (doc_id % 2))) % 6 AS INTEGER) + 1] AS c, CASE WHEN (doc_id + k) % 3 = 0 THEN 1 ELSE 0 END AS p, toxic FROM labels, (SELECT unnest([0, 1, 2]) AS k))"
+
+
+@query(f"""WITH {_VOTES} SELECT CAST(doc_id AS VARCHAR) AS id_artigo, string_agg(c, '|' ORDER BY k) AS votos_cluster_primario, string_agg(CAST(p AS VARCHAR), '|' ORDER BY k) AS votos_epi_positivista, '0|0|0' AS votos_epi_interpretativa,
+  string_agg(CAST(toxic AS VARCHAR), '|' ORDER BY k) AS votos_epi_doutrinario_normativa FROM a GROUP BY doc_id HAVING count(DISTINCT c) = 3""")
+def disputed_votes(spark: SparkSession, d: str) -> DataFrame:
+    own = stored(annotations.flatten(_tasks(spark, d)), "annotations")
+    return annotations.disputes(own, annotations.gold(own))
+
+
+@query(f"""WITH {_VOTES}, g AS (SELECT doc_id, count(DISTINCT c) = 3 AS d FROM a GROUP BY 1)
+  SELECT 'ok' AS status, (SELECT count(*) FROM a) AS n_anotacoes, CAST(3 AS BIGINT) AS n_anotadores_unicos, (SELECT count(*) FROM g) AS n_artigos, (SELECT count(*) FROM g WHERE d) AS n_disputas, true AS gate_possivel""")
+def gold_report(spark: SparkSession, d: str) -> DataFrame:
+    own = stored(annotations.flatten(_tasks(spark, d)), "annotations")
+    return annotations.gold_report(own, annotations.gold(own))
+
+
+@query(f"""WITH RECURSIVE {_TITLES}, w AS (SELECT a AS u, b AS v FROM p UNION SELECT b, a FROM p), r AS (SELECT u AS id, u AS reach FROM w UNION SELECT r.id, w.v FROM r JOIN w ON r.reach = w.u), c AS (SELECT id, min(reach) AS component FROM r GROUP BY 1)
+  SELECT (SELECT count(*) FROM corpus) AS n_total, (SELECT count(*) FROM p) AS n_pairs, (SELECT count(DISTINCT component) FROM c) AS n_groups, (SELECT count(*) - count(DISTINCT component) FROM c) AS n_marked, (SELECT CAST(least(20, count(*)) AS INTEGER) FROM p) AS n_sample, CAST(0.92 AS DOUBLE) AS threshold""")
+def dedup_summary(spark: SparkSession, d: str) -> DataFrame:
+    own = _titles(spark, d)
+    pairs = stored(dedup.fuzzy_pairs(own), "pairs")
+    out = dedup.dedup_report(own, pairs, dedup.duplicate_groups(own, pairs))
+    return out.select("n_total", "n_pairs", "n_groups", "n_marked", F.size("sample").alias("n_sample"), "threshold")
+
+
+@query(f"""WITH {_EDGES}, l AS (SELECT u, v, weight AS w, u % 3 = v % 3 AS same FROM w), s AS (SELECT u % 3 AS c, sum(weight) AS s FROM w GROUP BY 1)
+  SELECT round((SELECT CAST(sum(CASE WHEN same THEN w ELSE 0 END) AS DOUBLE) / sum(w) FROM l) - (SELECT sum(CAST(s AS DOUBLE) * s) FROM s) / (SELECT CAST(sum(w) AS DOUBLE) * sum(w) FROM l), 4) AS modularity""")
+def modularity(spark: SparkSession, d: str) -> DataFrame:
+    """Of a fixed partition; that of Louvain's is in the network report."""
+    edges = _graph(spark, d)
+    return graph.modularity(edges, graph.nodes(edges).withColumn("community", F.col("node") % 3))

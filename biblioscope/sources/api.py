@@ -24,8 +24,9 @@ def fetch_url(url: str) -> dict:
         return json.load(reply)
 
 
-def pages(base: str, source: str, years: tuple[int, int], kinds: str, fetch: Callable[[str], dict] = fetch_url, sleep: Callable[[float], None] = time.sleep) -> Iterator[dict]:
-    """All works of a source. A page that fails is tried again after 2, 4, 8, ... seconds; after the last try what came so far stays."""
+def pages(base: str, source: str, years: tuple[int, int], kinds: str, fetch: Callable[[str], dict] = fetch_url, sleep: Callable[[float], None] = time.sleep, strict: bool = False) -> Iterator[dict]:
+    """All works of a source. A page that fails is tried again after 2, 4, 8, ... seconds; after the last try what came so far
+    stays, or, if strict, the read fails, so that a part of a source isn't taken for all of it."""
     cursor = "*"
     where = f"primary_location.source.id:{source},publication_year:{years[0]}-{years[1]},type:{kinds}"
     while cursor:
@@ -36,6 +37,8 @@ def pages(base: str, source: str, years: tuple[int, int], kinds: str, fetch: Cal
                 break
             except (OSError, ValueError):
                 if attempt == RETRIES - 1:
+                    if strict:
+                        raise
                     return
                 sleep(WAIT * 2**attempt)
         yield from page.get("results", [])
@@ -110,14 +113,14 @@ class WorksReader(DataSourceReader):
                 for line in lines:
                     yield partition.source, line.strip()
             return
-        for work in pages(base, partition.source, years, self.options.get("types", "article|review")):
+        for work in pages(base, partition.source, years, self.options.get("types", "article|review"), strict=self.options.get("strict", "false").lower() == "true"):
             yield partition.source, json.dumps(work)
 
 
 class WorksSource(DataSource):
     """spark.read.format("works").option("url", ...).option("sources", "S1,S2").load(): rows (source_id, work as JSON).
 
-    Year range and types are part of the request, so only what is wanted is sent."""
+    With option("strict", "true") a source that can't be read to its end fails the job. Year range and types are part of the request, so only what is wanted is sent."""
 
     @classmethod
     def name(cls) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import zipfile
 from collections.abc import Mapping, Sequence
 from pathlib import Path
@@ -11,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.scores import CLUSTERS, FLAGS
-from .provenance import file_digest, write_atomic
+from .provenance import file_digest
 
 #: The export's columns in order.
 COLUMNS = (
@@ -47,8 +48,8 @@ def bundle(path: str | Path, files: Mapping[str, tuple[str, str]], tables: Mappi
     import csv
     import hashlib
 
-    manifest, out = [], io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+    manifest, part = [], Path(f"{path}.part")
+    with zipfile.ZipFile(part, "w", zipfile.ZIP_DEFLATED) as z:
         for name, (source, text) in files.items():
             if Path(source).exists():
                 z.write(source, name)
@@ -64,5 +65,5 @@ def bundle(path: str | Path, files: Mapping[str, tuple[str, str]], tables: Mappi
                     f.write(data)
             manifest.append({"file": name, "sha256": digest.hexdigest(), "description": text})
         z.writestr("manifest.json", json.dumps({"tag": tag, "files": manifest}, indent=2, ensure_ascii=False))
-    write_atomic(path, out.getvalue())
+    os.replace(part, path)
     return manifest

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..schemas import ANNOTATION_EXPORT
+from ..schemas import ANNOTATION_EXPORT, assert_schema
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -96,11 +96,9 @@ def write_matrix(df: DataFrame, path: str, order: str = "doc_id", vector: str =
 def write_checked(df: DataFrame, path: str, schema: str) -> DataFrame:
     """Writes df as Parquet after its columns and types are held against the schema; other or missing ones are an error. Returns the table as read."""
     want = StructType.fromDDL(schema)
-    have = {f.name: f.dataType for f in df.schema.fields}
-    wrong = [f"{f.name}: {have.get(f.name, None) and have[f.name].simpleString()} instead of {f.dataType.simpleString()}" for f in want.fields if have.get(f.name) != f.dataType]
-    wrong += [f"{n} isn't in the schema" for n in have if n not in want.fieldNames()]
-    if wrong:
-        raise TypeError("; ".join(wrong))
+    assert_schema(df, want)
+    if more := [c for c in df.columns if c not in want.fieldNames()]:
+        raise ValueError(f"columns beyond the schema: {', '.join(more)}")
     df.select(*want.fieldNames()).write.mode("overwrite").option("compression", "snappy").parquet(path)
     return df.sparkSession.read.schema(want).parquet(path)
 

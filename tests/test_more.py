@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from biblioscope.functions import similarity
 from biblioscope.functions import text as T
-from biblioscope.operators import annotations, clean, models, sampling, terms, validity
+from biblioscope.operators import annotations, clean, graph, models, sampling, terms, validity
 from biblioscope.sources import api, files, provenance
 
 
@@ -100,6 +100,18 @@ def test_similarity_bound(seed):
         assert similarity.jaro_winkler_of(x, y) <= bound[k] + 1e-12
 
 
+def test_iterations_by_joins_and_in_one_task(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, 12, 40), rng.integers(0, 12, 40), rng.integers(1, 5, 40), strict=True) if a < b]
+    edges = spark.createDataFrame(list({(a, b): (a, b, w) for a, b, w in rows}.values()), "a int, b int, weight double")
+    for name in ("pagerank", "eigenvector"):
+        one, many = ({r.node: r[1] for r in getattr(graph, name)(edges, small=n).collect()} for n in (1000, 0))
+        assert one == pytest.approx(many, abs=1e-6) and len(one) > 5
+        assert getattr(graph, name)(edges.limit(0)).count() == getattr(graph, name)(edges.limit(0), small=0).count() == 0
+    with pytest.raises(Exception, match="still move"):
+        graph.eigenvector(edges, most=1).collect()
+
+
 def test_languages(spark):
     rows = [(1, "the cat and the dog of this house", None), (2, "le chat et les chiens dans une maison", None), (3, "o gato e os cães da casa em uma rua", None), (4, "the cat and the dog", "PT"), (5, "the and of", None), (6, None, None), (7, "zzz yyy xxx www vvv uuu ttt", None), (8, "the dog of der Hund und the", None)]
     out = {r.id: (r.idioma_detectado, r.idioma_confianca) for r in clean.detect_languages(spark.createDataFrame(rows, "id int, t string, l string"), "t", "l").collect()}
@@ -199,7 +211,7 @@ def test_matrix_and_checked_tables(spark, tmp_path):
     out = files.write_checked(df, f"file://{tmp_path}/t", "embedding array<double>, doc_id string")
     assert out.columns == ["embedding", "doc_id"] and out.count() == 2
     for schema in ("doc_id string", "doc_id int, embedding array<double>", "doc_id string, embedding array<double>, more int"):
-        with pytest.raises(TypeError):
+        with pytest.raises(ValueError):
             files.write_checked(df, f"file://{tmp_path}/u", schema)
 
 
