@@ -874,8 +874,9 @@ def stream_scoring(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
-    own = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return own.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(own).isDirectory()
+    """A folder's files have longer paths than its own."""
+    found = spark.read.format("binaryFile").load(path).select("path").first()
+    return found is None or not found.path.endswith(path.rsplit("/", 1)[-1])
 
 
 @query(f"""WITH {CORPUS}, w AS (SELECT id, unnest(string_split(titulo, ' ')) AS w, generate_subscripts(string_split(titulo, ' '), 1) AS i FROM corpus), p AS (SELECT id, w || ' ' || lead(w) OVER (PARTITION BY id ORDER BY i) AS pair FROM w) SELECT id, pair FROM p WHERE pair IS NOT NULL""")

@@ -10,12 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..schemas import ANNOTATION_EXPORT, assert_schema
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether the path exists, by Spark's own file systems."""
-    own = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return own.getFileSystem(spark._jsc.hadoopConfiguration()).exists(own)
+from ..storage import exists
 
 
 def read_any(spark: SparkSession, base: str, schema: StructType | None = None) -> DataFrame:

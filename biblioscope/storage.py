@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[str] = []
@@ -24,6 +25,17 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{base}/{label}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, by Spark's own readers (so on any store, and by Spark Connect)."""
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder, which outlives any executor."""
     path = shared_path(df.sparkSession, label)

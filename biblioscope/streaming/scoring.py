@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..storage import exists
+
 
 def score_stream(source: DataFrame, score: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, version: str, key: str = "id") -> StreamingQuery:
     """Appends score(batch) to sink, partitioned by prompt version; what the sink has for this version is not scored again.
@@ -18,8 +20,7 @@ def score_stream(source: DataFrame, score: Callable[[DataFrame], DataFrame], sin
 
     def batch(df: DataFrame, _: int) -> None:
         own = df.dropDuplicates([key])
-        path = spark._jvm.org.apache.hadoop.fs.Path(sink)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        if exists(spark, sink):
             done = spark.read.parquet(sink).filter(F.col("prompt_version") == version).select(key)
             own = own.join(done, key, "left_anti")
         score(own).withColumn("prompt_version", F.lit(version)).write.mode("append").partitionBy("prompt_version").parquet(sink)
