@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from ..functions import text as T
 
 
 def text_features(column: str = "texto", buckets: int = 1 << 14) -> list:
@@ -84,6 +85,25 @@ def cluster(df: DataFrame, k: int = 3, seed: int = 42, features: str = "embeddin
     return KMeans(k=k, seed=seed, featuresCol="_x", predictionCol="grupo").fit(own).transform(own).drop("_x")
 
 
+def lloyd(df: DataFrame, k: int, steps: int, key: str, features: str = "embedding") -> DataFrame:
+    """Adds `grupo` (0 to k - 1) by Lloyd's k-means from the k rows of smallest key, so that it is the same on any cluster: `steps`
+    times every row goes to its nearest centre (the first of equals) and centres become means; one without rows stays.
+
+    Centres (k vectors) are literals of the plan; only their sums are shuffled."""
+    rows = df.orderBy(key).limit(k).select(features).collect()
+    centres = [[float(x) for x in r[0]] for r in rows]
+
+    def nearest() -> Column:
+        far = [F.aggregate(F.zip_with(features, F.array(*map(F.lit, c)), lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda a, x: a + x) for c in centres]
+        return T.let(F.array(*far), lambda d: F.array_position(d, F.array_min(d)).cast("int") - 1)
+
+    for _ in range(steps):
+        sums = df.select(nearest().alias("grupo"), F.posexplode(features).alias("at", "x")).groupBy("grupo", "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
+        for r in sums.collect():
+            centres[r.grupo][r.at] = r.x
+    return df.withColumn("grupo", nearest()) if centres else df.withColumn("grupo", F.lit(None).cast("int"))
+
+
 def silhouette(df: DataFrame, group: str = "grupo", features: str = "embedding") -> float:
     own = df.withColumn("_x", array_to_vector(F.col(features).cast("array<double>")))
     return ClusteringEvaluator(featuresCol="_x", predictionCol=group).evaluate(own)

@@ -267,3 +267,18 @@ def modularity(spark: SparkSession, d: str) -> DataFrame:
     """Of a fixed partition; that of Louvain's is in the network report."""
     edges = _graph(spark, d)
     return graph.modularity(edges, graph.nodes(edges).withColumn("community", F.col("node") % 3))
+
+
+def _lloyd_sql(k: int, steps: int) -> str:
+    """Steps one after the other: centres c0, members m0, centres c1, ..."""
+    out = [f"v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), c0 AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS g, e FROM v ORDER BY vec_id LIMIT {k})"]
+    near = lambda i: f"m{i} AS (SELECT vec_id, any_value(v.label) AS label, any_value(v.e) AS e, arg_min(g, (list_distance(v.e, c.e), g)) AS g FROM v, c{i} c GROUP BY vec_id)"
+    for i in range(steps):
+        out += [near(i), f"u{i} AS (SELECT g, unnest(e) AS x, generate_subscripts(e, 1) AS dim FROM m{i}), a{i} AS (SELECT g, dim, avg(x) AS x FROM u{i} GROUP BY 1, 2)"]
+        out += [f"c{i + 1} AS (SELECT c.g, coalesce(n.e, c.e) AS e FROM c{i} c LEFT JOIN (SELECT g, list(x ORDER BY dim) AS e FROM a{i} GROUP BY g) n ON n.g = c.g)"]
+    return ", ".join([*out, near(steps)])
+
+
+@query(f"WITH {_lloyd_sql(10, 3)} SELECT vec_id, CAST(g AS INTEGER) AS grupo FROM m3")
+def kmeans_fixed(spark: SparkSession, d: str) -> DataFrame:
+    return models.lloyd(table(spark, d, "embeddings"), 10, 3, "vec_id").select("vec_id", "grupo")

@@ -167,6 +167,19 @@ def test_silhouette(spark):
     assert models.silhouette(own) > 0.9
 
 
+def test_lloyd(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(c, 0.5, (20, 3)) for c in (0, 5, 10)])[rng.permutation(60)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, embedding array<double>")
+    centres = x[:4].copy()
+    for _ in range(3):
+        own = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        centres = np.array([x[own == k].mean(0) if (own == k).any() else centres[k] for k in range(4)])
+    want = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+    assert {r.id: r.grupo for r in models.lloyd(df, 4, 3, "id").collect()} == dict(enumerate(want.tolist()))
+    assert models.lloyd(df.limit(0), 4, 2, "id").count() == 0
+
+
 def test_collect_goes_on(spark, tmp_path):
     read_, path = [], f"file://{tmp_path}/works"
 
