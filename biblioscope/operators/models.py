@@ -97,7 +97,7 @@ def lloyd(df: DataFrame, k: int, steps: int, key: str, features: str = "embeddin
         far = [F.aggregate(F.zip_with(features, F.array(*map(F.lit, c)), lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda a, x: a + x) for c in centres]
         return T.let(F.array(*far), lambda d: F.array_position(d, F.array_min(d)).cast("int") - 1)
 
-    for _ in range(steps):
+    for _ in range(steps if centres else 0):
         sums = df.select(nearest().alias("grupo"), F.posexplode(features).alias("at", "x")).groupBy("grupo", "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
         for r in sums.collect():
             centres[r.grupo][r.at] = r.x
