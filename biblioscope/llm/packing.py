@@ -20,7 +20,7 @@ from .common import remembered, small_batches, stored, table
 MODEL = "word_bpe_49k.json"
 SEQUENCE = 2048
 #: Entries of a worker's memo of pre-tokens, beside those of one batch; when full it is emptied.
-MEMO_RUNS = 900_000
+MEMO_RUNS = 500_000
 #: Up to so many placements (32 bytes each) are broadcast; beyond that they are joined by stretches of so many numbers.
 BROADCAST_RANGES, BUCKET = 250_000, 1 << 14
 #: White space, and characters of one code point in NFC that are lower-cased one by one.
