@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,9 @@ _LOW = np.uint64(STRETCH * 2 - 1)
 COMPARED, SLOTS = 40, 28
 #: Anchors that a task of the first pass holds before it sends them.
 HELD = 1 << 22
+#: Bytes of text whose segments a task of the second pass holds before it sends them (so blobs grow with tasks times parts, not
+#: with texts times parts), and bytes of blobs of one Arrow batch.
+HELD_BYTES, SENT_BYTES = 8 << 20, 1 << 20
 #: An anchor is hot with so many occurrences, and at least 1 / HOT_SHARE of its part's; so a part has HOT_SHARE of them at most.
 HOT, HOT_SHARE = 2_000, 64
 
@@ -169,6 +173,7 @@ def _repeated(parts: int):
         bits[slots - 8 * lo] = 1
         hot = values[counts >= max(HOT, counts.sum() // HOT_SHARE)].astype("<u8").tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([lo], pa.int64()), pa.array([zstandard.ZstdCompressor(level=1).compress(np.packbits(bits, bitorder="little").tobytes())], pa.binary()), pa.array([hot], pa.binary())], ["first", "bits", "hot"])
+        release()
 
     return run
 
@@ -215,15 +220,47 @@ def _one_by_one(doc: np.ndarray, start: np.ndarray, many: np.ndarray, first: np.
     )
 
 
-def _pack(doc: np.ndarray, start: np.ndarray, many: np.ndarray, anchor: np.ndarray, lead: np.ndarray, data: np.ndarray, first: np.ndarray) -> bytes:
+Columns = tuple[np.ndarray, ...]
+
+
+def _bytes_of(many: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    return np.where(lead < 0, 0, many.astype(np.int64) + SIZE - 1)
+
+
+def _gathered(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Spans of bytes, one after the other."""
+    return data[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+
+
+def _pack(doc: np.ndarray, start: np.ndarray, many: np.ndarray, anchor: np.ndarray, lead: np.ndarray, data: np.ndarray) -> bytes:
     """Segments of one part: five columns and their bytes, compressed."""
-    size = np.where(lead < 0, 0, many + SIZE - 1)
-    begin = np.cumsum(size) - size
-    where = np.repeat(first - begin, size) + np.arange(int(size.sum()))
-    raw = b"".join([np.int64(len(doc)).tobytes(), doc.astype("<i8").tobytes(), start.astype("<i8").tobytes(), many.astype("<i4").tobytes(), anchor.astype("<u8").tobytes(), lead.astype("<i4").tobytes(), data[where].tobytes()])
+    raw = b"".join([np.int64(len(doc)).tobytes(), doc.astype("<i8").tobytes(), start.astype("<i8").tobytes(), many.astype("<i4").tobytes(), anchor.astype("<u8").tobytes(), lead.astype("<i4").tobytes(), data.tobytes()])
     return zstandard.ZstdCompressor(level=3).compress(raw)
 
 
+def _dealt(held: list[Columns], parts: int) -> Iterator[pa.RecordBatch]:
+    """The held segments (with their text) as a blob for each part."""
+    texts = [x[-1] for x in held]
+    base = np.cumsum([0, *map(len, texts)])
+    doc, start, many, anchor, lead, first = (np.concatenate([x[k] for x in held]) for k in range(6))
+    first = first + np.repeat(base[:-1], [len(x[0]) for x in held])
+    data, size = np.concatenate(texts), _bytes_of(many, lead)
+    part = (anchor >> np.uint64(33)) % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    edges = np.searchsorted(part[order], np.arange(parts + 1))
+    found, blobs, sent = [], [], 0
+    for p in np.flatnonzero(np.diff(edges)).tolist():
+        rows = order[edges[p] : edges[p + 1]]
+        found.append(p)
+        blobs.append(_pack(doc[rows], start[rows], many[rows], anchor[rows], lead[rows], _gathered(data, first[rows], size[rows])))
+        sent += len(blobs[-1])
+        if sent >= SENT_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
+            found, blobs, sent = [], [], 0
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
+
+
 def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n, at, out = int(np.frombuffer(raw, "<i8", 1)[0]), 8, []
@@ -238,6 +275,8 @@ def _deal(parts: int, sent):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated, hot = sent.value
+        held: list[Columns] = []
+        size = 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             data, at = utf8(batch.column(1))
@@ -259,16 +298,14 @@ def _deal(parts: int, sent):
                         single = _one_by_one(doc[is_hot], start[is_hot], many[is_hot], first[is_hot], own)
                         rest = (doc, start, many, anchor, lead, first)
                         doc, start, many, anchor, lead, first = (np.concatenate([x[~is_hot], y]) for x, y in zip(rest, single, strict=True))
-                part = (anchor >> np.uint64(33)) % np.uint64(parts)
-                order = np.argsort(part, kind="stable")
-                edges = np.searchsorted(part[order], np.arange(parts + 1))
-                found, blobs = [], []
-                for p in range(parts):
-                    rows = order[edges[p] : edges[p + 1]]
-                    if len(rows):
-                        found.append(p)
-                        blobs.append(_pack(doc[rows], start[rows], many[rows], anchor[rows], lead[rows], own, first[rows]))
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
+                held.append((doc, start, many, anchor, lead, first, own))
+                size += len(own)
+                if size >= HELD_BYTES:
+                    yield from _dealt(held, parts)
+                    held, size = [], 0
+        if held:
+            yield from _dealt(held, parts)
+        release()
 
     return run
 
@@ -295,72 +332,64 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     data = np.concatenate([b[5] for b in blobs])
     del blobs
     known = lead < 0
-    size = np.where(known, 0, many.astype(np.int64) + SIZE - 1)
+    size = _bytes_of(many, lead)
     begin = np.cumsum(size) - size
-    anchor = np.where(known, np.arange(len(anchor)).astype(np.uint64), anchor)  # they meet nothing
-    order = np.lexsort((start, doc, anchor))
+    spans: list[Spans] = [(doc[known], start[known], start[known] + many[known] + SIZE - 1)]
+    texts = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.append(begin, len(data))), pa.py_buffer(data)])
+    code = texts.dictionary_encode().indices.to_numpy(zero_copy_only=False)  # equal as a whole
+    order = np.lexsort((start, doc, code))
     order = order[~known[order]]
     fresh = np.ones(len(order), bool)
-    fresh[1:] = anchor[order][1:] != anchor[order][:-1]
-    edges = np.append(np.flatnonzero(fresh), len(order))
-    contested = np.flatnonzero(np.diff(edges) > 1)
-    docs_out: list[int] = doc[known].tolist()
-    first_out: list[int] = start[known].tolist()
-    last_out: list[int] = (start[known] + many[known] + SIZE - 1).tolist()
+    fresh[1:] = code[order][1:] != code[order][:-1]
+    earliest = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]] if len(order) else order
+    late = order[(doc[order] != doc[earliest]) | (start[order] != start[earliest])]
+    spans.append((doc[late], start[late], start[late] + size[late]))
+    # windows of one anchor stand at the places of the anchor's bytes, so equal ones are in its different segments alone
+    order = order[fresh]
+    _, where, segments_of = np.unique(anchor[order], return_inverse=True, return_counts=True)
+    order = order[segments_of[where] > 1]
+    order = order[np.lexsort((start[order], doc[order], anchor[order]))]
+    del texts, code, earliest, late, known
     family = SuffixFamily()
-    held: list[int] = []
-    held_windows = 0
-    spans: list[Spans] = []
-
-    def flush() -> None:
-        nonlocal held, held_windows
-        if held:
-            rows = np.array(held)
-            sizes, cuts = size[rows], np.cumsum(size[rows]) - size[rows]
-            where = np.repeat(begin[rows] - cuts, sizes) + np.arange(int(sizes.sum()))
-            spans.append(joined(*family.add(data[where], cuts, doc[rows], start[rows], many[rows].astype(np.int64))))
-        held, held_windows = [], 0
-
-    raw = data.tobytes()
-    begins, sizes, docs, starts, windows_of = (x.tolist() for x in (begin, size, doc, start, many))
-    for g in contested.tolist():
-        rows = order[edges[g] : edges[g + 1]].tolist()
-        distinct: dict[bytes, int] = {}
-        for r in rows:  # by document and place, so the first of equal segments is the earliest
-            own = raw[begins[r] : begins[r] + sizes[r]]
-            kept = distinct.setdefault(own, r)
-            if kept != r and (docs[kept], starts[kept]) != (docs[r], starts[r]):
-                docs_out.append(docs[r])
-                first_out.append(starts[r])
-                last_out.append(starts[r] + len(own))
-        if len(distinct) > 1:
-            # windows of one anchor stand at the places of the anchor's bytes, so equal ones are in these segments alone
-            for r in distinct.values():
-                held.append(r)
-                held_windows += windows_of[r]
-                if held_windows >= BATCH:
-                    flush()
-    flush()
-    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.array(own, np.int64), *(x[k] for x in spans)])) for k, own in enumerate((docs_out, first_out, last_out))], ["doc_id", "first", "last"])
+    windows = np.cumsum(many[order], dtype=np.int64)
+    lo = 0
+    while lo < len(order):
+        hi = int(np.searchsorted(windows, (windows[lo - 1] if lo else 0) + BATCH)) + 1
+        rows = order[lo:hi]
+        spans.append(joined(*family.add(_gathered(data, begin[rows], size[rows]), np.cumsum(size[rows]) - size[rows], doc[rows], start[rows], many[rows].astype(np.int64))))
+        lo = hi
+    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in spans]).astype(np.int64)) for k in range(3)], ["doc_id", "first", "last"])
     release()
 
 
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 
+def _merged(row: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of the spans of each row: first bytes, last bytes + 1, rows."""
+    order = np.lexsort((first, row))
+    row, first, last = row[order].astype(np.int64), first[order].astype(np.int64), last[order].astype(np.int64)
+    step = int(last.max(initial=0)) + 1
+    reach = np.maximum.accumulate(row * step + last)  # rows don't reach into each other
+    new = np.ones(len(row), bool)
+    new[1:] = row[1:] * step + first[1:] > reach[:-1]
+    new[1:] |= row[1:] != row[:-1]
+    ends = np.append(np.flatnonzero(new)[1:], len(row))[: int(new.sum())] - 1
+    return first[new], reach[ends] - row[ends] * step, row[new]
+
+
 def _cut(keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = utf8(batch.column(1))
             raw, rows = data.tobytes(), []
-            spans = batch.column(2).to_pylist()
+            lists = batch.column(2)
+            many = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            begins, ends, merging = _merged(np.repeat(np.arange(len(many)), many), *(x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten()))
+            edges = np.searchsorted(merging, np.arange(len(many) + 1)).tolist()
             for i, doc in enumerate(batch.column(0).to_pylist()):
-                text, kept, merged, last = raw[at[i] : at[i + 1]], [], [], 0
-                for s in sorted((x["first"], x["last"]) for x in spans[i] or ()):
-                    if merged and s[0] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], s[1])
-                    else:
-                        merged.append(list(s))
+                text, kept, last = raw[at[i] : at[i + 1]], [], 0
+                merged = list(zip(begins[edges[i] : edges[i + 1]].tolist(), ends[edges[i] : edges[i + 1]].tolist(), strict=True))
                 for lo, hi in merged:
                     kept.append(text[last:lo])
                     last = hi

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import zstandard
@@ -11,6 +12,8 @@ import zstandard
 SIZE = 100
 #: Entries of a level that a scan or merge holds as whole strings at a time.
 CHUNK = 1 << 15
+#: Every EACH-th string of a level is held whole for batches that are FAR times smaller; their places are searched between those.
+EACH, FAR = 64, 16
 
 
 def suffix_array(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,31 +49,59 @@ class Level:
         own = np.searchsorted(self.begins, at, side="right") - 1
         return self.docs[own], self.starts[own] + at - self.begins[own]
 
-    def strings(self, lo: int, hi: int) -> np.ndarray:
-        """Entries lo .. hi - 1 as whole strings; a last byte 1 makes numpy compare all of them."""
-        table = np.ones((hi - lo, SIZE + 1), np.uint8)
-        if hi > lo:
-            table[:, :SIZE] = np.lib.stride_tricks.sliding_window_view(self.text, SIZE)[self.order[lo:hi]]
+    @cached_property
+    def _windows(self) -> np.ndarray:
+        return np.lib.stride_tricks.sliding_window_view(np.append(self.text, np.uint8(1)), SIZE + 1)
+
+    def strings(self, entries: np.ndarray | slice) -> np.ndarray:
+        """Entries as whole strings; a last byte 1 makes numpy compare all of them."""
+        at = self.order[entries]
+        table = self._windows[at] if len(at) else np.zeros((0, SIZE + 1), np.uint8)
+        table[:, SIZE] = 1
         return table.view(f"S{SIZE + 1}").reshape(-1)
 
+    @cached_property
+    def _fences(self) -> np.ndarray:
+        return self.strings(slice(None, None, EACH))
+
     def places_of(self, other: Level) -> tuple[np.ndarray, np.ndarray]:
-        """A merge-scan: for each entry of the other level its place among these, and whether the entry there is equal."""
+        """A merge-scan: for each entry of the other level its place among these, and whether the entry there is equal.
+
+        Levels of like size are scanned side by side. In a far larger one the scan gallops: from fence to fence, then by halves,
+        so a batch costs its own size and not that of all levels."""
         place, equal = np.zeros(len(other.order), np.int64), np.zeros(len(other.order), bool)
+        far = len(self.order) > FAR * len(other.order)
         for at in range(0, len(other.order), CHUNK):
-            wanted = other.strings(at, min(at + CHUNK, len(other.order)))
-            lo = 0
-            for base in range(0, len(self.order), CHUNK):
-                own = self.strings(base, min(base + CHUNK, len(self.order)))
-                last = base + CHUNK >= len(self.order)
-                hi = len(wanted) if last else lo + int(np.searchsorted(wanted[lo:], own[-1], side="right"))
-                found = np.searchsorted(own, wanted[lo:hi])
-                place[at + lo : at + hi] = base + found
-                equal[at + lo : at + hi] = own[np.minimum(found, len(own) - 1)] == wanted[lo:hi]
-                lo = hi
-                if lo == len(wanted):
-                    break
+            wanted = other.strings(slice(at, at + CHUNK))
+            here = slice(at, at + len(wanted))
+            place[here], equal[here] = self._galloped(wanted) if far else self._scanned(wanted)
         return place, equal
 
+    def _scanned(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place, equal = np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+        lo = 0
+        for base in range(0, len(self.order), CHUNK):
+            own = self.strings(slice(base, base + CHUNK))
+            last = base + CHUNK >= len(self.order)
+            hi = len(wanted) if last else lo + int(np.searchsorted(wanted[lo:], own[-1], side="right"))
+            found = np.searchsorted(own, wanted[lo:hi])
+            place[lo:hi] = base + found
+            equal[lo:hi] = own[np.minimum(found, len(own) - 1)] == wanted[lo:hi]
+            lo = hi
+            if lo == len(wanted):
+                break
+        return place, equal
+
+    def _galloped(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        fence = np.searchsorted(self._fences, wanted)
+        lo, hi = np.maximum((fence - 1) * EACH + 1, 0), np.minimum(fence * EACH, len(self.order))
+        while len(some := np.flatnonzero(lo < hi)):
+            middle = (lo[some] + hi[some]) // 2
+            less = self.strings(middle) < wanted[some]
+            lo[some[less]] = middle[less] + 1
+            hi[some[~less]] = middle[~less]
+        return lo, self.strings(np.minimum(lo, len(self.order) - 1)) == wanted
+
     def without(self, gone: np.ndarray) -> Level:
         """Less some entries, and the segments that no entry is left of."""
         order = self.order[~gone]

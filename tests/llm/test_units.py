@@ -400,3 +400,36 @@ def test_license_label_needs_no_word_that_other_files_lack():
     labels, score, spans = licenses.match(index, rows[0])
     assert labels == {"mit"} and 0.5 < score < 1 and spans[0][:2] == ("mit", 3)
     assert licenses.match(index, rows[-1])[0] == set()
+
+
+def _level(texts: list[bytes], first_doc: int) -> suffix_index.Level:
+    size = np.array([len(t) for t in texts])
+    many = size - suffix_index.SIZE + 1
+    return suffix_index.indexed(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size) - size, np.arange(first_doc, first_doc + len(texts)), np.zeros(len(texts), np.int64), many)[0]
+
+
+def test_small_batch_gallops_through_a_large_level(monkeypatch):
+    """A batch costs its own size, not the level's, and finds the same places."""
+    draw = np.random.default_rng(1)
+    texts = [bytes(draw.choice([0, 1, 97, 98, 255], 150).astype(np.uint8)) for _ in range(400)]
+    level, batch = _level(texts, 0), _level([*texts[7:9], bytes(101), bytes([255]) * 120], 500)
+    read = []
+    strings = suffix_index.Level.strings
+    monkeypatch.setattr(suffix_index.Level, "strings", lambda self, *a: read.append(len(out := strings(self, *a))) or out)
+    place, equal = level.places_of(batch)
+    assert equal.sum() == 102 and sum(read) < len(level.order) // 4
+    monkeypatch.setattr(suffix_index, "FAR", 10**9)
+    scanned = level.places_of(batch)
+    assert (place == scanned[0]).all() and (equal == scanned[1]).all()
+
+
+def test_second_pass_sends_a_blob_for_each_task_and_part():
+    """Blobs grow with tasks and parts, not with the batches of a task."""
+    everything = type("Sent", (), {"value": (np.full(1 << (suffix_dedup.SLOTS - 3), 255, np.uint8), np.zeros(0, np.uint64))})
+    draw = np.random.default_rng(2)
+    text = ["".join(map(chr, draw.integers(97, 123, 400))) for _ in range(40)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([t])], ["doc_id", "text"]) for i, t in enumerate(text)]
+    sent = [x for b in suffix_dedup._deal(3, everything)(iter(batches)) for x in b.column("blob").to_pylist()]
+    assert len(sent) == 3
+    doc, start, many = (np.concatenate([suffix_dedup._unpack(b)[k] for b in sent]) for k in range(3))
+    assert sorted((d, s + i) for d, s, n in zip(doc.tolist(), start.tolist(), many.tolist(), strict=True) for i in range(n)) == [(d, i) for d in range(40) for i in range(301)]
