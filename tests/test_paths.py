@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from biblioscope import storage
 from biblioscope.operators import graph
 
 
@@ -35,3 +36,39 @@ def test_long_paths_are_searched_one_by_one(monkeypatch):
     assert graph._paths_together(len(names), tail, head, cost, np.arange(10)) is not None
     monkeypatch.setattr(graph, "ROUNDS", 1)
     assert graph._paths_together(len(names), tail, head, cost, np.arange(10)) is None
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_small_graphs_are_labelled_in_one_task(spark, kind):
+    """By one stored table and no rounds of joins, with the labels that the rounds give."""
+    cast = str if kind == "string" else int
+    pairs = [*((a, b) for a, b, _ in edges(60, 60, 5)), *((i, i - 1) for i in range(300, 200, -1)), (400, 400), (500, None)]
+    df = spark.createDataFrame([tuple(None if x is None else cast(x) for x in p) for p in pairs], f"a {kind}, b {kind}")
+    before = len(storage._made)
+    fast = sorted(graph.components(df).collect())
+    assert len(storage._made) == before + 1
+    assert fast == sorted(graph.components(df, small=0).collect()) and len(fast) > 150
+    assert graph.components(df.limit(0)).count() == 0
+
+
+def test_report_labels_once_and_finds_no_communities_unasked(spark, monkeypatch):
+    df = spark.createDataFrame([*edges(60, 150, 3), (100, 101, 2.0)], "a long, b long, weight double")
+    whole = graph.report(spark, "r", df).first().asDict()
+    called = []
+    labels = graph.components
+    monkeypatch.setattr(graph, "components", lambda *a: called.append(a) or labels(*a))
+    monkeypatch.setattr(graph, "communities", None)
+    own = graph.report(spark, "r", df, grouped=False).first().asDict()
+    assert len(called) == 1 and own == whole | {"modularity": None} and whole["modularity"] is not None
+    far = [r for r in graph.path_measures(df).collect() if r.node < 100]
+    assert own["mean_path"] == round(sum(r.total_distance for r in far) / (len(far) * (len(far) - 1)), 4) and own["diameter"] == round(max(r.farthest for r in far), 2)
+
+
+def test_blocks_of_sources_go_to_tasks_of_their_own(spark, monkeypatch):
+    """Few bytes are much work: blocks aren't put together by their bytes."""
+    df = spark.createDataFrame(edges(60, 150, 3), "a long, b long, weight double")
+    want = sorted(graph.path_measures(df).select("node", "total_distance").collect())
+    monkeypatch.setattr(graph, "SOURCES", 3)
+    found = graph._by_blocks(storage.stored(graph.with_components(df), "labelled"), False)
+    assert found.rdd.getNumPartitions() >= 20
+    assert sorted(found.select("node", "total_distance").collect()) == want
