@@ -72,3 +72,34 @@ def test_blocks_of_sources_go_to_tasks_of_their_own(spark, monkeypatch):
     found = graph._by_blocks(storage.stored(graph.with_components(df), "labelled"), False)
     assert found.rdd.getNumPartitions() >= 20
     assert sorted(found.select("node", "total_distance").collect()) == want
+
+
+@pytest.mark.parametrize(("kind", "weights"), [("long", (1.0, 2.0, 3.0)), ("string", (5.0, 6.0, 7.0, 11.0)), ("long", (0.5, 2.0))])
+def test_edges_are_sent_once(spark, monkeypatch, kind, weights):
+    """No copy of a component's edges is shuffled for each block of its sources; distances in units give what the blocks give."""
+    cast = (lambda x: f"n{x:03}") if kind == "string" else int
+    draw = random.Random(9)
+    own = [(cast(a), cast(b), draw.choice(weights)) for a, b, _ in [*edges(60, 150, 3), (100, 101, 0), (0, 1, 0), *((200, x, 0) for x in range(201, 520))]]
+    df = spark.createDataFrame(own, f"a {kind}, b {kind}, weight double")
+    monkeypatch.setattr(graph, "SOURCES", 50)
+    monkeypatch.setattr(graph, "TURN", 7)
+    row = lambda r: (r.node, *(pytest.approx(x, abs=1e-9) for x in (r.betweenness, r.closeness, r.farthest, r.total_distance)))
+    with monkeypatch.context() as old:
+        old.setattr(graph, "SENT_EDGES", 0)
+        want = sorted(graph.path_measures(df).collect())
+    with monkeypatch.context() as new:
+        new.setattr(graph, "_arcs", None)
+        out = graph.path_measures(df)
+        assert [tuple(r) for r in sorted(out.collect())] == [row(r) for r in want] and len(want) == 382
+    monkeypatch.setattr(graph, "_in_units", lambda n, c, s, f=graph._in_units: f(n, c, s) if len(s) == 1 else None)
+    assert [tuple(r) for r in sorted(graph.path_measures(df).collect())] == [row(r) for r in want]
+
+
+def test_units():
+    assert graph._units(np.array([2.0, 3.0, 2.0])) == ({2.0: 3, 3.0: 2}, 6)
+    assert graph._units(np.array([0.0, 1.0])) is None and graph._units(np.array([np.pi])) is None and graph._units(np.arange(1.0, 40.0)) is None
+    path = [(i, i + 1) for i in range(99)]
+    a, b = np.array(path).T
+    found = [graph._in_units(100, graph._classes(100, a, b, np.full(99, c)), np.arange(3)) for c in (1, 30, 900)]
+    assert found[2] is None or found[2].max() == 99 * 900
+    assert graph._in_units(100, graph._classes(100, a, b, np.full(99, 2)), np.array([50])).max() == 100
